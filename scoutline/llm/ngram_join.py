@@ -14,9 +14,10 @@ the pair's least number of shared signatures allows; a shared signature has the
 same rank, on both sides, whence some shared signature is published by both (the argument is
 written out at ``signatures``). This drops empty and weak signatures without losing a pair.
 
-Signatures of distinct sets are grouped; every group is compared with its smallest member, then
-components are formed, and only members of one group that are still in different components are
-compared among themselves. Every comparison is exact on the sets of 64-bit n-gram hashes.
+Signatures of distinct sets are grouped; every group is compared with its smallest member, and
+components are formed. Members of one group that are still in different components can only link by
+sharing what sets them apart from that smallest member (see ``across``), and are compared where they do.
+Every comparison is exact on the sets of 64-bit n-gram hashes.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ from functools import cache
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from scoutline.llm.shared import Scratch, connected_components
@@ -48,6 +49,14 @@ class WordHashes(dict):
         return h
 
 
+_HASHES = WordHashes()
+
+
+def word_hashes() -> WordHashes:
+    """One memory for all tasks of a Python worker."""
+    return _HASHES
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> U(30))) * C2
     x = (x ^ (x >> U(27))) * C3
@@ -130,7 +139,7 @@ def profile(docs: DataFrame, n: int) -> DataFrame:
     """(doc_id, n_shingles, h1, h2): size and 128-bit fingerprint of every document's set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
+        hashes = word_hashes()
         for b in batches:
             sets = [shingles(t, n, hashes) for t in _bytes(b, "text")]
             yield pa.RecordBatch.from_arrays(
@@ -150,7 +159,7 @@ def publish(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
     """(sig, doc_id) of every document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
+        hashes = word_hashes()
         for b in batches:
             ids, texts = b.column("doc_id").to_numpy(), _bytes(b, "text")
             for i in range(0, len(ids), 500):
@@ -163,11 +172,20 @@ def publish(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "sig long, doc_id long")
 
 
+def _with_texts(pairs: DataFrame, docs: DataFrame, *more: str) -> DataFrame:
+    texts = docs.select("doc_id", "text")
+    return (
+        pairs.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb")), "b")
+        .join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")), "a")
+        .select("a", "b", *more, "ta", "tb")
+    )
+
+
 def verified(pairs: DataFrame, docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
     """Those of the distinct (a, b) whose sets reach the threshold."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, held = WordHashes(), {}
+        hashes, held = word_hashes(), {}
         for b in batches:
             a, c = b.column("a").to_numpy(), b.column("b").to_numpy()
             ta, tc = b.column("ta").cast(pa.binary()), b.column("tb").cast(pa.binary())
@@ -184,13 +202,69 @@ def verified(pairs: DataFrame, docs: DataFrame, n: int, num: int, den: int) -> D
                     ok[i] = den * both >= num * (len(r) + len(s) - both)
             yield pa.RecordBatch.from_arrays([pa.array(a[ok]), pa.array(c[ok])], ["a", "b"])
 
-    texts = docs.select("doc_id", "text")
-    return (
-        pairs.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb")), "b")
-        .join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")), "a")
-        .select("a", "b", "ta", "tb")
-        .mapInArrow(run, "a long, b long")
+    return _with_texts(pairs, docs).mapInArrow(run, "a long, b long")
+
+
+def differences(stars: DataFrame, docs: DataFrame, n: int) -> DataFrame:
+    """A row for each element e in which the set of b differs from that of a, for rows (a, b, cb).
+
+    star and member tell apart the texts of ids that have several; d counts the elements.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes, held = word_hashes(), {}
+        names = ("star", "b", "member", "cb", "size", "centre", "d", "e")
+        for batch in batches:
+            b, c = batch.column("b").to_numpy(), batch.column("cb").to_numpy()
+            ta, tb = batch.column("ta").cast(pa.binary()), batch.column("tb").cast(pa.binary())
+            ia = batch.column("a").to_numpy()
+            for i in range(batch.num_rows):
+                centre, own = ta[i].as_py(), tb[i].as_py()
+                if centre not in held:
+                    if len(held) >= 64:
+                        held.clear()
+                    held[centre] = shingles(centre, n, hashes)
+                p, x = held[centre], shingles(own, n, hashes)
+                e = np.setxor1d(p, x, assume_unique=True).view(np.int64)
+                star = xxhash.xxh3_64_intdigest(centre + b"\n%d" % ia[i]) >> 1
+                row = (star, b[i], xxhash.xxh3_64_intdigest(own) >> 1, c[i], len(x), len(p), len(e))
+                yield pa.RecordBatch.from_arrays([*(pa.array(np.full(len(e), v, np.int64)) for v in row), pa.array(e)], list(names))
+
+    schema = ", ".join(f"{c} long" for c in ("star", "b", "member", "cb", "size", "centre", "d", "e"))
+    return _with_texts(stars, docs, "cb").mapInArrow(run, schema)
+
+
+def across(rows: DataFrame, num: int, den: int, scratch: Scratch) -> DataFrame:
+    """Pairs (a < b) of members of one star, in different components, that may still link.
+
+    Let x, y differ from the star's centre p in dx, dy elements. They differ from each other in
+    dx + dy less twice the differences that they share. If dx + dy is no more than linked sets may
+    differ in, both are linked to p, and are in one component. Otherwise linked x and y
+    share t differences or more, t = (dx + dy - largest difference of linked x, y) / 2. Differences are ordered,
+    rare ones first, and the first one shared must leave t - 1 more after it on both sides. One side is
+    not linked to p, which bounds t from below for the other: members publish only as many of their
+    differences as that bound asks for. Near copies of one text with edits of their own
+    differ from it mostly in elements that no other copy has, and so meet only where edits coincide.
+    """
+    a, b = den - num, den + num
+    rows = scratch.save(rows)
+    common = rows.groupBy("star", "e").agg(F.count("*").alias("c")).where("c > 1")
+    own = Window.partitionBy("star", "b", "member")
+    up = lambda x: f"cast(ceil(({x}) / {2 * b}.0D) as long)"
+    placed = (
+        rows.join(common, ["star", "e"])
+        .withColumn("i", F.col("d") - F.count("*").over(own) + F.row_number().over(own.orderBy("c", "e")))
+        .withColumn("far", F.expr(f"{b} * d > {a} * (size + centre)"))
+        .withColumn("near_far", F.expr(f"d + 1 - greatest(1, {up(f'{b} * d - {a} * size + {a} * centre + 1')})"))
+        .withColumn("far_near", F.expr(f"d + 1 - greatest(1, {up(f'{b} * d - {a} * size - {a} * centre + {b - a}')})"))
+        .where("i <= if(far, greatest(near_far, far_near), near_far)")
     )
+    placed = scratch.save(placed.select("star", "e", "b", "cb", "size", "d", "i", "far", "near_far"))
+    left = placed.where("far").select("star", "e", *[F.col(x).alias(f"{x}1") for x in ("b", "cb", "size", "d", "i")])
+    right = placed.where("i <= near_far").select("star", "e", *[F.col(x).alias(f"{x}2") for x in ("b", "cb", "size", "d", "i")])
+    least = up(f"{b} * (d1 + d2) - {a} * (size1 + size2)")
+    met = left.join(right, ["star", "e"]).where(f"b1 <> b2 and cb1 <> cb2 and {den} * size1 >= {num} * size2 and {den} * size2 >= {num} * size1 and {least} <= 1 + least(d1 - i1, d2 - i2)")
+    return met.select(F.least("b1", "b2").alias("a"), F.greatest("b1", "b2").alias("b")).distinct()
 
 
 def ngram_jaccard_join(docs: DataFrame, n: int = 3, num: int = 90, den: int = 100) -> DataFrame:
@@ -217,10 +291,9 @@ def ngram_jaccard_join(docs: DataFrame, n: int = 3, num: int = 90, den: int = 10
         )
         # Groups with the same members say the same: one of them is enough.
         large = groups.where("c > 2").groupBy("c", "lo", "hi", "f", "g").agg(F.min("sig").alias("sig"))
-        within = scratch.save(sigs.join(large.select("sig", "lo"), "sig").select("sig", "lo", "doc_id").distinct())
         pairs = (
             groups.where("c = 2").select(F.col("lo").alias("a"), F.col("hi").alias("b"))
-            .unionByName(within.where("doc_id > lo").select(F.col("lo").alias("a"), F.col("doc_id").alias("b")))
+            .unionByName(sigs.join(large.select("sig", "lo"), "sig").where("doc_id > lo").select(F.col("lo").alias("a"), F.col("doc_id").alias("b")))
             .distinct()
         )
         pairs = scratch.save(pairs)
@@ -231,16 +304,11 @@ def ngram_jaccard_join(docs: DataFrame, n: int = 3, num: int = 90, den: int = 10
         several = members.groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("z")).where("a < z").select("doc_id", "a")
         links = scratch.save(links.unionByName(members.join(several, "doc_id").where("rep <> a").select("a", F.col("rep").alias("b"))))
         first = scratch.save(connected_components(links))
-        # Members of one group in different components: compare these among themselves.
-        sized = members.groupBy("doc_id").agg(F.min("n_shingles").alias("least"), F.max("n_shingles").alias("most"))
-        placed = within.join(first, F.col("doc_id") == F.col("node"), "left").select("sig", "lo", "doc_id", F.coalesce("component", "doc_id").alias("c"))
-        split = placed.groupBy("sig").agg(F.min("c").alias("x"), F.max("c").alias("y")).where("x < y").select("sig")
-        open_ = scratch.save(placed.join(split, "sig", "left_semi").where("doc_id > lo").join(sized, "doc_id"))
-        left, right = (open_.select("sig", *[F.col(c).alias(f"{c}{i}") for c in ("doc_id", "c", "least", "most")]) for i in (1, 2))
-        rest = left.join(right, "sig").where(
-            f"doc_id1 < doc_id2 and c1 <> c2 and most1 * {den} >= least2 * {num} and most2 * {den} >= least1 * {num}"
-        )
-        rest = scratch.save(rest.select(F.col("doc_id1").alias("a"), F.col("doc_id2").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti"))
+        of = lambda x: first.select(F.col("node").alias(x), F.col("component").alias(f"c{x}"))
+        placed = pairs.join(of("a"), "a", "left").join(of("b"), "b", "left").select("a", "b", F.coalesce("ca", "a").alias("ca"), F.coalesce("cb", "b").alias("cb"))
+        open_ = placed.join(placed.where("ca <> cb").select("a").distinct(), "a", "left_semi").select("a", "b", "cb")
+        rest = across(differences(open_, texts, n), num, den, scratch)
+        rest = scratch.save(rest.join(pairs, ["a", "b"], "left_anti"))
         more = scratch.save(verified(rest, texts, n, num, den))
         if not more.isEmpty():
             first = scratch.save(connected_components(links.unionByName(more)))

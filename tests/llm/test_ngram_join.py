@@ -75,3 +75,20 @@ def test_only_ascii_is_lowered():
     h = WordHashes()
     assert list(shingles("É a b".encode(), 3, h)) != list(shingles("é a b".encode(), 3, h))
     assert list(shingles("x\xa0y".encode(), 3, h)) != list(shingles(b"x y", 3, h))
+
+
+@pytest.mark.parametrize(("words", "edits"), [(20, 1), (30, 2), (60, 3)])
+def test_families_around_the_threshold(spark, words, edits):
+    """Near copies of one text, of which some pairs reach the threshold and others don't."""
+    r = random.Random(words)
+    base = [f"b{i}" for i in range(words)]
+    rows = []
+    for i in range(150):
+        own = list(base)
+        for _ in range(r.randrange(edits + 1)):
+            at = r.randrange(len(own))
+            own[at : at + r.choice([0, 1, 1])] = r.choice([[], [f"n{r.randrange(6)}"], [f"u{i}"]])
+        rows.append((1000 - i, " ".join(own)))
+    for n, num in ((3, 90), (5, 80), (3, 80)):
+        got = {x.doc_id: (x.n_shingles, x.component_id) for x in ngram_jaccard_join(spark.createDataFrame(rows, SCHEMA), n, num, 100).collect()}
+        assert got == brute(rows, n, num, 100)
