@@ -643,7 +643,7 @@ def _(events):
     return watch.supported_events(events.select("event_id", path.alias("paths"))).select("event_id", F.replace(F.array_join("paths", ","), F.lit("/p/"), F.lit("")).alias("paths"))
 
 
-@query("T3_U7_bursts", "events", sql="WITH e AS (SELECT user_id, event_type, to_timestamp(0) + INTERVAL 1 MICROSECOND * (epoch_us(ts) // 3600) AS ts FROM events), l AS (SELECT *, CASE WHEN epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts) >= 500000 THEN 1 ELSE 0 END AS cut FROM e), g AS (SELECT *, sum(cut) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) k FROM l) SELECT user_id, count(*) AS n, array_to_string(list_sort(list_distinct(list(event_type))), ',') AS paths FROM g GROUP BY user_id, k")
+@query("T3_U7_bursts", "events", sql="WITH e AS (SELECT user_id, event_type, make_timestamp(epoch_us(ts) // 3600) AS ts FROM events), l AS (SELECT *, CASE WHEN epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts) >= 500000 THEN 1 ELSE 0 END AS cut FROM e), g AS (SELECT *, sum(cut) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) k FROM l) SELECT user_id, count(*) AS n, array_to_string(list_sort(list_distinct(list(event_type))), ',') AS paths FROM g GROUP BY user_id, k")
 def _(events):
     e = events.select("user_id", "event_type", F.timestamp_micros(F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 3600)).alias("ts"))
     return watch.bursts(e, "user_id", "event_type").select("user_id", "n", F.array_join("paths", ",").alias("paths"))
