@@ -354,7 +354,17 @@ def _(symbols):
     return symbols.select("seq", F.array_join(query_language.identifiers(text), ",").alias("found"))
 
 
-@query("Q3_Q4_Q5_dispatch", "questions")
+QUESTION_SQL = """WITH w AS (SELECT qid, lower(query) AS q, query FROM questions),
+t AS (SELECT *, CASE WHEN contains(q, 'what is in') THEN [x for x in string_split(substr(q, strpos(q, 'in ') + 3), ' ') if x NOT IN ('the', 'a', 'an', '', 'module')][1]
+ WHEN contains(q, 'structure of') THEN [x for x in string_split(substr(q, strpos(q, 'structure of ') + 13), ' ') if x NOT IN ('the', 'a', 'an', '', 'module')][1]
+ WHEN contains(q, ' structure') AND string_split(q, ' ')[-2] NOT IN ('module', 'directory') THEN string_split(q, ' ')[-2] END AS target,
+ CASE WHEN contains(q, 'who calls') THEN string_split(query, ' ')[3] WHEN contains(q, 'callers of') THEN string_split(query, ' ')[3] WHEN contains(q, ' callers') THEN string_split(query, ' ')[-2] END AS caller,
+ CASE WHEN contains(q, 'what does') AND contains(q, ' call') THEN substr(query, 11, strpos(q, ' call') - 11) END AS callee FROM w)
+SELECT qid, CASE WHEN target IS NOT NULL THEN 'structure' WHEN caller IS NOT NULL THEN 'callers' WHEN callee IS NOT NULL THEN 'callees' ELSE 'text' END AS route, coalesce(target, caller, callee) AS subject,
+ CASE WHEN q LIKE 'where %' THEN 'FindDefinition' WHEN q LIKE 'find usages %' THEN 'FindUsages' WHEN q LIKE 'how %' OR q LIKE 'explain %' THEN 'Understand' WHEN q LIKE 'fix %' THEN 'Modify' ELSE 'Search' END AS intent FROM t"""
+
+
+@query("Q3_Q4_Q5_dispatch", "questions", sql=QUESTION_SQL)
 def _(questions):
     return query_language.dispatched(questions)
 
@@ -633,6 +643,24 @@ def _(supplier):
     return project.skills(supplier.select(F.col("s_suppkey").alias("path"), text.alias("content")))
 
 
+@query("S14_choices", "orders", sql="SELECT o_orderkey % 7 AS page, 'b' || o_orderkey AS key, 'c' || o_custkey AS description FROM orders WHERE o_orderkey < 700")
+def _(orders):
+    v = F.to_json(F.struct(F.concat(F.lit("b"), F.col("o_orderkey")).alias("name"), F.struct(F.concat(F.lit("c"), F.col("o_custkey")).alias("hash")).alias("target")))
+    pages = orders.where("o_orderkey < 700").groupBy((F.col("o_orderkey") % 7).alias("page")).agg(F.concat(F.lit('{"values":['), F.array_join(F.collect_list(v), ","), F.lit("]}")).alias("body"))
+    return project.choices(pages, "$.name", "$.name", "$.target.hash").select("page", "key", "description")
+
+
+@query("S14_issue_counts", "supplier", sql="SELECT s_suppkey AS id, s AS severity, n FROM supplier, (VALUES ('critical', 1::BIGINT), ('low', 5::BIGINT)) v(s, n)")
+def _(supplier):
+    return project.issue_counts(supplier.select(F.col("s_suppkey").alias("id"), F.lit('{"critical":1,"low":5,"all":6}').alias("body")))
+
+
+@query("P16_repo_filter", "supplier", sql="SELECT s_suppkey FROM supplier WHERE contains('repo' || s_suppkey, 'o1') OR s_suppkey % 5 = 0")
+def _(supplier):
+    repos = supplier.select("s_suppkey", F.concat(F.lit("Repo"), F.col("s_suppkey")).alias("folder"), F.when(F.col("s_suppkey") % 5 == 0, "foo1").otherwise("x").alias("slug"))
+    return project.repo_filter(repos, "O1").select("s_suppkey")
+
+
 # --- streams -------------------------------------------------------------------------------------
 
 

@@ -131,3 +131,25 @@ def skills(files: DataFrame) -> DataFrame:
     """(path, description) from the front matter of skill files; empty without one."""
     front = F.regexp_extract("content", r"(?s)\A---\s*\n(.*?)\n---", 1)
     return files.select("path", F.trim(F.regexp_replace(F.regexp_extract(front, r"(?m)^description:[ \t]*(.*)$", 1), "^[\"']|[\"']$", "")).alias("description"))
+
+
+def choices(pages: DataFrame, key: str, display: str, description: str) -> DataFrame:
+    """(key, display, description) of captured list pages, by JSON paths into each value: branches, pull requests."""
+    values = pages.select("page", F.explode(F.from_json(F.get_json_object("body", "$.values"), "array<string>")).alias("v"))
+    return values.select("page", *[F.get_json_object("v", p).alias(n) for n, p in (("key", key), ("display", display), ("description", description))])
+
+
+def issue_counts(responses: DataFrame) -> DataFrame:
+    """(id, severity, n) of captured counts by repository or container (id, body)."""
+    rows = responses.select("id", F.explode(F.from_json("body", "map<string,bigint>")).alias("severity", "n"))
+    return rows.where(F.col("severity").isin("critical", "high", "medium", "low"))
+
+
+def repo_filter(repos: DataFrame, part: str) -> DataFrame:
+    """Repositories whose folder or slug holds part in any case."""
+    return repos.where(F.lower("folder").contains(part.lower()) | F.lower("slug").contains(part.lower()))
+
+
+def command_filter(commands: DataFrame, prefix: str) -> DataFrame:
+    """Commands whose name starts with the prefix, with or without its slash."""
+    return commands.where(F.col("name").startswith("/" + prefix.lstrip("/")))
