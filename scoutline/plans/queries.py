@@ -707,7 +707,8 @@ def _(embeddings):
 def _(embeddings):
     w = Window.partitionBy("qid").orderBy(F.abs(F.col("doc") - F.col("qid")), "doc")
     near = hybrid.nearest(asked(embeddings), embeddings, 50).select("qid", F.col("vec_id").alias("doc"), "rank")
-    ids = asked(embeddings).select("qid").join(embeddings.select(F.col("vec_id").alias("doc")), F.abs(F.col("doc") - F.col("qid")) <= 50).withColumn("rank", F.row_number().over(w))
+    around = asked(embeddings).select("qid", F.explode(F.sequence(F.col("qid") - 50, F.col("qid") + 50)).alias("doc"))
+    ids = around.join(embeddings.select(F.col("vec_id").alias("doc")), "doc", "left_semi").withColumn("rank", F.row_number().over(w))
     fused = hybrid.fuse(near, ids).withColumn("score", F.round("score", 9)).withColumn("part", F.lit("all"))
     return hybrid.thresholded(fused, "part", 3, 0.0161).select("qid", "doc", "score")
 
