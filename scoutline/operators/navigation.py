@@ -145,3 +145,14 @@ def dependents(symbols: DataFrame, refs: DataFrame) -> DataFrame:
     """(name, dependent): functions that call a defined name, once each."""
     calls = refs.where("context = 'Call'").join(symbols.select("name").distinct(), "name", "left_semi").select("name", "file", "line", "col")
     return enclosing_function(calls, symbols).where("caller is not null").select("name", F.col("caller").alias("dependent")).distinct()
+
+
+def expansion(seeds: DataFrame, symbols: DataFrame, refs: DataFrame, most: int = 5, scope: int = 50) -> DataFrame:
+    """(seq, role, name): the parent of each seed symbol, its first callers and its first callees within ``scope`` lines, ``most`` of each."""
+    s = seeds.select("seq", "name", "parent", "file", "line")
+    parents = s.where("parent is not null").select("seq", F.lit("parent").alias("role"), F.col("parent").alias("name"), F.lit(0).alias("at"))
+    called = callers(s, refs, symbols).where("caller is not null").groupBy("name", "caller").agg(F.min("line").alias("at"))
+    above = s.select("seq", "name").join(called, "name").select("seq", F.lit("caller").alias("role"), F.col("caller").alias("name"), "at")
+    below = callees(s, refs, scope).select("seq", F.lit("callee").alias("role"), F.col("callee").alias("name"), F.col("line").alias("at"))
+    w = Window.partitionBy("seq", "role").orderBy("at", "name")
+    return parents.unionByName(above).unionByName(below).withColumn("n", F.row_number().over(w)).where(F.col("n") <= most).select("seq", "role", "name")

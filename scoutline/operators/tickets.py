@@ -150,3 +150,24 @@ def rich_text(rows: DataFrame, column: str) -> DataFrame:
             yield s.map(plain, na_action=None)
 
     return rows.withColumn(column, read(column))
+
+
+DETAIL = (
+    "struct<key:string,fields:struct<summary:string,description:string,status:struct<name:string>,assignee:struct<displayName:string>,"
+    "comment:struct<comments:array<struct<author:struct<displayName:string>,body:string,created:string>>>>>"
+)
+
+
+def details(raw: DataFrame) -> DataFrame:
+    """(key, summary, status, assignee, description) of captured issue responses in column value; the description is plain text."""
+    i = raw.select(F.from_json("value", DETAIL).alias("i")).select("i.key", "i.fields").where("key is not null")
+    f = F.col("fields")
+    flat = i.select("key", f["summary"].alias("summary"), f["status"]["name"].alias("status"), F.coalesce(f["assignee"]["displayName"], F.lit("Unassigned")).alias("assignee"), f["description"].alias("description"))
+    return rich_text(flat, "description")
+
+
+def comments(raw: DataFrame) -> DataFrame:
+    """(key, pos, author, created, body) of the comments of captured issue responses; bodies are plain text."""
+    i = raw.select(F.from_json("value", DETAIL).alias("i")).select("i.key", F.posexplode("i.fields.comment.comments").alias("pos", "c"))
+    flat = i.select("key", "pos", F.coalesce("c.author.displayName", F.lit("Unknown")).alias("author"), "c.created", F.col("c.body").alias("body"))
+    return rich_text(flat, "body")

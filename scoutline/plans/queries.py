@@ -225,6 +225,15 @@ def _(symbols, refs):
     return N.dependents(symbols, refs)
 
 
+@query("J15_D6_expansion", "symbols", "refs", sql="""WITH s AS (SELECT * FROM symbols WHERE seq % 25 = 8 OR seq % 25 = 1),
+c AS (SELECT name, caller, min(line) AS p FROM (SELECT r.name, r.line, arg_max(d.name, d.line::BIGINT * 1000000000 + d.seq) AS caller FROM (SELECT *, row_number() OVER () rid FROM refs WHERE context = 'Call') r JOIN symbols d ON d.file = r.file AND d.kind IN ('function', 'method') AND d.line <= r.line GROUP BY r.rid, r.name, r.line) GROUP BY name, caller),
+x AS (SELECT seq, 'parent' AS role, parent AS name, 0 AS p FROM s WHERE parent IS NOT NULL UNION ALL SELECT seq, 'caller', caller, p FROM s JOIN c ON s.name = c.name
+      UNION ALL SELECT s.seq, 'callee', r.name, min(r.line) FROM s JOIN refs r ON s.file = r.file AND r.context = 'Call' AND r.line > s.line AND r.line < s.line + 50 GROUP BY s.seq, r.name)
+SELECT seq, role, name FROM (SELECT *, row_number() OVER (PARTITION BY seq, role ORDER BY p, name) n FROM x) WHERE n <= 5""")
+def _(symbols, refs):
+    return N.expansion(symbols.where("seq % 25 in (8, 1)"), symbols, refs)
+
+
 # --- search --------------------------------------------------------------------------------------
 
 BM25_SQL = f"""WITH f AS (SELECT seq, p, 'name' AS field, name AS text FROM base UNION ALL SELECT seq, p, 'content', content FROM base),
@@ -509,6 +518,23 @@ def _(t):
     return tickets.flattened(t.select(F.to_json(F.struct(F.array(F.struct("key", fields.alias("fields"))).alias("issues"))).alias("value")))
 
 
+def issue_details(t: DataFrame) -> DataFrame:
+    node = lambda x: F.struct(F.lit("paragraph").alias("type"), F.array(F.struct(F.lit("text").alias("type"), x.alias("text"))).alias("content"))
+    note = F.struct(F.struct(F.coalesce("assignee", F.lit("Bot")).alias("displayName")).alias("author"), node(F.concat(F.lit("Re "), F.col("summary"))).alias("body"), F.lit("2024-01-02").alias("created"))
+    fields = F.struct("summary", node(F.concat(F.lit("About "), F.col("key"))).alias("description"), F.struct(F.lit("Open").alias("name")).alias("status"), F.struct(F.array(note).alias("comments")).alias("comment"))
+    return t.select(F.to_json(F.struct("key", fields.alias("fields"))).alias("value"))
+
+
+@query("F17_ticket_details", "tickets", sql="SELECT key, summary, 'Open' AS status, 'Unassigned' AS assignee, 'About ' || key AS description FROM tickets")
+def _(t):
+    return tickets.details(issue_details(t))
+
+
+@query("F17_ticket_comments", "tickets", sql="SELECT key, 0 AS pos, coalesce(assignee, 'Bot') AS author, '2024-01-02' AS created, 'Re ' || summary AS body FROM tickets")
+def _(t):
+    return tickets.comments(issue_details(t))
+
+
 @query("A15_severity_summary", "issues", sql="SELECT r::INT AS rank, s AS severity, count(i.id) AS n FROM (SELECT unnest(['critical', 'high', 'medium', 'low']) s, unnest(range(1, 5)) r) LEFT JOIN (SELECT * FROM issues WHERE severity <> 'low') i ON i.severity = s GROUP BY r, s")
 def _(issues):
     return tickets.severity_summary(issues.where("severity <> 'low'"))
