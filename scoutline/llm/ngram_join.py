@@ -292,21 +292,23 @@ def ngram_jaccard_join(docs: DataFrame, n: int = 3, num: int = 90, den: int = 10
         # Groups with the same members say the same: one of them is enough.
         large = groups.where("c > 2").groupBy("c", "lo", "hi", "f", "g").agg(F.min("sig").alias("sig"))
         pairs = (
-            groups.where("c = 2").select(F.col("lo").alias("a"), F.col("hi").alias("b"))
-            .unionByName(sigs.join(large.select("sig", "lo"), "sig").where("doc_id > lo").select(F.col("lo").alias("a"), F.col("doc_id").alias("b")))
-            .distinct()
+            groups.where("c = 2").select(F.col("lo").alias("a"), F.col("hi").alias("b"), F.lit(False).alias("more"))
+            .unionByName(sigs.join(large.select("sig", "lo"), "sig").where("doc_id > lo").select(F.col("lo").alias("a"), F.col("doc_id").alias("b"), F.lit(True).alias("more")))
+            .groupBy("a", "b").agg(F.max("more").alias("more"))
         )
         pairs = scratch.save(pairs)
         needed = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
         texts = scratch.save(once.join(needed, "doc_id", "left_semi"))
-        links = scratch.save(verified(pairs, texts, n, num, den))
+        links = scratch.save(verified(pairs.select("a", "b"), texts, n, num, den))
         # A doc_id with several texts stands for all of their sets.
         several = members.groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("z")).where("a < z").select("doc_id", "a")
         links = scratch.save(links.unionByName(members.join(several, "doc_id").where("rep <> a").select("a", F.col("rep").alias("b"))))
         first = scratch.save(connected_components(links))
         of = lambda x: first.select(F.col("node").alias(x), F.col("component").alias(f"c{x}"))
-        placed = pairs.join(of("a"), "a", "left").join(of("b"), "b", "left").select("a", "b", F.coalesce("ca", "a").alias("ca"), F.coalesce("cb", "b").alias("cb"))
-        open_ = placed.join(placed.where("ca <> cb").select("a").distinct(), "a", "left_semi").select("a", "b", "cb")
+        # Only members of larger groups can have missed each other, and only in stars whose members are in several components.
+        placed = pairs.where("more").join(of("b"), "b", "left").select("a", "b", F.coalesce("cb", "b").alias("cb"))
+        split = placed.groupBy("a").agg(F.min("cb").alias("x"), F.max("cb").alias("y")).where("x < y").select("a")
+        open_ = placed.join(split, "a", "left_semi").select("a", "b", "cb")
         rest = across(differences(open_, texts, n), num, den, scratch)
         rest = scratch.save(rest.join(pairs, ["a", "b"], "left_anti"))
         more = scratch.save(verified(rest, texts, n, num, den))
