@@ -1,9 +1,10 @@
 """HTML extraction: removal of site templates.
 
 Pages are parsed into elements. Every element subtree is hashed; Spark counts the pages of each
-host that hold a subtree, and subtrees that recur across many pages of their host are deleted.
-What a page itself marks as its article or main part is not deleted for recurring, since copies
-of one article recur too. Elements whose tag, role, class or id name a menu, header, footer,
+host that hold a subtree, and subtrees that recur beside differing content are deleted, in what a
+page marks as its article or main part as elsewhere. Copies of one article recur too: copies of a
+page count once, and the longest texts beside a subtree must differ between half of its pages.
+Elements whose tag, role, class or id name a menu, header, footer,
 sidebar, notice, advert, form or reader comments are left out everywhere.
 """
 
@@ -46,8 +47,13 @@ NAMED = frozenset(
 )
 TAG = re.compile(r"""<(/?)([A-Za-z][^\s/>\x00]*)((?:[^'">]|"[^"]*"|'[^']*')*+)>""")
 ATTRIBUTE = re.compile(r"""(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.IGNORECASE)
-#: A subtree is template that is on so many pages of its host, and on such a share of them.
-PAGES, SHARE = 8, 0.01
+#: A subtree is template that is on so many pages of its host, and on such a share of them. On hosts of fewer
+#: than twice PAGES pages half of them are enough, but no fewer than LEAST.
+PAGES, SHARE, LEAST = 8, 0.01, 3
+#: So many texts beside a subtree stand for the content that it recurs with.
+BESIDE = 3
+#: Up to so many templates are broadcast, in a row a host; more meet the pages in a join.
+BROADCAST = 2_000_000
 
 
 class Element:
@@ -165,21 +171,51 @@ def signed(h: int) -> int:
     return h - (1 << 64) if h >> 63 else h
 
 
-def subtrees(root: Element) -> list[int]:
-    """Distinct hashes of the elements outside of the page's own main part that may be deleted."""
+def longest(texts: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    return sorted(set(texts), reverse=True)[:BESIDE]
+
+
+def subtrees(root: Element) -> tuple[int, list[tuple[int, list[int]]]]:
+    """The hash of the content (the marked main part, else all), and the distinct elements that may be deleted, each
+    with the hashes of the longest texts of the content outside of it; none if there is no such text."""
     hashed(root)
-    out, todo = set(), [root]
-    while todo:
-        for x in todo.pop().parts:
-            if isinstance(x, Element) and not x.main:
-                if not x.holds_main and x.tag not in VOID and x.parts:
-                    out.add(signed(x.hash))
-                todo.append(x)
-    return sorted(out)
+    whole = not marked(root)
+    texts: list[tuple[int, int]] = []
+    found: list[tuple[int, int, int]] = []
+    # (element, whether it is in the content, position, texts before it)
+    stack: list[list] = [[root, whole, 0, 0]]
+    while stack:
+        e, inside, i, first = top = stack[-1]
+        if i == len(e.parts):
+            stack.pop()
+            if e is not root and not e.main and not e.holds_main and e.tag not in VOID and e.parts:
+                found.append((signed(e.hash), first, len(texts)))
+            continue
+        top[2] += 1
+        x = e.parts[i]
+        if isinstance(x, Element):
+            if not x.dropped:
+                stack.append([x, inside or x.main, 0, len(texts)])
+        elif inside and (t := " ".join(x.split())):
+            texts.append((len(t), signed(xxhash.xxh3_64_intdigest(t.encode()))))
+    before: list[list[tuple[int, int]]] = [[]]
+    for t in texts:
+        before.append(longest([*before[-1], t]))
+    after: list[list[tuple[int, int]]] = [[]]
+    for t in reversed(texts):
+        after.append(longest([*after[-1], t]))
+    out = {}
+    for h, i, j in found:
+        if h not in out and (near := [x for _, x in longest(before[i] + after[len(texts) - j])]):
+            out[h] = near + near[-1:] * (BESIDE - len(near))
+    content = xxhash.xxh3_64()
+    for _, h in texts:
+        content.update(h.to_bytes(8, "little", signed=True))
+    return signed(content.intdigest()), sorted(out.items())
 
 
 def text_of(root: Element, template: frozenset[int] = frozenset()) -> str:
-    """Text blocks in page order. If the page marks its main part (outside of what is dropped) only that, else all; without template subtrees."""
+    """Text blocks in page order. If the page marks its main part (outside of what is dropped) only that, else all; without template subtrees, which hashed() must have told apart."""
     whole = not marked(root)
     blocks: list[str] = []
     now: list[str] = []
@@ -203,7 +239,7 @@ def text_of(root: Element, template: frozenset[int] = frozenset()) -> str:
         if isinstance(x, str):
             if inside:
                 now.append(x)
-        elif x.dropped or (whole and x.hash and signed(x.hash) in template):
+        elif x.dropped or (x.hash and not x.main and not x.holds_main and signed(x.hash) in template):
             if x.tag in BLOCKS or x.tag in DROPPED - {"button", "svg"}:
                 flush()
         elif x.tag == "br":
@@ -232,27 +268,36 @@ def host(url: Column) -> Column:
 
 
 def site_subtrees(pages: DataFrame) -> DataFrame:
-    """(key, host, marked, hashes) of every page row."""
+    """(key, site, content, found: of each subtree its hash and the texts beside it) of every page row."""
+    kind = pa.list_(pa.struct([("hash", pa.int64()), ("beside", pa.list_(pa.int64()))]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            roots = [parse(x.as_py() or "") for x in b.column("html")]
-            yield pa.RecordBatch.from_arrays(
-                [b.column("key"), b.column("host"), pa.array([marked(r) for r in roots], pa.bool_()), pa.array([subtrees(r) for r in roots], pa.list_(pa.int64()))],
-                ["key", "host", "marked", "hashes"],
-            )
+            got = [subtrees(parse(x.as_py() or "")) for x in b.column("html")]
+            found = pa.array([[{"hash": h, "beside": near} for h, near in f] for _, f in got], kind)
+            yield pa.RecordBatch.from_arrays([b.column("key"), b.column("site"), pa.array([c for c, _ in got], pa.int64()), found], ["key", "site", "content", "found"])
 
-    return pages.select("key", "host", "html").mapInArrow(run, "key long, host string, marked boolean, hashes array<long>")
+    return pages.select("key", "site", "html").mapInArrow(run, "key long, site long, content long, found array<struct<hash: long, beside: array<long>>>")
 
 
 def templates(seen: DataFrame, pages: int = PAGES, share: float = SHARE) -> DataFrame:
-    """(host, hash) of the subtrees on at least ``pages`` pages and ``share`` of the pages of their host."""
-    size = seen.groupBy("host").agg(F.count("*").alias("n"))
-    counts = seen.select("host", F.explode("hashes").alias("hash")).groupBy("host", "hash").agg(F.count("*").alias("c")).where(F.col("c") >= pages)
-    return counts.join(size, "host").where(F.col("c") >= F.col("n") * share).select("host", "hash")
+    """(site, hash) of the subtrees that recur beside differing content.
+
+    Pages of equal content count once. The pages of a subtree are told apart by the texts beside it: each rank of
+    these is counted, and the middle count must reach ``pages`` (fewer on small hosts), ``share`` of the
+    host's pages, and half of the pages of the subtree.
+    """
+    once = seen.dropDuplicates(["site", "content"])
+    size = once.groupBy("site").agg(F.count("*").alias("n"))
+    one = once.select("site", F.explode("found").alias("f")).select("site", "f.hash", F.posexplode("f.beside").alias("rank", "text"))
+    ranks = one.groupBy("site", "hash", "rank", "text").agg(F.count("*").alias("c")).groupBy("site", "hash", "rank").agg(F.count("*").alias("d"), F.sum("c").alias("c"))
+    # BESIDE counts a subtree.
+    counts = ranks.where(F.col("c") >= min(LEAST, pages)).groupBy("site", "hash").agg(F.sort_array(F.collect_list("d"))[BESIDE // 2].alias("d"), F.max("c").alias("c"))
+    least = F.least(F.lit(pages), F.greatest(F.lit(LEAST), F.ceil(F.col("n") / 2)))
+    return counts.join(size, "site").where((F.col("d") >= least) & (F.col("d") >= F.col("n") * share) & (2 * F.col("d") >= F.col("c"))).select("site", "hash")
 
 
-def main_text(pages: DataFrame) -> DataFrame:
+def main_text(pages: DataFrame, broadcast: int = BROADCAST) -> DataFrame:
     """page_id, url, text, n_chars, one row per input row.
 
     Null html counts as empty, with an empty text. Pages without a URL share the empty host.
@@ -260,39 +305,27 @@ def main_text(pages: DataFrame) -> DataFrame:
     gives an empty result.
     """
     pages = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
-    keyed = pages.withColumn("key", F.xxhash64("page_id", "url")).withColumn("host", host(F.col("url")))
+    keyed = pages.withColumn("key", F.xxhash64("page_id", "url")).withColumn("site", F.xxhash64(host(F.col("url"))))
     seen = site_subtrees(keyed).checkpoint()
-    open_ = seen.where("not marked").select("key", "host", F.explode("hashes").alias("hash"))
-    # Bounded by the elements of one page.
-    cut = open_.join(templates(seen), ["host", "hash"]).groupBy("key").agg(F.collect_set("hash").alias("cut"))
+    found = templates(seen).checkpoint()
+    if found.count() <= broadcast:
+        cut = F.broadcast(found.groupBy("site").agg(F.collect_list("hash").alias("cut")))
+        met = keyed.join(cut, "site", "left")
+    else:
+        # Bounded by the elements of one page.
+        held = seen.select("key", "site", F.explode("found.hash").alias("hash"))
+        met = keyed.join(held.join(found, ["site", "hash"]).groupBy("key").agg(F.collect_set("hash").alias("cut")), "key", "left")
     schema = "page_id long, url string, text string, n_chars long"
 
-    def rows(b: pa.RecordBatch, texts: list[str | None]) -> pa.RecordBatch:
-        at = [i for i, t in enumerate(texts) if t is not None]
-        kept = [texts[i] for i in at]
-        return pa.RecordBatch.from_arrays(
-            [b.column("page_id").take(pa.array(at, pa.int64())), b.column("url").take(pa.array(at, pa.int64())), pa.array(kept, pa.string()), pa.array([len(t) for t in kept], pa.int64())],
-            ["page_id", "url", "text", "n_chars"],
-        )
-
-    def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            roots = [parse(x.as_py() or "") for x in b.column("html")]
-            yield rows(b, [text_of(r) if marked(r) else None for r in roots])
-
-    def unmarked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            yield b.filter(pa.array([not marked(parse(x.as_py() or "")) for x in b.column("html")], pa.bool_()))
-
-    def rest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts: list[str | None] = []
+            texts = []
             for x, gone in zip(b.column("html"), b.column("cut"), strict=True):
                 root = parse(x.as_py() or "")
-                hashed(root)
+                if gone.is_valid:
+                    hashed(root)
                 texts.append(text_of(root, frozenset(gone.as_py() or ())))
-            yield rows(b, texts)
+            lengths = pa.array([len(t) for t in texts], pa.int64())
+            yield pa.RecordBatch.from_arrays([b.column("page_id"), b.column("url"), pa.array(texts, pa.string()), lengths], ["page_id", "url", "text", "n_chars"])
 
-    # Pages that mark their main part are done where they are read; only the others meet their host's templates.
-    others = keyed.select("page_id", "url", "html", "key").mapInArrow(unmarked, "page_id long, url string, html string, key long")
-    return pages.mapInArrow(own, schema).unionByName(others.join(cut, "key", "left").select("page_id", "url", "html", "cut").mapInArrow(rest, schema))
+    return met.select("page_id", "url", "html", "cut").mapInArrow(run, schema)

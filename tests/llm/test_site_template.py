@@ -43,3 +43,23 @@ def test_recurring_subtrees_go_from_unmarked_pages(spark):
     assert got == sorted(want)
     assert not marked(parse(rows[0][2])) and marked(parse(rows[25][2]))
     assert main_text(spark.createDataFrame([], "page_id long, url string, html string")).collect() == []
+
+
+def test_recurring_subtrees_go_from_main_parts(spark):
+    box, share = "<div><b>Jane Roe</b><p>writes on many things, for many years, and more often than not in long sentences.</p></div>", "<p>Pass it on</p>"
+    page = lambda *own: f"<article><h1>Title {own[0]}</h1>{''.join(f'<p>{x}</p>' for x in own)}{box}{share}</article>"
+    rows = [(i, "https://a.example/", page(f"Story {i}", f"Its end {i}")) for i in range(20)]
+    rows += [(100 + i, "https://small.example/", page(f"Little {i}", f"Its end {i}")) for i in range(4)]
+    rows += [(200 + i, "https://copies.example/", page("Same story", "Same end")) for i in range(20)]
+    # Near copies: one paragraph of ten differs.
+    rows += [(300 + i, "https://near.example/", page(*(f"Paragraph {j} of the story" + f" as told by {i}" * (j == i % 10) for j in range(10))).replace(box + share, "")) for i in range(40)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in main_text(df).collect()}
+    assert got == {r.page_id: r.text for r in main_text(df, broadcast=0).collect()}
+    for i in range(20):
+        assert got[i] == f"Title Story {i}\nStory {i}\nIts end {i}"
+        assert got[200 + i] == text(rows[24][2])
+    for i in range(4):
+        assert got[100 + i] == f"Title Little {i}\nLittle {i}\nIts end {i}"
+    for i, _, h in rows[44:]:
+        assert got[i] == text(h)
