@@ -4,7 +4,8 @@ Plain identifiers are found in the text as it stands. Then a chain of transducer
 text: look-alike characters become the letters and digits that they imitate, invisible ones go,
 bracketed or spelled at and dot become @ and ., spelled digits become digits. Every output
 character keeps the start and end of the source characters that it stands for. Identifiers that
-appear only in the rewritten text are mapped back to source spans and added.
+appear only in the rewritten text are mapped back to source spans and added, also where a plain
+rest of one is a base span already.
 """
 
 from __future__ import annotations
@@ -12,7 +13,9 @@ from __future__ import annotations
 import hashlib
 import re
 import unicodedata
+from bisect import bisect_right
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -148,7 +151,7 @@ def deobfuscated(text: str) -> tuple[Tape, list[Span]]:
 
 
 def spans(text: str | None) -> tuple[dict[str, list[Span]], dict[str, list[Span]]]:
-    """Base spans, and those that deobfuscation adds, in source code points. An added span overlaps no other span."""
+    """Base spans, and those that deobfuscation adds, in source code points. An added span lies in no base span of its kind and in no added span."""
     base = identifiers(text or "")
     added: dict[str, list[Span]] = {k: [] for k in KINDS}
     if not text or not disguised(text):
@@ -156,14 +159,15 @@ def spans(text: str | None) -> tuple[dict[str, list[Span]], dict[str, list[Span]
     tape, phones = deobfuscated(text)
     found = identifiers(tape.text)
     found["phone"] += phones
-    taken = sorted(x for k in KINDS for x in base[k])
     for kind in KINDS:
-        for i, j in found[kind]:
-            a, b = tape.start[i], tape.end[j - 1]
-            if all(b <= x or a >= y for x, y in taken):
+        held = sorted([*base[kind], *(x for k in KINDS for x in added[k])])
+        starts, ends = [a for a, _ in held], list(accumulate((b for _, b in held), max))
+        far = -1
+        for a, b in sorted(((tape.start[i], tape.end[j - 1]) for i, j in found[kind]), key=lambda x: (x[0], -x[1])):
+            i = bisect_right(starts, a)
+            if b > far and not (i and b <= ends[i - 1]):
                 added[kind].append((a, b))
-                taken.append((a, b))
-        added[kind].sort()
+                far = b
     return base, added
 
 

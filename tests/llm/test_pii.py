@@ -71,3 +71,14 @@ def test_query_rows(spark):
     assert (r.n_email, r.n_ip, r.n_card, r.n_phone, r.n_added) == (1, 1, 0, 1, 0)
     assert pii_spans(df.limit(0)).collect() == []
     assert [r.text for r in mask_pii(df).collect()] == [None, "é [EMAIL] [IP] 1.2.3.999 [PHONE]", ""]
+
+
+def test_disguise_in_part_of_an_identifier():
+    for t, plain_rest in (("jоhn@example.com", (2, 16)), ("bob@mail.exаmple.com", (0, 11)), ("ann@mail.example [dot] org", (0, 16))):
+        base, added = spans(f"{t}")
+        assert base["email"] == [plain_rest]
+        assert added == {k: [(0, len(t))] if k == "email" else [] for k in KINDS}
+        assert masked(f"to {t} now") == "to [EMAIL] now"
+    # What is found plainly already is not added, and no letter of an overlap is left.
+    assert not any(spans("a@b.co – c")[1].values())
+    assert masked("ring +1 (988) 555-248５!") == "ring [PHONE]!"
