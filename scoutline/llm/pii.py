@@ -2,7 +2,7 @@
 
 Plain identifiers are found in the text as it stands. Then a chain of transducers rewrites the
 text: look-alike characters become the letters and digits that they imitate, invisible ones go,
-bracketed or spelled at and dot become @ and ., spelled digits become digits. Every output
+bracketed or spelled at and dot become @ and ., spelled digits become digits, also among figures. Every output
 character keeps the start and end of the source characters that it stands for. Identifiers that
 appear only in the rewritten text are mapped back to source spans and added, also where a plain
 rest of one is a base span already.
@@ -88,13 +88,14 @@ DISGUISED = re.compile("[" + "".join(LOOK_ALIKE) + INVISIBLE + "！-～٠-٩۰-
 # Names of the digits.
 DIGITS = {"zero": "0", "oh": "0", "one": "1", "two": "2", "three": "3", "four": "4", "five": "5", "six": "6", "seven": "7", "eight": "8", "nine": "9"}
 NAME = "(?:" + "|".join(DIGITS) + ")"
-#: Seven or more names of digits, with plus before them or not.
-SPELLED = re.compile(rf"(?<![A-Za-z0-9])(?:plus[\x20-]+)?{NAME}(?:[\x20-]+{NAME}){{6,}}(?![A-Za-z0-9])", re.IGNORECASE)
-BRACKETED = re.compile(r"\s{0,9}[\[({<]\s{0,9}(?:(at)|(dot))\s{0,9}[\])}>]\s{0,9}", re.IGNORECASE)
+#: A run of names of digits and figures, with plus before them or not; dots may be between.
+SPELLED = re.compile(rf"(?<![A-Za-z0-9])(?:plus[\x20-]+|\+[\x20-]*)?(?:{NAME}|[0-9])(?:(?:[\x20-]+|\.)?(?:{NAME}|[0-9]))*(?![A-Za-z0-9])", re.IGNORECASE)
+SPELLED_PART = re.compile(rf"plus|{NAME}|[\x20-]+", re.IGNORECASE)
+BRACKETED = re.compile(r"\s{0,9}[\[({<]\s{0,9}(?:(at|@)|(dot|\.))\s{0,9}[\])}>]\s{0,9}", re.IGNORECASE)
 #: name at host dot tld in words, with spaces around at and dot.
-WORDED = re.compile(r"(?<=[A-Za-z0-9])(\x20{1,9}at\x20{1,9})(?=[A-Za-z0-9-]{1,63}(?:\x20{1,9}dot\x20{1,9}|\.)[A-Za-z]{2,})", re.IGNORECASE)
-DOT = re.compile(r"(?<=[A-Za-z0-9])\x20{1,9}dot\x20{1,9}(?=[A-Za-z]{2,})", re.IGNORECASE)
-RUN = re.compile(r"\+?[0-9]{7,}")
+WORDED = re.compile(r"(?<=[A-Za-z0-9])(\x20{1,9}at\x20{1,9})(?=(?:[A-Za-z0-9-]{1,63}(?:\x20{1,9}dot\x20{1,9}|\.))+[A-Za-z]{2,})", re.IGNORECASE)
+DOT = re.compile(r"(?<=[A-Za-z0-9])\x20{1,9}dot\x20{1,9}(?=[A-Za-z]{2,}|[0-9])", re.IGNORECASE)
+RUN = re.compile(r"\+?[0-9](?:\.?[0-9]){6,}")
 
 
 class Tape:
@@ -125,12 +126,26 @@ def plain(c: str) -> str:
     return str(d) if d is not None else unicodedata.normalize("NFKC", c)
 
 
+def spelled(text: str) -> Iterator[list[tuple[int, int, str]]]:
+    """The edits of every run with two or more names and the digits of a phone number, or with a name and the form of an address."""
+    for m in SPELLED.finditer(text):
+        edits = [(m.start() + w.start(), m.start() + w.end(), "+" if w[0].lower() == "plus" else DIGITS.get(w[0].lower(), "")) for w in SPELLED_PART.finditer(m[0])]
+        names = sum(new.isdigit() for _, _, new in edits)
+        if names and (names > 1 and names + len(DIGIT.findall(m[0])) >= 7 or IP.fullmatch(SPELLED_PART.sub(lambda w: DIGITS.get(w[0].lower(), ""), m[0]))):
+            yield edits
+
+
 def disguised(text: str) -> bool:
-    """Whether any transducer may change the text."""
+    """Whether any transducer changes the text."""
     if not text.isascii() and DISGUISED.search(text):
         return True
     low = text.lower()
-    return ("dot" in low and bool(BRACKETED.search(text) or DOT.search(text))) or (("at" in low) and bool(BRACKETED.search(text))) or bool(SPELLED.search(text))
+    return bool(
+        (any(c in text for c in "[({<") and BRACKETED.search(text))
+        or (" at " in low and WORDED.search(text))
+        or (" dot " in low and DOT.search(text))
+        or next(spelled(text), None)
+    )
 
 
 def deobfuscated(text: str) -> tuple[Tape, list[Span]]:
@@ -140,13 +155,10 @@ def deobfuscated(text: str) -> tuple[Tape, list[Span]]:
     tape.rewrite([(m.start(), m.end(), "@" if m[1] else ".") for m in BRACKETED.finditer(tape.text)])
     tape.rewrite([(*m.span(1), "@") for m in WORDED.finditer(tape.text)])
     tape.rewrite([(*m.span(), ".") for m in DOT.finditer(tape.text)])
-    edits = []
-    for m in SPELLED.finditer(tape.text):
-        for w in re.finditer(rf"plus|{NAME}|[\x20-]+", m[0], re.IGNORECASE):
-            edits.append((m.start() + w.start(), m.start() + w.end(), "+" if w[0].lower() == "plus" else DIGITS.get(w[0].lower(), "")))
+    edits = [e for run in spelled(tape.text) for e in run]
     spoken = {i for a, b, new in edits if new for i in range(tape.start[a], tape.end[b - 1])}
     tape.rewrite(edits)
-    phones = [m.span() for m in RUN.finditer(tape.text) if tape.start[m.start()] in spoken and len(m[0].lstrip("+")) <= 15]
+    phones = [m.span() for m in RUN.finditer(tape.text) if len(NOT_DIGIT.sub("", m[0])) <= 15 and any(tape.start[i] in spoken for i in range(*m.span()))]
     return tape, phones
 
 

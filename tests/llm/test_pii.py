@@ -82,3 +82,17 @@ def test_disguise_in_part_of_an_identifier():
     # What is found plainly already is not added, and no letter of an overlap is left.
     assert not any(spans("a@b.co – c")[1].values())
     assert masked("ring +1 (988) 555-248５!") == "ring [PHONE]!"
+
+
+def test_every_disguise_alone_opens_the_gate():
+    assert only("write to alice at example.com") == [("email", "alice at example.com")]
+    assert only("write to alice at 3com.example dot org") == [("email", "alice at 3com.example dot org")]
+    assert only("mail john[@]example[.]com now") == [("email", "john[@]example[.]com")]
+    assert only("ip 192 dot 168 dot 1 dot 1") == [("ip", "192 dot 168 dot 1 dot 1")]
+    assert only("ip one nine two dot one six eight dot one dot one") == [("ip", "one nine two dot one six eight dot one dot one")]
+    assert only("ip 10 dot zero dot 0 dot 7") == [("ip", "10 dot zero dot 0 dot 7")]
+    assert only("call 555 one two three 4, ok") == [("phone", "555 one two three 4")]
+    assert only("call five five five dot one two three four") == [("phone", "five five five dot one two three four")]
+    assert only("card 4111 one one one one 1111 one one one one") == [("card", "4111 one one one one 1111 one one one one")]
+    for t in ("three dot five", "one or two of 2000000", "at 10 dot 30", "look at this. one two three 4 5", "f(.) and a [@] b", "1 2 3 4 5 6 7 8"):
+        assert only(t) == []
