@@ -5,7 +5,8 @@ host that hold a subtree, and subtrees that recur beside differing content are d
 page marks as its article or main part as elsewhere. Copies of one article recur too: copies of a
 page count once, and the longest texts beside a subtree must differ between half of its pages.
 Elements whose tag, role, class or id name a menu, header, footer,
-sidebar, notice, advert, form or reader comments are left out everywhere.
+sidebar, notice, advert, form or reader comments are left out everywhere; class and id leave out no
+element that holds the page's main part.
 """
 
 from __future__ import annotations
@@ -46,7 +47,10 @@ NAMED = frozenset(
     "replies share sharing social related recommended widget skiplink pagination pager".split()
 )
 TAG = re.compile(r"""<(/?)([A-Za-z][^\s/>\x00]*)((?:[^'">]|"[^"]*"|'[^']*')*+)>""")
-ATTRIBUTE = re.compile(r"""(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.IGNORECASE)
+#: One attribute after the other: the name, and the value if there is one.
+ATTRIBUTE = re.compile(r"""([^\s/=>"'][^\s/=>]*)(?:\s*+=\s*+(?:"([^"]*)"|'([^']*)'|([^\s"'>][^\s>]*)))?""")
+#: What holds the page or its main part is no part of a menu, whatever its class and id say.
+HOLDERS = MAIN | {"html", "body"}
 #: A subtree is template that is on so many pages of its host, and on such a share of them. On hosts of fewer
 #: than twice PAGES pages half of them are enough, but no fewer than LEAST.
 PAGES, SHARE, LEAST = 8, 0.01, 3
@@ -57,32 +61,69 @@ BROADCAST = 2_000_000
 
 
 class Element:
-    __slots__ = ("tag", "dropped", "main", "parts", "hash", "holds_main")
+    __slots__ = ("tag", "dropped", "main", "parts", "hash", "holds_main", "named", "rank")
 
     def __init__(self, tag: str, dropped: bool, main: bool):
         self.tag, self.dropped, self.main, self.holds_main = tag, dropped, main, main
         self.parts: list[Element | str] = []
         self.hash = 0
+        self.named, self.rank = False, 0
 
 
-def named(attributes: str) -> bool:
-    """Whether role, class, id or hiding say that the element is no part of the article."""
-    for m in ATTRIBUTE.finditer(attributes):
-        name, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
-        if name == "hidden" or (name == "aria-hidden" and value == "true") or (name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value)):
-            return True
-        if name == "role" and value in ROLES:
-            return True
-        if name in ("class", "id") and not NAMED.isdisjoint(re.split(r"[^a-z]+", value)):
-            return True
-    return False
+def attributes(tag: str) -> dict[str, str]:
+    """Names and values of an opening tag, in lower case; of repeated names the first counts, as in a browser."""
+    out: dict[str, str] = {}
+    for m in ATTRIBUTE.finditer(tag):
+        if m[1]:
+            out.setdefault(m[1].lower(), (m[2] or m[3] or m[4] or "").lower())
+    return out
+
+
+def hidden(of: dict[str, str]) -> bool:
+    """Whether the element does not show."""
+    return "hidden" in of or of.get("aria-hidden") == "true" or bool(re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", of.get("style", "")))
+
+
+def named(of: dict[str, str]) -> bool:
+    """Whether class or id say that the element is no part of the article."""
+    return any(not NAMED.isdisjoint(re.split(r"[^a-z]+", of.get(k, ""))) for k in ("class", "id"))
+
+
+def settle(root: Element) -> None:
+    """Drops what is named by class or id, but not what holds the main part: a main element, or articles of which none is outside of what is named."""
+    order, todo = [], [root]
+    while todo:
+        e = todo.pop()
+        order.append(e)
+        todo += [x for x in e.parts if isinstance(x, Element) and not x.dropped]
+    for e in reversed(order):
+        own = 0 if not e.main else 1 if e.tag == "article" else 2
+        e.rank = max([own, *(x.rank for x in e.parts if isinstance(x, Element))])
+    todo, found = [root], False
+    while todo:
+        holders = []
+        while todo:
+            for x in todo.pop().parts:
+                if not isinstance(x, Element) or x.dropped:
+                    continue
+                if x.named and x.rank < 2:
+                    x.dropped = True
+                    if x.rank:
+                        holders.append(x)
+                    continue
+                found |= x.main
+                todo.append(x)
+        if not found:
+            for x in holders:
+                x.dropped = False
+            todo = holders
 
 
 def parse(page: str) -> Element:
     """The element tree. What a browser would repair is repaired simply: unknown end tags are
     skipped, an end tag closes what is open within it, an unfinished tag or comment ends the page."""
     root = Element("html", False, False)
-    stack, at, end = [root], 0, len(page)
+    stack, at, end, any_named = [root], 0, len(page), False
 
     def close(n: int) -> None:
         while len(stack) > n:
@@ -119,7 +160,9 @@ def parse(page: str) -> Element:
                     close(i)
                     break
             continue
-        if tag in ("html", "body") and not named(m[3]):
+        of = attributes(m[3])
+        role = (of.get("role", "").split() or [""])[0]
+        if tag in ("html", "body") and not hidden(of) and role not in ROLES:
             stack[-1].parts.append(Element(tag, False, False))
             continue
         if tag in CLOSES:
@@ -139,8 +182,10 @@ def parse(page: str) -> Element:
                 if stack[i].tag in BLOCKS:
                     break
         inside = any(e.main for e in stack)
-        dropped = tag in DROPPED or named(m[3]) or (tag == "header" and not inside)
-        e = Element(tag, dropped, not dropped and (tag in MAIN or "main" in m[3] and bool(re.search(r"""role\s*=\s*["']?main\b""", m[3]))))
+        dropped = tag in DROPPED or hidden(of) or role in ROLES or (tag == "header" and not inside)
+        e = Element(tag, dropped, not dropped and (tag in MAIN or role == "main"))
+        e.named = not dropped and not e.main and tag not in HOLDERS and named(of)
+        any_named |= e.named
         stack[-1].parts.append(e)
         if tag in RAW:
             stop = re.compile(rf"</{re.escape(tag)}[\s/>]", re.IGNORECASE).search(page, at)
@@ -150,6 +195,8 @@ def parse(page: str) -> Element:
         if tag not in VOID and not m[3].endswith("/") or tag in BLOCKS - VOID:
             stack.append(e)
     close(1)
+    if any_named:
+        settle(root)
     return root
 
 

@@ -63,3 +63,22 @@ def test_recurring_subtrees_go_from_main_parts(spark):
         assert got[100 + i] == f"Title Little {i}\nLittle {i}\nIts end {i}"
     for i, _, h in rows[44:]:
         assert got[i] == text(h)
+
+
+def test_names_do_not_drop_the_main_part():
+    story = "<article><p>Story</p></article>"
+    for c in ("has-sidebar", "nav-open", "right-sidebar"):
+        assert text(f"<html class={c}><body class='{c}'>{story}<nav>n</nav></body></html>") == "Story"
+        assert text(f'<body><div class="{c}"><div id="{c}">{story}</div></div>') == "Story"
+    assert text('<article class="post has-comments"><p>Story</p><div class="comments"><article>First!</article></div></article>') == "Story"
+    assert text('<main id="login"><p>Story</p></main>') == "Story"
+    assert text(f'<div class="comments"><article>First!</article></div>{story}') == "Story"
+    assert text('<div class="page-nav"><main><p>Story</p></main></div><article>Teaser</article>') == "Story\nTeaser"
+    assert text(f'<div class="page-nav">{story}<div class="comments"><article>First!</article></div></div>') == "Story"
+    assert text('<body class="nav-open"><p>Story</p><div class="nav">n</div>') == "Story"
+
+
+def test_attributes_are_read_by_name():
+    assert text('<p>a <a href="/hidden-gems/">text</a> <a href=/hidden/>too</a></p><p title="a hidden treasure">b</p><p data-class="ad" data-role=menu>c</p>') == "a text too\nb\nc"
+    assert text("<p title='class=ad'>a</p><p class = 'x AD'>b</p><p HIDDEN>c</p><p aria-hidden=true>d</p><p title=x hidden=''>e</p><p role=dialog>f</p><p id=ad>g</p>") == "a"
+    assert text('<div data-role="main">a</div><p>b</p>') == "a\nb"
