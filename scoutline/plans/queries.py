@@ -634,7 +634,7 @@ def _(documents_):
 def commit_log(events: DataFrame) -> DataFrame:
     """A log for each user: every commit's parents are the next one or two older ones."""
     k = F.col("event_id")
-    return events.where("event_id < 4000").withColumn("pos", F.row_number().over(Window.partitionBy("user_id").orderBy(F.desc("event_id"))).cast("long")).select(F.col("user_id").cast("string").alias("repo"), "pos", k.alias("id"), F.lead("event_id").over(Window.partitionBy("user_id").orderBy(F.desc("event_id"))).alias("p1"), F.lead("event_id", 2).over(Window.partitionBy("user_id").orderBy(F.desc("event_id"))).alias("p2"))
+    return events.withColumn("pos", F.row_number().over(Window.partitionBy("user_id").orderBy(F.desc("event_id"))).cast("long")).select(F.col("user_id").cast("string").alias("repo"), "pos", k.alias("id"), F.lead("event_id").over(Window.partitionBy("user_id").orderBy(F.desc("event_id"))).alias("p1"), F.lead("event_id", 2).over(Window.partitionBy("user_id").orderBy(F.desc("event_id"))).alias("p2"))
 
 
 @query("S9_parse_log", "orders", sql="SELECT o_orderkey AS pos, 'h' || o_orderkey AS hash, 'Fix ' || o_orderpriority AS message, CASE WHEN o_orderkey % 2 = 0 THEN 2 ELSE 0 END::INT AS n_parents, 'main,v1,dev' AS refs FROM orders")

@@ -171,3 +171,12 @@ def test_ticket_defaults(spark):
     raw = json.dumps({"issues": [{"key": "A-1", "fields": {"summary": "s"}}]})
     r = tickets.flattened(table(spark, [(raw,), ('{"issues":[]}',), ("{broken",)], "value string")).collect()
     assert [(x.key, x.category, x.priority, x.type, x.assignee, x.sprint, x.project) for x in r] == [("A-1", "new", "Medium", "Task", "Unassigned", None, "A")]
+
+
+def test_commit_lanes_take_every_event(spark):
+    from scoutline.plans.queries import QUERIES
+    from scoutline.session import table
+
+    sf = "/root/testdata/sf0.01"
+    got = QUERIES["G1_J14_A19_commit_lanes"](spark, sf).select(F.col("hash").cast("long").alias("id")).collect()
+    assert sorted(r.id for r in got) == sorted(r.event_id for r in table(spark, sf, "events").select("event_id").collect())
