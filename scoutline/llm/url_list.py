@@ -12,8 +12,6 @@ from pyspark.sql import functions as F
 
 #: Width of the time buckets that intervals and captures meet in.
 BUCKET = 32
-#: Parent names of a host that are looked up, its own included.
-LEVELS = 6
 
 
 def keys(url: Column) -> Column:
@@ -22,7 +20,7 @@ def keys(url: Column) -> Column:
     host, first = F.lower(F.regexp_extract(url, m, 1)), F.regexp_extract(url, m, 2)
     labels = F.split(host, r"\.")
     parents = F.transform(
-        F.sequence(F.lit(1), F.greatest(F.lit(1), F.least(F.lit(LEVELS), F.size(labels) - 1))),
+        F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(labels) - 1)),
         lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."),
     )
     return F.when(host == "", F.array().cast("array<string>")).otherwise(F.array_distinct(F.concat(parents, F.when(first != "", F.array(F.concat_ws("/", host, first))).otherwise(F.array().cast("array<string>")))))

@@ -41,3 +41,13 @@ def test_against_replay(spark):
     assert got == sorted(want, key=lambda x: (x[0], x[1], x[2] or "", x[3]))
     assert listed_captures(spark.createDataFrame([], "id long, url string, at long"), spark.createDataFrame(entries, "key string, at long, listed boolean")).collect() == []
     assert listed_captures(spark.createDataFrame(captures, "id long, url string, at long"), spark.createDataFrame([], "key string, at long, listed boolean")).where("blocked").count() == 0
+
+
+def test_hosts_of_many_labels(spark):
+    for host in ("a.b.c.d.e.f.example.com", ".".join("a" * 125) + ".example.com"):
+        captures = spark.createDataFrame([(1, f"http://{host}/x", 5), (2, f"http://{host}/x", 9)], "id long, url string, at long")
+        got = [k for k in captures.select(keys(F.col("url")).alias("k")).first().k if "/" not in k]
+        labels = host.split(".")
+        assert sorted(got) == sorted(".".join(labels[i:]) for i in range(len(labels) - 1))
+        entries = spark.createDataFrame([("example.com", 1, True), ("example.com", 8, False)], "key string, at long, listed boolean")
+        assert sorted((r.id, r.matched_key) for r in listed_captures(captures, entries).collect()) == [(1, "example.com"), (2, None)]
