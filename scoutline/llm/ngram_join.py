@@ -15,8 +15,8 @@ same rank, on both sides, whence some shared signature is published by both (the
 written out at ``signatures``). This drops empty and weak signatures without losing a pair.
 
 Signatures of distinct sets are grouped; every group is compared with its smallest member, and
-components are formed. Members of one group that are still in different components can only link by
-sharing what sets them apart from that smallest member (see ``across``), and are compared where they do.
+components are formed. Members of one group that are still in different components may link past its
+smallest member; what they share of their rarest elements tells which of them are compared (see ``across``).
 Every comparison is exact on the sets of 64-bit n-gram hashes.
 """
 
@@ -36,9 +36,11 @@ from scoutline.llm.shared import Scratch, connected_components
 U = np.uint64
 C1, C2, C3 = U(0x9E3779B97F4A7C15), U(0xBF58476D1CE4E5B9), U(0x94D049BB133111EB)
 #: Words that a worker remembers the hash of.
-MEMO = 1_000_000
+MEMO = 100_000
 #: Ratio of the ends of a size band.
 BAND = 2.0
+#: Elements that a batch of rows holds, about.
+ELEMENTS = 100_000
 
 
 class WordHashes(dict):
@@ -205,65 +207,57 @@ def verified(pairs: DataFrame, docs: DataFrame, n: int, num: int, den: int) -> D
     return _with_texts(pairs, docs).mapInArrow(run, "a long, b long")
 
 
-def differences(stars: DataFrame, docs: DataFrame, n: int) -> DataFrame:
-    """A row for each element e in which the set of b differs from that of a, for rows (a, b, cb).
+def elements(docs: DataFrame, n: int) -> DataFrame:
+    """(e, b, member, cb, size): a row for each element of the set of every row (doc_id, text, cb).
 
-    star and member tell apart the texts of ids that have several; d counts the elements.
+    member tells apart the texts of an id that has several.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, held = word_hashes(), {}
-        names = ("star", "b", "member", "cb", "size", "centre", "d", "e")
+        hashes = word_hashes()
         for batch in batches:
-            b, c = batch.column("b").to_numpy(), batch.column("cb").to_numpy()
-            ta, tb = batch.column("ta").cast(pa.binary()), batch.column("tb").cast(pa.binary())
-            ia = batch.column("a").to_numpy()
-            for i in range(batch.num_rows):
-                centre, own = ta[i].as_py(), tb[i].as_py()
-                if centre not in held:
-                    if len(held) >= 64:
-                        held.clear()
-                    held[centre] = shingles(centre, n, hashes)
-                p, x = held[centre], shingles(own, n, hashes)
-                e = np.setxor1d(p, x, assume_unique=True).view(np.int64)
-                star = xxhash.xxh3_64_intdigest(centre + b"\n%d" % ia[i]) >> 1
-                row = (star, b[i], xxhash.xxh3_64_intdigest(own) >> 1, c[i], len(x), len(p), len(e))
-                yield pa.RecordBatch.from_arrays([*(pa.array(np.full(len(e), v, np.int64)) for v in row), pa.array(e)], list(names))
-
-    schema = ", ".join(f"{c} long" for c in ("star", "b", "member", "cb", "size", "centre", "d", "e"))
-    return _with_texts(stars, docs, "cb").mapInArrow(run, schema)
+            ids, comps, texts = batch.column("doc_id").to_numpy(), batch.column("cb").to_numpy(), _bytes(batch, "text")
+            at = 0
+            while at < len(ids):
+                # Whole sets, of about ELEMENTS elements together.
+                sets, first, held = [], at, 0
+                while at < len(ids) and held < ELEMENTS:
+                    sets.append(shingles(texts[at], n, hashes))
+                    held += len(sets[-1])
+                    at += 1
+                sizes = [len(x) for x in sets]
+                members = [xxhash.xxh3_64_intdigest(t or b"") >> 1 for t in texts[first:at]]
+                columns = [np.repeat(np.array(v, np.int64), sizes) for v in (ids[first:at], members, comps[first:at], sizes)]
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sets).view(np.int64)), *map(pa.array, columns)], ["e", "b", "member", "cb", "size"])
+
+    return docs.select("doc_id", "text", "cb").mapInArrow(run, "e long, b long, member long, cb long, size long")
 
 
 def across(rows: DataFrame, num: int, den: int, scratch: Scratch) -> DataFrame:
-    """Pairs (a < b) of members of one star, in different components, that may still link.
-
-    Let x, y differ from the star's centre p in dx, dy elements. They differ from each other in
-    dx + dy less twice the differences that they share. If dx + dy is no more than linked sets may
-    differ in, both are linked to p, and are in one component. Otherwise linked x and y
-    share t differences or more, t = (dx + dy - largest difference of linked x, y) / 2. Differences are ordered,
-    rare ones first, and the first one shared must leave t - 1 more after it on both sides. One side is
-    not linked to p, which bounds t from below for the other: members publish only as many of their
-    differences as that bound asks for. Near copies of one text with edits of their own
-    differ from it mostly in elements that no other copy has, and so meet only where edits coincide.
+    """Pairs (a < b) in different components that may still link, of all sets of ``elements``.
+
+    Elements are ordered, those that few of the sets hold first. Linked sets of x >= y elements share at least
+    o = num * (x + y) / (num + den) of them, and so the first one shared is among the first x - o + 1 of the one and
+    y - o + 1 of the other, where o >= num * x / den and o >= 2 * num * y / (num + den). Sets publish no more than
+    that, and of it only elements that sets of several components hold: those of near copies, which are in one component
+    by now, meet nowhere. After the first shared element both sets must have o - 1 more.
     """
-    a, b = den - num, den + num
     rows = scratch.save(rows)
-    common = rows.groupBy("star", "e").agg(F.count("*").alias("c")).where("c > 1")
-    own = Window.partitionBy("star", "b", "member")
-    up = lambda x: f"cast(ceil(({x}) / {2 * b}.0D) as long)"
-    placed = (
-        rows.join(common, ["star", "e"])
-        .withColumn("i", F.col("d") - F.count("*").over(own) + F.row_number().over(own.orderBy("c", "e")))
-        .withColumn("far", F.expr(f"{b} * d > {a} * (size + centre)"))
-        .withColumn("near_far", F.expr(f"d + 1 - greatest(1, {up(f'{b} * d - {a} * size + {a} * centre + 1')})"))
-        .withColumn("far_near", F.expr(f"d + 1 - greatest(1, {up(f'{b} * d - {a} * size - {a} * centre + {b - a}')})"))
-        .where("i <= if(far, greatest(near_far, far_near), near_far)")
+    common = rows.groupBy("e").agg(F.count("*").alias("c"), (F.min("cb") < F.max("cb")).alias("mixed")).where("c > 1")
+    own = Window.partitionBy("b", "member")
+    placed = scratch.save(
+        rows.join(common, "e")
+        .withColumn("i", F.col("size") - F.count("*").over(own) + F.row_number().over(own.orderBy("c", "e")))
+        .where(f"mixed and {den} * (i - 1) <= {den - num} * size")
+        .select("e", "b", "cb", "size", "i")
+    )
+    scratch.drop(rows)
+    larger = placed.select("e", *[F.col(x).alias(f"{x}1") for x in ("b", "cb", "size", "i")])
+    smaller = placed.where(f"{num + den} * (i - 1) <= {den - num} * size").select("e", *[F.col(x).alias(f"{x}2") for x in ("b", "cb", "size", "i")])
+    met = larger.join(smaller, "e").where(
+        f"b1 <> b2 and cb1 <> cb2 and size1 >= size2 and {num} * size1 <= {den} * size2"
+        f" and {num} * (size1 + size2) <= {num + den} * (1 + least(size1 - i1, size2 - i2))"
     )
-    placed = scratch.save(placed.select("star", "e", "b", "cb", "size", "d", "i", "far", "near_far"))
-    left = placed.where("far").select("star", "e", *[F.col(x).alias(f"{x}1") for x in ("b", "cb", "size", "d", "i")])
-    right = placed.where("i <= near_far").select("star", "e", *[F.col(x).alias(f"{x}2") for x in ("b", "cb", "size", "d", "i")])
-    least = up(f"{b} * (d1 + d2) - {a} * (size1 + size2)")
-    met = left.join(right, ["star", "e"]).where(f"b1 <> b2 and cb1 <> cb2 and {den} * size1 >= {num} * size2 and {den} * size2 >= {num} * size1 and {least} <= 1 + least(d1 - i1, d2 - i2)")
     return met.select(F.least("b1", "b2").alias("a"), F.greatest("b1", "b2").alias("b")).distinct()
 
 
@@ -286,34 +280,37 @@ def ngram_jaccard_join(docs: DataFrame, n: int = 3, num: int = 90, den: int = 10
         sigs = scratch.save(publish(once, n, num, den))
         groups = scratch.save(
             sigs.groupBy("sig")
-            .agg(F.count("*").alias("c"), F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.sum(F.xxhash64("doc_id") / 2).alias("f"), F.bit_xor(F.xxhash64(F.col("doc_id"), F.lit(7))).alias("g"))
-            .where("lo < hi")
+            .agg(F.count("*").alias("c"), F.min("doc_id").alias("lo"), F.bit_xor("doc_id").alias("x"), F.bit_xor(F.xxhash64("doc_id")).alias("f"))
+            .where("c > 1")
         )
         # Groups with the same members say the same: one of them is enough.
-        large = groups.where("c > 2").groupBy("c", "lo", "hi", "f", "g").agg(F.min("sig").alias("sig"))
+        large = groups.where("c > 2").groupBy("c", "lo", "x", "f").agg(F.min("sig").alias("sig"))
+        large = large.select("sig", "lo")
+        # Of two members the other one is what x holds besides the smallest.
+        two = groups.where("c = 2").select(F.col("lo").alias("a"), F.expr("x ^ lo").alias("b"), F.lit(False).alias("more"))
         pairs = (
-            groups.where("c = 2").select(F.col("lo").alias("a"), F.col("hi").alias("b"), F.lit(False).alias("more"))
-            .unionByName(sigs.join(large.select("sig", "lo"), "sig").where("doc_id > lo").select(F.col("lo").alias("a"), F.col("doc_id").alias("b"), F.lit(True).alias("more")))
-            .groupBy("a", "b").agg(F.max("more").alias("more"))
+            two.unionByName(sigs.join(large, "sig").select(F.col("lo").alias("a"), F.col("doc_id").alias("b"), F.lit(True).alias("more")))
+            .where("a < b").groupBy("a", "b").agg(F.max("more").alias("more"))
         )
         pairs = scratch.save(pairs)
+        scratch.drop(sigs, groups)
         needed = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
         texts = scratch.save(once.join(needed, "doc_id", "left_semi"))
         links = scratch.save(verified(pairs.select("a", "b"), texts, n, num, den))
         # A doc_id with several texts stands for all of their sets.
         several = members.groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("z")).where("a < z").select("doc_id", "a")
         links = scratch.save(links.unionByName(members.join(several, "doc_id").where("rep <> a").select("a", F.col("rep").alias("b"))))
-        first = scratch.save(connected_components(links))
+        first = connected_components(links, scratch)
         of = lambda x: first.select(F.col("node").alias(x), F.col("component").alias(f"c{x}"))
-        # Only members of larger groups can have missed each other, and only in stars whose members are in several components.
+        # Only members of larger groups can have missed each other, and only in groups whose members are in several components.
         placed = pairs.where("more").join(of("b"), "b", "left").select("a", "b", F.coalesce("cb", "b").alias("cb"))
         split = placed.groupBy("a").agg(F.min("cb").alias("x"), F.max("cb").alias("y")).where("x < y").select("a")
-        open_ = placed.join(split, "a", "left_semi").select("a", "b", "cb")
-        rest = across(differences(open_, texts, n), num, den, scratch)
+        open_ = placed.join(split, "a", "left_semi").select(F.col("b").alias("doc_id"), "cb").distinct()
+        rest = across(elements(texts.join(open_, "doc_id"), n), num, den, scratch)
         rest = scratch.save(rest.join(pairs, ["a", "b"], "left_anti"))
         more = scratch.save(verified(rest, texts, n, num, den))
         if not more.isEmpty():
-            first = scratch.save(connected_components(links.unionByName(more)))
+            first = connected_components(links.unionByName(more), scratch)
         home = members.join(first, F.col("rep") == F.col("node"), "left").select("doc_id", "n_shingles", F.coalesce("component", "rep").alias("component_id"), F.col("rep").alias("representative"))
         alone = sets.where("n_shingles = 0 or doc_id is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), F.col("doc_id").alias("representative"))
         return scratch.keep(home.unionByName(alone))

@@ -8,7 +8,6 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the cluster names in spark.checkpoint.dir; a local one of our own only where that is unset."""
     named = spark.conf.get("spark.checkpoint.dir", None)
@@ -32,6 +31,7 @@ class Scratch:
         self.spark = spark
         self.root = f"{shared_dir(spark).rstrip('/')}/scoutline-{uuid.uuid4().hex}"
         self.n = 0
+        self.held: dict[DataFrame, str] = {}
 
     def __enter__(self) -> Scratch:
         return self
@@ -43,30 +43,39 @@ class Scratch:
     def save(self, df: DataFrame) -> DataFrame:
         path = self.path()
         df.write.parquet(path)
-        return self.spark.read.schema(df.schema).parquet(path)
+        saved = self.spark.read.schema(df.schema).parquet(path)
+        self.held[saved] = path
+        return saved
+
+    def drop(self, *tables: DataFrame) -> None:
+        """Removes saved tables that nothing reads any more, so that they take no disk until the end."""
+        for table in tables:
+            self._delete(self.held.pop(table))
 
     def keep(self, df: DataFrame) -> DataFrame:
         """A reliable checkpoint, which Spark removes when nothing refers to it."""
         return df.checkpoint()
 
     def __exit__(self, *_: object) -> None:
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.root)
+        self._delete(self.root)
+
+    def _delete(self, at: str) -> None:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(at)
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def connected_components(edges: DataFrame) -> DataFrame:
-    """(a, b) long edges -> (node, component), component the smallest node reachable.
+def connected_components(edges: DataFrame, scratch: Scratch) -> DataFrame:
+    """(a, b) long edges -> (node, component), component the smallest node reachable; a table of scratch.
 
-    Alternating large-star and small-star rounds, each one checkpointed. The hot node of a star
+    Alternating large-star and small-star rounds, each one saved. The hot node of a star
     is a join key whose rows Spark's skew handling may split; no node's neighbours are gathered.
     Nulls and self-loops are ignored; an empty input gives an empty result.
     """
-    e = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u > v").distinct()
+    e = scratch.save(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u > v").distinct())
 
     def mark(df: DataFrame) -> tuple:
         return tuple(df.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
 
-    e = e.checkpoint()
     seen = mark(e)
     while seen[0]:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -80,11 +89,13 @@ def connected_components(edges: DataFrame) -> DataFrame:
             .unionByName(low.select("u", F.col("m").alias("v")))
             .distinct()
         )
-        e = small.checkpoint()
+        before, e = e, scratch.save(small)
+        scratch.drop(before)
         now = mark(e)
         if now == seen:
             break
         seen = now
-    return e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(
-        e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
-    )
+    nodes = e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+    nodes = scratch.save(nodes)
+    scratch.drop(e)
+    return nodes
