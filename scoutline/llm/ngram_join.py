@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from scoutline.llm.shared import Scratch, connected_components
+from scoutline.llm.shared import Scratch, connected_components, small
 
 U = np.uint64
 C1, C2, C3 = U(0x9E3779B97F4A7C15), U(0xBF58476D1CE4E5B9), U(0x94D049BB133111EB)
@@ -276,7 +276,7 @@ def ngram_jaccard_join(docs: DataFrame, n: int = 3, num: int = 90, den: int = 10
         reps = full.groupBy("h1", "h2", "n_shingles").agg(F.min("doc_id").alias("rep"))
         members = scratch.save(full.join(reps, ["h1", "h2", "n_shingles"]).select("doc_id", "n_shingles", "rep"))
         copies = members.groupBy("doc_id").agg(F.max(F.col("doc_id") == F.col("rep")).alias("own")).where("not own").select("doc_id")
-        once = docs.where("doc_id is not null").join(copies, "doc_id", "left_anti")
+        once = docs.where("doc_id is not null").join(small(scratch.save(copies)), "doc_id", "left_anti")
         sigs = scratch.save(publish(once, n, num, den))
         groups = scratch.save(
             sigs.groupBy("sig")
@@ -285,7 +285,7 @@ def ngram_jaccard_join(docs: DataFrame, n: int = 3, num: int = 90, den: int = 10
         )
         # Groups with the same members say the same: one of them is enough.
         large = groups.where("c > 2").groupBy("c", "lo", "x", "f").agg(F.min("sig").alias("sig"))
-        large = large.select("sig", "lo")
+        large = small(scratch.save(large.select("sig", "lo")))
         # Of two members the other one is what x holds besides the smallest.
         two = groups.where("c = 2").select(F.col("lo").alias("a"), F.expr("x ^ lo").alias("b"), F.lit(False).alias("more"))
         pairs = (
@@ -294,8 +294,8 @@ def ngram_jaccard_join(docs: DataFrame, n: int = 3, num: int = 90, den: int = 10
         )
         pairs = scratch.save(pairs)
         scratch.drop(sigs, groups)
-        needed = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-        texts = scratch.save(once.join(needed, "doc_id", "left_semi"))
+        needed = scratch.save(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct())
+        texts = scratch.save(once.join(small(needed), "doc_id", "left_semi"))
         links = scratch.save(verified(pairs.select("a", "b"), texts, n, num, den))
         # A doc_id with several texts stands for all of their sets.
         several = members.groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("z")).where("a < z").select("doc_id", "a")
@@ -306,7 +306,7 @@ def ngram_jaccard_join(docs: DataFrame, n: int = 3, num: int = 90, den: int = 10
         placed = pairs.where("more").join(of("b"), "b", "left").select("a", "b", F.coalesce("cb", "b").alias("cb"))
         split = placed.groupBy("a").agg(F.min("cb").alias("x"), F.max("cb").alias("y")).where("x < y").select("a")
         open_ = placed.join(split, "a", "left_semi").select(F.col("b").alias("doc_id"), "cb").distinct()
-        rest = across(elements(texts.join(open_, "doc_id"), n), num, den, scratch)
+        rest = across(elements(texts.join(small(scratch.save(open_)), "doc_id"), n), num, den, scratch)
         rest = scratch.save(rest.join(pairs, ["a", "b"], "left_anti"))
         more = scratch.save(verified(rest, texts, n, num, den))
         if not more.isEmpty():

@@ -8,6 +8,15 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Rows of a table of a few numbers each that is broadcast, at most; Spark joins larger ones by its own choice.
+BROADCAST_ROWS = 1_000_000
+
+
+def small(saved: DataFrame) -> DataFrame:
+    """A saved table of narrow rows, to be broadcast in joins if it has BROADCAST_ROWS rows at most."""
+    return F.broadcast(saved) if saved.count() <= BROADCAST_ROWS else saved
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the cluster names in spark.checkpoint.dir; a local one of our own only where that is unset."""
     named = spark.conf.get("spark.checkpoint.dir", None)
