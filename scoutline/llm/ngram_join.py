@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from scoutline.llm.shared import Scratch, connected_components, small
+from scoutline.llm.shared import Scratch, connected_components, parts, small
 
 U = np.uint64
 C1, C2, C3 = U(0x9E3779B97F4A7C15), U(0xBF58476D1CE4E5B9), U(0x94D049BB133111EB)
@@ -142,7 +142,7 @@ def profile(docs: DataFrame, n: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = word_hashes()
-        for b in batches:
+        for b in parts(batches):
             sets = [shingles(t, n, hashes) for t in _bytes(b, "text")]
             yield pa.RecordBatch.from_arrays(
                 [
@@ -162,7 +162,7 @@ def publish(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = word_hashes()
-        for b in batches:
+        for b in parts(batches):
             ids, texts = b.column("doc_id").to_numpy(), _bytes(b, "text")
             for i in range(0, len(ids), 500):
                 sigs = [signatures(shingles(t, n, hashes), num, den) for t in texts[i : i + 500]]
@@ -188,7 +188,7 @@ def verified(pairs: DataFrame, docs: DataFrame, n: int, num: int, den: int) -> D
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, held = word_hashes(), {}
-        for b in batches:
+        for b in parts(batches):
             a, c = b.column("a").to_numpy(), b.column("b").to_numpy()
             ta, tc = b.column("ta").cast(pa.binary()), b.column("tb").cast(pa.binary())
             ok = np.zeros(len(a), bool)
@@ -215,7 +215,7 @@ def elements(docs: DataFrame, n: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = word_hashes()
-        for batch in batches:
+        for batch in parts(batches):
             ids, comps, texts = batch.column("doc_id").to_numpy(), batch.column("cb").to_numpy(), _bytes(batch, "text")
             at = 0
             while at < len(ids):

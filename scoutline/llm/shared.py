@@ -4,26 +4,40 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Rows that a Python worker holds as Python objects at once.
+PART = 256
 #: Rows of a table of a few numbers each that is broadcast, at most; Spark joins larger ones by its own choice.
 BROADCAST_ROWS = 1_000_000
 
 
+def parts(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows of the batches in slices of PART, so that a worker's memory does not grow with the session's batch size."""
+    for b in batches:
+        for at in range(0, b.num_rows, PART):
+            yield b.slice(at, PART)
+
+
 def small(saved: DataFrame) -> DataFrame:
     """A saved table of narrow rows, to be broadcast in joins if it has BROADCAST_ROWS rows at most."""
     return F.broadcast(saved) if saved.count() <= BROADCAST_ROWS else saved
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; a local one of our own only where that is unset."""
+    """The folder that the cluster names in spark.checkpoint.dir; where that is unset a local one of our own, which is an error on a cluster."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named
     held = spark.sparkContext.getCheckpointDir()
     if held is None:
+        master = spark.sparkContext.master
+        if master.split("[")[0] != "local":
+            raise ValueError(f"spark.checkpoint.dir must name a folder that all executors share, as the master is {master}")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="scoutline-"))
         held = spark.sparkContext.getCheckpointDir()
     return held
