@@ -20,6 +20,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from scoutline.llm.shared import Scratch, parts
+
 # HTML element names by the part that they play.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript iframe noembed noframes xmp template".split())
@@ -51,6 +53,8 @@ TAG = re.compile(r"""<(/?)([A-Za-z][^\s/>\x00]*)((?:[^'">]|"[^"]*"|'[^']*')*+)>"
 ATTRIBUTE = re.compile(r"""([^\s/=>"'][^\s/=>]*)(?:\s*+=\s*+(?:"([^"]*)"|'([^']*)'|([^\s"'>][^\s>]*)))?""")
 #: What holds the page or its main part is no part of a menu, whatever its class and id say.
 HOLDERS = MAIN | {"html", "body"}
+#: A heading is named for what follows it.
+HEADINGS = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
 #: A subtree is template that is on so many pages of its host, and on such a share of them. On hosts of fewer
 #: than twice PAGES pages half of them are enough, but no fewer than LEAST.
 PAGES, SHARE, LEAST = 8, 0.01, 3
@@ -184,7 +188,7 @@ def parse(page: str) -> Element:
         inside = any(e.main for e in stack)
         dropped = tag in DROPPED or hidden(of) or role in ROLES or (tag == "header" and not inside)
         e = Element(tag, dropped, not dropped and (tag in MAIN or role == "main"))
-        e.named = not dropped and not e.main and tag not in HOLDERS and named(of)
+        e.named = not dropped and not e.main and tag not in HOLDERS | HEADINGS and named(of)
         any_named |= e.named
         stack[-1].parts.append(e)
         if tag in RAW:
@@ -319,7 +323,7 @@ def site_subtrees(pages: DataFrame) -> DataFrame:
     kind = pa.list_(pa.struct([("hash", pa.int64()), ("beside", pa.list_(pa.int64()))]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in parts(batches):
             got = [subtrees(parse(x.as_py() or "")) for x in b.column("html")]
             found = pa.array([[{"hash": h, "beside": near} for h, near in f] for _, f in got], kind)
             yield pa.RecordBatch.from_arrays([b.column("key"), b.column("site"), pa.array([c for c, _ in got], pa.int64()), found], ["key", "site", "content", "found"])
@@ -334,7 +338,7 @@ def templates(seen: DataFrame, pages: int = PAGES, share: float = SHARE) -> Data
     these is counted, and the middle count must reach ``pages`` (fewer on small hosts), ``share`` of the
     host's pages, and half of the pages of the subtree.
     """
-    once = seen.dropDuplicates(["site", "content"])
+    once = seen.groupBy("site", "content").agg(F.min_by("found", "key").alias("found"))
     size = once.groupBy("site").agg(F.count("*").alias("n"))
     one = once.select("site", F.explode("found").alias("f")).select("site", "f.hash", F.posexplode("f.beside").alias("rank", "text"))
     ranks = one.groupBy("site", "hash", "rank", "text").agg(F.count("*").alias("c")).groupBy("site", "hash", "rank").agg(F.count("*").alias("d"), F.sum("c").alias("c"))
@@ -352,20 +356,22 @@ def main_text(pages: DataFrame, broadcast: int = BROADCAST) -> DataFrame:
     gives an empty result.
     """
     pages = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
-    keyed = pages.withColumn("key", F.xxhash64("page_id", "url")).withColumn("site", F.xxhash64(host(F.col("url"))))
-    seen = site_subtrees(keyed).checkpoint()
-    found = templates(seen).checkpoint()
-    if found.count() <= broadcast:
-        cut = F.broadcast(found.groupBy("site").agg(F.collect_list("hash").alias("cut")))
-        met = keyed.join(cut, "site", "left")
-    else:
-        # Bounded by the elements of one page.
-        held = seen.select("key", "site", F.explode("found.hash").alias("hash"))
-        met = keyed.join(held.join(found, ["site", "hash"]).groupBy("key").agg(F.collect_set("hash").alias("cut")), "key", "left")
+    keyed = pages.withColumn("key", F.xxhash64("page_id", "url", "html")).withColumn("site", F.xxhash64(host(F.col("url"))))
+    with Scratch(pages.sparkSession) as scratch:
+        seen = scratch.save(site_subtrees(keyed))
+        found = scratch.keep(templates(seen))
+        if found.count() <= broadcast:
+            cut = F.broadcast(found.groupBy("site").agg(F.collect_list("hash").alias("cut")))
+            met = keyed.join(cut, "site", "left")
+        else:
+            # Bounded by the elements of one page: rows of one key are equal pages.
+            held = seen.select("key", "site", F.explode("found.hash").alias("hash"))
+            cut = scratch.keep(held.join(found, ["site", "hash"]).groupBy("key").agg(F.collect_set("hash").alias("cut")))
+            met = keyed.join(cut, "key", "left")
     schema = "page_id long, url string, text string, n_chars long"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in parts(batches):
             texts = []
             for x, gone in zip(b.column("html"), b.column("cut"), strict=True):
                 root = parse(x.as_py() or "")

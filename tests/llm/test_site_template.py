@@ -82,3 +82,47 @@ def test_attributes_are_read_by_name():
     assert text('<p>a <a href="/hidden-gems/">text</a> <a href=/hidden/>too</a></p><p title="a hidden treasure">b</p><p data-class="ad" data-role=menu>c</p>') == "a text too\nb\nc"
     assert text("<p title='class=ad'>a</p><p class = 'x AD'>b</p><p HIDDEN>c</p><p aria-hidden=true>d</p><p title=x hidden=''>e</p><p role=dialog>f</p><p id=ad>g</p>") == "a"
     assert text('<div data-role="main">a</div><p>b</p>') == "a\nb"
+
+
+def test_headings_stay_whatever_their_id():
+    assert text('<article><h2 id="social">Social life</h2><p>Story</p><h3 class="comments">On comments</h3></article>') == "Social life\nStory\nOn comments"
+    assert text('<body class="single comments-open"><article><p>Story</p></article>') == "Story"
+    assert text('<main class="content no-sidebar"><p>Story</p></main>') == "Story"
+
+
+def recount(pages):
+    """Templates of each host, by counting whole texts of elements over lists of pages; for pages of flat blocks only."""
+    gone = {}
+    for site in {s for s, _ in pages}:
+        held = {tuple(blocks) for s, blocks in pages if s == site}
+        least = min(8, max(3, -(-len(held) // 2)))
+        for block in {b for blocks in held for b in blocks}:
+            beside = [sorted((x for x in blocks if x != block), key=lambda x: (len(x), x), reverse=True) for blocks in held if block in blocks]
+            beside = [(x + x[-1:] * 3)[:3] for x in beside if x]
+            d = sorted(len({x[i] for x in beside}) for i in range(3))[1] if len(beside) >= 3 else 0
+            if d >= least and d >= 0.01 * len(held) and 2 * d >= len(beside):
+                gone.setdefault(site, set()).add(block)
+    return gone
+
+
+def test_same_as_a_recount_of_each_host(spark):
+    import random
+
+    r = random.Random(6)
+    pages = []
+    for i in range(240):
+        site = r.choice(["a", "a", "b", "c", "d"])
+        blocks = [f"story {i} line {j} " + "x" * r.randrange(40) for j in range(r.randrange(1, 5))]
+        blocks += [f"box {site} {j} " + "y" * 7 * j for j in range(4) if r.random() < (0.1, 0.4, 0.7, 0.95)[j]]
+        r.shuffle(blocks)
+        pages.append((site, list(dict.fromkeys(blocks))))
+    gone = recount(pages)
+    assert sum(map(len, gone.values())) > 6
+    rows = [(i, f"https://{s}.example/{i}", "<article>" + "".join(f"<div>{b}</div>" for b in blocks) + "</article>") for i, (s, blocks) in enumerate(pages)]
+    got = {x.page_id: x.text for x in main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {i: "\n".join(" ".join(b.split()) for b in blocks if b not in gone.get(s, ())) for i, (s, blocks) in enumerate(pages)}
+
+
+def test_rows_without_ids_and_clashing_names(spark):
+    df = spark.createDataFrame([(None, None, f"<p>own {i}</p>", 1, "s", []) for i in range(30)] + [(1, None, "", 2, "t", [])], "page_id long, url string, html string, key long, site string, cut array<long>")
+    assert sorted(x.text for x in main_text(df, broadcast=-1).collect()) == sorted([f"own {i}" for i in range(30)] + [""])
