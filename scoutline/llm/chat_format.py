@@ -74,7 +74,7 @@ def format_chats(conversations: DataFrame, template: Template | None = None) ->
     """conv_id, segments (array of text and loss), formatted, valid (turn order), final_state.
 
     Turns go by turn, then role and text; null turns first. Null role and text count as empty.
-    Null conv_ids are one conversation. Repeated rows are turns of their own. A conversation is
+    A row without conv_id is a conversation of its own. Repeated rows are turns of their own. A conversation is
     one output value and so must fit a row. Other columns are ignored; no rows give no rows.
     """
     t = template or Template()
@@ -82,6 +82,7 @@ def format_chats(conversations: DataFrame, template: Template | None = None) ->
     # Turns are formatted before they are gathered, so that each is escaped where it is read.
     turns = conversations.select(
         F.col("conv_id").cast("long").alias("conv_id"),
+        F.when(F.col("conv_id").isNull(), F.monotonically_increasing_id()).alias("alone"),
         F.struct(
             F.col("turn").cast("long").alias("turn"),
             role.alias("role"),
@@ -90,7 +91,7 @@ def format_chats(conversations: DataFrame, template: Template | None = None) ->
             _by_role(role, t, 1).alias("tail"),
         ).alias("x"),
     )
-    chats = turns.groupBy("conv_id").agg(F.array_sort(F.collect_list("x")).alias("x"))
+    chats = turns.groupBy("conv_id", "alone").agg(F.array_sort(F.collect_list("x")).alias("x"))
     loss = lambda r: r.isin(*t.loss)
     segments = F.flatten(
         F.transform(
@@ -110,8 +111,8 @@ def format_chats(conversations: DataFrame, template: Template | None = None) ->
     )
 
 
-def read_chats(chats: DataFrame, template: Template | None = None) -> DataFrame:
-    """conv_id, turns (array of role and text) read from formatted, loss_text read from the segments under the mask."""
+def read_chats(chats: DataFrame, template: Template | None = None, *more: str) -> DataFrame:
+    """conv_id, turns (array of role and text) read from formatted, loss_text read from the segments under the mask; and ``more`` columns."""
     t = template or Template()
     opens = "|".join(re.escape(o) for o, _ in t.marks.values())
     closes = "|".join(re.escape(c) for _, c in t.marks.values())
@@ -126,15 +127,13 @@ def read_chats(chats: DataFrame, template: Template | None = None) -> DataFrame:
         ),
     )
     loss = F.array_join(F.transform(F.filter("segments", lambda s: s["loss"]), lambda s: unescaped(s["text"], t)), "")
-    return chats.select("conv_id", "formatted", bare.alias("bare"), loss.alias("loss_text")).select("conv_id", "formatted", turns.alias("turns"), "loss_text")
+    return chats.select("conv_id", "formatted", bare.alias("bare"), loss.alias("loss_text"), *more).select("conv_id", "formatted", turns.alias("turns"), "loss_text", *more)
 
 
 def chat_digests(conversations: DataFrame, template: Template | None = None) -> DataFrame:
-    """conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars, valid, from the formatted output."""
-    chats = format_chats(conversations, template)
-    valid = chats.select("conv_id", "segments", "formatted", "valid")
+    """conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars, from the formatted output; valid and final_state of the order of turns."""
     t = template or Template()
-    back = read_chats(valid, t)
+    back = read_chats(format_chats(conversations, t), t, "valid", "final_state")
     told = F.array_join(F.transform("turns", lambda x: F.concat(x["role"], F.lit("\n"), x["text"], F.lit("\n"))), "")
     return back.select(
         "conv_id",
@@ -143,6 +142,8 @@ def chat_digests(conversations: DataFrame, template: Template | None = None) ->
         F.char_length("loss_text").cast("long").alias("loss_chars"),
         F.sha2(F.encode("loss_text", "UTF-8"), 256).alias("loss_sha256"),
         F.char_length("formatted").cast("long").alias("formatted_chars"),
+        "valid",
+        "final_state",
     )
 
 
@@ -152,11 +153,15 @@ ADDED = (-7, (("user", "</s>[INST] ok [/INST]"), ("assistant", "</s>[INST] ok [/
 CHAT_SQL = r"""
 WITH c AS (SELECT conv_id, turn, coalesce(role, '') role, coalesce(text, '') text FROM conversations
            UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'),
-e AS (SELECT *, length(regexp_replace(text, '([<\[])(\\*)(s>|/s>|INST\]|/INST\])', '\1\\\2\3', 'g')) n FROM c)
+e AS (SELECT *, length(regexp_replace(text, '([<\[])(\\*)(s>|/s>|INST\]|/INST\])', '\1\\\2\3', 'g')) n FROM c),
+r AS (SELECT conv_id, string_agg(role, ',' ORDER BY turn, role, text) roles FROM c GROUP BY conv_id),
+s AS (SELECT conv_id, CASE WHEN roles = 'system' THEN 'ready' WHEN regexp_full_match(roles, '(system,)?user(,assistant,user)*') THEN 'asked'
+                           WHEN regexp_full_match(roles, '(system,)?user,assistant(,user,assistant)*') THEN 'answered' ELSE 'invalid' END AS final_state FROM r)
 SELECT conv_id::BIGINT AS conv_id, count(*) AS n_turns,
        sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
        coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
        sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
-       sum(length(role) + 1 + n + CASE role WHEN 'assistant' THEN 7 ELSE 15 END)::BIGINT AS formatted_chars
-FROM e GROUP BY conv_id
+       sum(length(role) + 1 + n + CASE role WHEN 'assistant' THEN 7 ELSE 15 END)::BIGINT AS formatted_chars,
+       bool_and(final_state = 'answered') AS valid, min(final_state) AS final_state
+FROM e JOIN s USING (conv_id) GROUP BY conv_id
 """

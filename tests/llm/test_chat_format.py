@@ -42,3 +42,9 @@ def test_edges(spark):
     assert (got[None].n_turns, got[None].loss_chars, got[None].loss_sha256) == (1, 0, sha(""))
     assert got[2].formatted_chars == 300_000 + len("<s>assistant\n</s>")
     assert chat_digests(frame(spark, []).limit(0)).collect() == []
+
+
+def test_order_of_turns_reaches_the_digests(spark):
+    rows = [(1, 0, "user", "u"), (1, 1, "assistant", "a"), (2, 0, "assistant", "a"), (3, 0, "system", "s"), (None, 0, "user", "p"), (None, 1, "assistant", "q")]
+    got = sorted((r.conv_id or 99, r.n_turns, r.valid, r.final_state) for r in chat_digests(frame(spark, rows)).collect())
+    assert got == [(1, 2, True, "answered"), (2, 1, False, "invalid"), (3, 1, False, "ready"), (99, 1, False, "asked"), (99, 1, False, "invalid")]
