@@ -3,6 +3,10 @@
 A list is a log of dated entries that add a key to it or take it off. The entries of a key become
 disjoint validity intervals, and every capture of a URL is held against those intervals of the
 URL's keys (its host, the parents of the host, and the host with the first part of the path) that hold at the time of the fetch.
+
+Intervals of a key are disjoint, so only the last one that began by the time of a fetch can hold then: intervals and
+captures of a key are put in one order of time, and each capture takes the interval before it. No unit of time, number of
+intervals or length of them matters.
 """
 
 from __future__ import annotations
@@ -10,8 +14,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Width of the time buckets that intervals and captures meet in.
-BUCKET = 32
+from scoutline.llm.shared import Scratch, small
+
+#: Captures of a key that are put in order together; keys of more are split by capture, and their intervals repeated.
+HOT = 100_000
 
 
 def keys(url: Column) -> Column:
@@ -45,22 +51,20 @@ def listed_captures(captures: DataFrame, entries: DataFrame) -> DataFrame:
     """
     captures = captures.select("id", F.col("url").cast("string").alias("url"), F.col("at").cast("long").alias("at"))
     asked = captures.where("url is not null and at is not null").select("url", "at").distinct()
-    span = asked.agg(F.min("at").alias("low"), F.max("at").alias("high"))
-    valid = (
-        intervals(entries)
-        .crossJoin(F.broadcast(span))  # one row
-        .where("since <= high and (until is null or until > low)")
-        .withColumn("b", F.explode(F.sequence(F.floor(F.greatest("since", "low") / BUCKET), F.floor(F.least(F.coalesce(F.col("until") - 1, "high"), "high") / BUCKET))))
-        .select("key", "b", "since", "until")
-    )
-    probes = asked.select("url", "at", F.explode(keys(F.col("url"))).alias("key"), F.floor(F.col("at") / BUCKET).alias("b"))
-    active = (
-        probes.join(valid, ["key", "b"])
-        .where("since <= at and (until is null or at < until)")
-        .groupBy("url", "at")
-        .agg(F.min("key").alias("matched_key"), F.count("*").alias("n_active"))
-    )
-    return captures.join(active, ["url", "at"], "left").select("id", "url", "at", F.col("matched_key").isNotNull().alias("blocked"), "matched_key", F.coalesce("n_active", F.lit(0)).alias("n_active"))
+    with Scratch(captures.sparkSession) as scratch:
+        valid = scratch.save(intervals(entries))
+        listed = scratch.save(valid.select("key").distinct())
+        probes = scratch.save(asked.select("url", "at", F.explode(keys(F.col("url"))).alias("key")).join(small(listed), "key", "left_semi"))
+        # One row of HOT captures at most.
+        hot = small(scratch.save(probes.groupBy("key").agg(F.ceil(F.count("*") / HOT).alias("parts")).where("parts > 1")))
+        n = F.coalesce("parts", F.lit(1))
+        put = probes.join(hot, "key", "left").select("key", F.pmod(F.xxhash64("url", "at"), n).alias("part"), "at", F.lit(1).alias("kind"), "url", F.lit(None).cast("struct<since: long, until: long>").alias("held"))
+        held = valid.join(hot, "key", "left").select("key", F.explode(F.sequence(F.lit(0).cast("long"), n - 1)).alias("part"), F.col("since").alias("at"), F.lit(0).alias("kind"), F.lit(None).cast("string").alias("url"), F.struct("since", "until").alias("held"))
+        order = Window.partitionBy("key", "part").orderBy("at", "kind").rowsBetween(Window.unboundedPreceding, 0)
+        last = put.unionByName(held).withColumn("last", F.last("held", ignorenulls=True).over(order)).where("kind = 1 and last is not null and (last.until is null or at < last.until)")
+        active = scratch.save(last.groupBy("url", "at").agg(F.min("key").alias("matched_key"), F.count("*").alias("n_active")))
+        met = captures.join(small(active), ["url", "at"], "left").select("id", "url", "at", F.col("matched_key").isNotNull().alias("blocked"), "matched_key", F.coalesce("n_active", F.lit(0)).alias("n_active"))
+        return scratch.keep(met)
 
 
 def _number(text: Column) -> Column:
@@ -91,7 +95,7 @@ URL_SQL = r"""
 WITH u AS (SELECT page_id, url, page_id * 37 % 366 AS fetch_day, lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)', 1)) h,
                   regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?[^/?#:]*(?::[0-9]*)?/([^/?#]*)', 1) s FROM pages),
 l AS (SELECT *, string_split(h, '.') p FROM u WHERE h <> ''),
-k AS (SELECT DISTINCT url, fetch_day, array_to_string(p[i:], '.') AS key FROM (SELECT *, unnest(range(1, greatest(2, least(7, len(p))))) i FROM l)
+k AS (SELECT DISTINCT url, fetch_day, array_to_string(p[i:], '.') AS key FROM (SELECT *, unnest(range(1, greatest(2, len(p)))) i FROM l)
       UNION SELECT DISTINCT url, fetch_day, h || '/' || s FROM l WHERE s <> ''),
 x AS (SELECT key, ('0x' || substr(md5(key), 1, 6))::BIGINT x FROM (SELECT DISTINCT key FROM k)),
 e AS (SELECT key, x % 200 AS since, true AS listed FROM x WHERE NOT contains(key, '/') AND x % 3 = 0

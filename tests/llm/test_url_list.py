@@ -51,3 +51,13 @@ def test_hosts_of_many_labels(spark):
         assert sorted(got) == sorted(".".join(labels[i:]) for i in range(len(labels) - 1))
         entries = spark.createDataFrame([("example.com", 1, True), ("example.com", 8, False)], "key string, at long, listed boolean")
         assert sorted((r.id, r.matched_key) for r in listed_captures(captures, entries).collect()) == [(1, "example.com"), (2, None)]
+
+
+def test_seconds_and_hot_keys(spark, monkeypatch):
+    year = 365 * 86_400
+    entries = spark.createDataFrame([("a.com", 1_600_000_000 + i * year, i % 2 == 0) for i in range(6)], "key string, at long, listed boolean")
+    captures = spark.createDataFrame([(i, f"http://a.com/{i}", 1_600_000_000 + i * year // 50) for i in range(-20, 300)], "id long, url string, at long")
+    want = [(i, 0 <= i and i // 50 % 2 == 0) for i in range(-20, 300)]
+    for hot in (7, 100_000):
+        monkeypatch.setattr("scoutline.llm.url_list.HOT", hot)
+        assert sorted((r.id, r.blocked) for r in listed_captures(captures, entries).collect()) == want
