@@ -23,7 +23,7 @@ WEIGHTS = (3, 1, 2)
 PASSES, SHARE, SEED = 2, Fraction(3, 2), 5
 #: Patterns whose sizes the driver holds, at most; more are an error, not a truncation.
 PATTERNS = 200_000
-#: The top bits of the hash that group documents before the cut is looked for: 4096 groups.
+#: Bits of the hash that group documents before the cut is looked for: 4096 groups, and 4096 in the one that has it.
 BITS = 12
 
 
@@ -122,7 +122,7 @@ def mix_sources(docs: DataFrame, memberships: str | None = None, carry: tuple[st
     the column source is the only one. size: words of the text, null text 0. source_size and
     target: sums over the document's sources. taken is at most 2 * size. A null source, like an empty
     or null membership, is a source of its own, the last. Documents without words take nothing.
-    Rows with one doc_id are separate rows; equal rows share what they take in an arbitrary order.
+    Rows with one doc_id, or none, are separate rows; of equal rows, which of them takes what is arbitrary.
     An empty table gives an empty result.
     """
     spark = docs.sparkSession
@@ -130,12 +130,10 @@ def mix_sources(docs: DataFrame, memberships: str | None = None, carry: tuple[st
     sources = F.when(F.size(sources) == 0, F.array(F.lit(None).cast("string"))).otherwise(F.array_sort(F.array_distinct(sources)))
     size = F.coalesce(F.regexp_count("text", F.lit(WORDS)), F.lit(0)).cast("long")
     rank = F.xxhash64(F.lit(SEED), F.col("doc_id"), sources)
+    pattern = F.to_json(sources, {"ignoreNullFields": "false"})
     with Scratch(spark) as scratch:
-        sized = scratch.save(
-            docs.select(F.col("doc_id").cast("long").alias("doc_id"), *carry, size.alias("size"), F.to_json(sources, {"ignoreNullFields": "false"}).alias("_p"), sources.alias("_s"), rank.alias("_u")).withColumn(
-                "_b", F.shiftrightunsigned("_u", 64 - BITS)
-            )
-        )
+        sized = docs.select(size.alias("size"), pattern.alias("_p"), sources.alias("_s"), rank.alias("_u"))
+        sized = scratch.save(sized.withColumns({"_a": F.shiftrightunsigned("_u", 64 - BITS), "_b": F.shiftrightunsigned("_u", 64 - 2 * BITS)}).drop("_u"))
         held = sized.groupBy("_p").agg(F.first("_s").alias("s"), F.sum("size").alias("size")).limit(PATTERNS + 1).collect()
         if len(held) > PATTERNS:
             raise ValueError(f"more than {PATTERNS} membership patterns")
@@ -149,26 +147,26 @@ def mix_sources(docs: DataFrame, memberships: str | None = None, carry: tuple[st
             (r["_p"], sum(total[s] for s in m), float(sum(quota[s] for s in m)), *(divmod(f, n) if n else (0, 0)))
             for r, (m, n), f in zip(held, patterns, flow, strict=True)
         ]
-        # One row per pattern, PATTERNS at most.
-        plan_df = spark.createDataFrame(plan, "_p string, source_size long, target double, _full long, _rest long")
-        groups = sized.groupBy("_p", "_b").agg(F.sum("size").alias("_g"))
-        up_to = Window.partitionBy("_p").orderBy("_b").rowsBetween(Window.unboundedPreceding, 0)
-        cut = (
-            groups.withColumn("_to", F.sum("_g").over(up_to))
-            .join(F.broadcast(plan_df), "_p")
-            .where("_to > _rest and _to - _g <= _rest")
-            .groupBy("_p").agg(F.min("_b").alias("_cut"), F.min_by(F.col("_to") - F.col("_g"), F.col("_b")).alias("_before"))
-        )
-        put = scratch.save(F.broadcast(plan_df).join(cut, "_p", "left"))
-        placed = sized.join(F.broadcast(put), "_p")
-        inside = Window.partitionBy("_p").orderBy("_u", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
-        clear = placed.where("_cut is null or _b <> _cut").withColumn("_more", F.when(F.col("_cut").isNull() | (F.col("_b") < F.col("_cut")), F.col("size")).otherwise(0))
-        clear = clear.withColumn("_more", F.when(F.col("_rest") > 0, F.col("_more")).otherwise(0))
-        split = (
-            placed.where("_b = _cut")
-            .withColumn("_to", F.col("_before") + F.sum("size").over(inside))
-            .withColumn("_more", F.greatest(F.lit(0), F.least(F.col("size"), F.col("_rest") - F.col("_to") + F.col("size"))))
-            .drop("_to")
-        )
-        out = clear.unionByName(split).select("doc_id", *carry, "size", "source_size", "target", (F.col("_full") * F.col("size") + F.col("_more")).cast("long").alias("taken"))
-        return scratch.keep(out)
+        # One row per pattern, PATTERNS at most, here and below.
+        plan_df = spark.createDataFrame(plan, "_p string, source_size long, target double, _full long, _rest long").withColumn("_before", F.lit(0).cast("long"))
+
+        def cut(rows: DataFrame, group: str) -> DataFrame:
+            """(_p, cut, before): the group in which the words left of a pattern run out, and the words of the groups before it."""
+            up_to = Window.partitionBy("_p").orderBy(group).rowsBetween(Window.unboundedPreceding, 0)
+            sums = rows.groupBy("_p", "_rest", "_before", group).agg(F.sum("size").alias("_g")).withColumn("_to", F.col("_before") + F.sum("_g").over(up_to))
+            found = sums.where("_to > _rest and _to - _g <= _rest")
+            return found.groupBy("_p").agg(F.min(group).alias("cut"), F.min_by(F.col("_to") - F.col("_g"), F.col(group)).alias("before"))
+
+        first = scratch.save(cut(sized.join(F.broadcast(plan_df.select("_p", "_rest", "_before")), "_p"), "_a"))
+        inner = plan_df.drop("_before").join(first.withColumnsRenamed({"cut": "_cut", "before": "_before"}), "_p")
+        second = cut(sized.join(F.broadcast(inner.select("_p", "_rest", "_before", "_cut")), "_p").where("_a = _cut"), "_b")
+        put = scratch.keep(plan_df.drop("_before").join(second, "_p", "left"))
+    own = ["doc_id", *carry, "size", "source_size", "target", "taken"]
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *carry, size.alias("size"), pattern.alias("_p"), rank.alias("_u"), F.xxhash64("text").alias("_t"))
+    placed = rows.join(F.broadcast(put), "_p").withColumn("_b", F.shiftrightunsigned("_u", 64 - 2 * BITS))
+    taken = lambda more: (F.col("_full") * F.col("size") + more).cast("long")
+    clear = placed.where("cut is null or _b <> cut").withColumn("taken", taken(F.when((F.col("_rest") > 0) & (F.col("cut").isNull() | (F.col("_b") < F.col("cut"))), F.col("size")).otherwise(0)))
+    inside = Window.partitionBy("_p").orderBy("_u", "doc_id", "size", "_t").rowsBetween(Window.unboundedPreceding, 0)
+    split = placed.where("_b = cut").withColumn("_to", F.col("before") + F.sum("size").over(inside))
+    split = split.withColumn("taken", taken(F.greatest(F.lit(0), F.least(F.col("size"), F.col("_rest") - F.col("_to") + F.col("size")))))
+    return clear.select(own).unionByName(split.select(own))
