@@ -14,13 +14,15 @@ import hashlib
 import re
 import unicodedata
 from bisect import bisect_right
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from scoutline.llm.shared import parts
+
 KINDS = ("email", "ip", "card", "phone")
 Span = tuple[int, int]
 
@@ -85,16 +87,31 @@ LOOK_ALIKE = {
 # Characters that show nothing.
 INVISIBLE = "­​‌‍⁠﻿"
 DISGUISED = re.compile("[" + "".join(LOOK_ALIKE) + INVISIBLE + "！-～٠-٩۰-۹①-⑨\U0001d400-\U0001d7ff]")
-# Names of the digits.
-DIGITS = {"zero": "0", "oh": "0", "one": "1", "two": "2", "three": "3", "four": "4", "five": "5", "six": "6", "seven": "7", "eight": "8", "nine": "9"}
-NAME = "(?:" + "|".join(DIGITS) + ")"
+# Names of the digits from 0 on, and of plus, at and dot, in English, German, Spanish and French.
+DIGIT_NAMES = (
+    "zero one two three four five six seven eight nine",
+    "null eins zwei drei vier fünf sechs sieben acht neun",
+    "cero uno dos tres cuatro cinco seis siete ocho nueve",
+    "zéro un deux trois quatre cinq six sept huit neuf",
+)
+OTHER_DIGIT_NAMES = {"oh": "0", "zwo": "2", "fuenf": "5"}
+PLUS, AT_NAMES, DOT_NAMES = ("plus", "más"), ("at", "ät", "arroba", "arobase"), ("dot", "punkt", "punto", "point")
+DIGITS = {name: str(i) for names in DIGIT_NAMES for i, name in enumerate(names.split())} | OTHER_DIGIT_NAMES
+
+
+def either(names: Iterable[str]) -> str:
+    """A group of the names, longer ones first."""
+    return "(?:" + "|".join(sorted(names, key=lambda x: (-len(x), x))) + ")"
+
+
+NAME, SIGN, AT, SPELLED_DOT = either(DIGITS), either(PLUS), either(AT_NAMES), either(DOT_NAMES)
 #: A run of names of digits and figures, with plus before them or not; dots may be between.
-SPELLED = re.compile(rf"(?<![A-Za-z0-9])(?:plus[\x20-]+|\+[\x20-]*)?(?:{NAME}|[0-9])(?:(?:[\x20-]+|\.)?(?:{NAME}|[0-9]))*(?![A-Za-z0-9])", re.IGNORECASE)
-SPELLED_PART = re.compile(rf"plus|{NAME}|[\x20-]+", re.IGNORECASE)
-BRACKETED = re.compile(r"\s{0,9}[\[({<]\s{0,9}(?:(at|@)|(dot|\.))\s{0,9}[\])}>]\s{0,9}", re.IGNORECASE)
+SPELLED = re.compile(rf"(?<!\w)(?:{SIGN}[\x20-]+|\+[\x20-]*)?(?:{NAME}|[0-9])(?:(?:[\x20-]+|\.)?(?:{NAME}|[0-9]))*(?!\w)", re.IGNORECASE)
+SPELLED_PART = re.compile(rf"{SIGN}|{NAME}|[\x20-]+", re.IGNORECASE)
+BRACKETED = re.compile(rf"\s{{0,9}}[\[({{<]\s{{0,9}}(?:({AT}|@)|({SPELLED_DOT}|\.))\s{{0,9}}[\])}}>]\s{{0,9}}", re.IGNORECASE)
 #: name at host dot tld in words, with spaces around at and dot.
-WORDED = re.compile(r"(?<=[A-Za-z0-9])(\x20{1,9}at\x20{1,9})(?=(?:[A-Za-z0-9-]{1,63}(?:\x20{1,9}dot\x20{1,9}|\.))+[A-Za-z]{2,})", re.IGNORECASE)
-DOT = re.compile(r"(?<=[A-Za-z0-9])\x20{1,9}dot\x20{1,9}(?=[A-Za-z]{2,}|[0-9])", re.IGNORECASE)
+WORDED = re.compile(rf"(?<=[A-Za-z0-9])(\x20{{1,9}}{AT}\x20{{1,9}})(?=(?:[A-Za-z0-9-]{{1,63}}(?:\x20{{1,9}}{SPELLED_DOT}\x20{{1,9}}|\.))+[A-Za-z]{{2,}})", re.IGNORECASE)
+DOT = re.compile(rf"(?<=[A-Za-z0-9])\x20{{1,9}}{SPELLED_DOT}\x20{{1,9}}(?=[A-Za-z]{{2,}}|[0-9])", re.IGNORECASE)
 RUN = re.compile(r"\+?[0-9](?:\.?[0-9]){6,}")
 
 
@@ -129,7 +146,7 @@ def plain(c: str) -> str:
 def spelled(text: str) -> Iterator[list[tuple[int, int, str]]]:
     """The edits of every run with two or more names and the digits of a phone number, or with a name and the form of an address."""
     for m in SPELLED.finditer(text):
-        edits = [(m.start() + w.start(), m.start() + w.end(), "+" if w[0].lower() == "plus" else DIGITS.get(w[0].lower(), "")) for w in SPELLED_PART.finditer(m[0])]
+        edits = [(m.start() + w.start(), m.start() + w.end(), "+" if w[0].lower() in PLUS else DIGITS.get(w[0].lower(), "")) for w in SPELLED_PART.finditer(m[0])]
         names = sum(new.isdigit() for _, _, new in edits)
         if names and (names > 1 and names + len(DIGIT.findall(m[0])) >= 7 or IP.fullmatch(SPELLED_PART.sub(lambda w: DIGITS.get(w[0].lower(), ""), m[0]))):
             yield edits
@@ -142,8 +159,8 @@ def disguised(text: str) -> bool:
     low = text.lower()
     return bool(
         (any(c in text for c in "[({<") and BRACKETED.search(text))
-        or (" at " in low and WORDED.search(text))
-        or (" dot " in low and DOT.search(text))
+        or (any(f" {x} " in low for x in AT_NAMES) and WORDED.search(text))
+        or (any(f" {x} " in low for x in DOT_NAMES) and DOT.search(text))
         or next(spelled(text), None)
     )
 
@@ -195,7 +212,7 @@ def pii_spans(docs: DataFrame) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in parts(batches):
             rows = []
             for t in b.column("text"):
                 base, added = spans(t.as_py())
@@ -231,7 +248,7 @@ def mask_pii(docs: DataFrame) -> DataFrame:
     """docs with personal data in text masked and n_chars, where it is there, counted anew; null texts stay null."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in parts(batches):
             texts = [t if t is None else masked(t) for t in (x.as_py() for x in b.column("text"))]
             cols = {n: b.column(n) for n in b.schema.names} | {"text": pa.array(texts, pa.string())}
             if "n_chars" in cols:

@@ -96,3 +96,28 @@ def test_every_disguise_alone_opens_the_gate():
     assert only("card 4111 one one one one 1111 one one one one") == [("card", "4111 one one one one 1111 one one one one")]
     for t in ("three dot five", "one or two of 2000000", "at 10 dot 30", "look at this. one two three 4 5", "f(.) and a [@] b", "1 2 3 4 5 6 7 8"):
         assert only(t) == []
+
+
+def test_four_languages():
+    for t in ("hans (ät) beispiel (punkt) de", "ana arroba ejemplo punto es", "luc arobase exemple point fr", "eva [arroba] ejemplo.es"):
+        assert only(f"x: {t}, y") in ([("email", t)], [("email", t.removeprefix("x: "))]), t
+    for t in ("null eins sieben zwei fünf fünf sechs neun", "seis cero uno dos tres cuatro cinco seis", "zéro un deux trois quatre cinq sept huit", "plus vier neun drei null acht neun eins"):
+        assert only(f"ruf {t}!") == [("phone", t)], t
+    assert only("ip eins neun zwei punkt eins sechs acht punkt null punkt eins") == [("ip", "eins neun zwei punkt eins sechs acht punkt null punkt eins")]
+    for t in ("un deux trois, soleil", "le point de vue", "der Punkt ist", "dos o tres al punto", "neuf cents point"):
+        assert only(t) == [], t
+
+
+PIECES = ["jоhn@example.com", "write to alice at example.com", "a@b.co", "10 [dot] 0 [dot] 0 [dot] 7", "call 555 one two three 4", "plain words", "j\u200bohn@ex.com", "+1 (988) 555-2485", "é – ü", "dos punto com"]
+
+
+@given(st.lists(st.sampled_from(PIECES), max_size=3), st.lists(st.sampled_from(PIECES), max_size=3))
+def test_what_follows_does_not_change_what_is_found(before, after):
+    text, more = " | ".join(before) + " ;\n; ", " | ".join(after)
+    alone, both = spans(text), spans(text + more)
+    for own, whole in zip(alone, both, strict=True):
+        assert own == {k: [x for x in whole[k] if x[1] <= len(text)] for k in KINDS}
+
+
+def test_an_invisible_character_does_not_leave_a_rest():
+    assert masked("to j\u200bohn@ex.com now") == "to [EMAIL] now"
