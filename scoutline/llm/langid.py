@@ -19,7 +19,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
-WORD = re.compile(r"[^\W\d_]+")
+#: Characters that count as word characters but are no letters: fractions, superscripts, Roman and circled numerals.
+NUMERALS = "".join(c for c in map(chr, range(0x110000)) if c.isnumeric() and not c.isalpha())
+WORD = re.compile(rf"[^\W\d_{NUMERALS}]+")
 START = "▁"
 #: Longer words are scored in parts of so many letters.
 LONGEST = 30
@@ -30,6 +32,8 @@ SMOOTH = 0.5
 LANGUAGES = 500
 #: Words that a worker remembers the scores of, and words that are scored together.
 MEMO, GROUP = 400_000, 5000
+#: Numbers that the remembered scores take, about; of many languages fewer words are remembered.
+NUMBERS = 16_000_000
 #: Letters that the trie knows.
 COMMON = 120
 
@@ -197,8 +201,10 @@ class Languages:
         """Most likely language and its posterior under equal priors; und and 0.0 without letters or without languages."""
         held = memo(("scores", self.key))
         if "at" not in held:
-            held |= {"at": {}, "table": np.zeros((MEMO, len(self.names)))}
+            # At least all words that are looked up together.
+            held |= {"at": {}, "table": np.zeros((max(50_000, min(MEMO, NUMBERS // max(1, len(self.names)))), len(self.names)))}
         at, table = held["at"], held["table"]
+        room = len(table)
         words = [words_of(t) if t and self.names else [] for t in texts]
         totals = np.zeros((len(texts), len(self.names)))
         # Stretches of words, so that what is looked up together is bounded whatever the length of a text.
@@ -206,7 +212,7 @@ class Languages:
 
         def flush() -> None:
             new = list(dict.fromkeys(w for _, ws in todo for w in ws if w not in at))
-            if len(at) + len(new) > MEMO:
+            if len(at) + len(new) > room:
                 at.clear()
                 new = list(dict.fromkeys(w for _, ws in todo for w in ws))
             if new:
@@ -221,7 +227,7 @@ class Languages:
             for lo in range(0, len(ws), 10_000):
                 todo.append((k, ws[lo : lo + 10_000]))
                 size += len(todo[-1][1])
-                if size > MEMO // 2:
+                if size > room // 2:
                     flush()
                     size = 0
         flush()

@@ -74,3 +74,12 @@ def test_edges(spark, with_rows):
     assert by[None].lang_pred == ("xx" if with_rows else "und")
     assert sum(r.doc_id == 1003 for r in got) == 2
     assert identify(spark.createDataFrame([], SCHEMA)).collect() == []
+
+
+def test_numerals_are_no_letters(spark):
+    from scoutline.llm.langid import words_of
+
+    assert words_of("½ ² ① Ⅷ 7 _ ٣") == [] and words_of("x² ⅷa Ⅷ一 é½") == ["x", "a", "一", "é"]
+    rows = [(i, "the cat and the dog", "en") for i in range(20)] + [(100 + i, t, None) for i, t in enumerate(("½ ² ① Ⅷ", "12 ３", "the ½ cat"))]
+    got = {r.doc_id: (r.lang_pred, r.score) for r in identify(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    assert got[100] == got[101] == ("und", 0.0) and got[102][0] == "en"
