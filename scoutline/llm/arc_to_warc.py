@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scoutline.llm.shared import Scratch
+from scoutline.llm.shared import BROADCAST_ROWS, Scratch, small
 
 # The header fields of both ARC versions, as the version block names them.
 ARC_FIELDS = {
@@ -35,6 +35,8 @@ KEY = b"X-Archive-Key: "
 END = b"\r\n\r\n"
 #: Bytes after which an archive is closed, and archives in a WARC file.
 ARC_BYTES, ARCS_A_FILE = 1 << 20, 8
+#: Bytes of an archive's header line of a record, besides its URL, about.
+ARC_HEADER = 80
 
 
 class ArcRecord(NamedTuple):
@@ -161,7 +163,7 @@ def pages_to_arc(pages: DataFrame) -> DataFrame:
                 key, text = ids[i].as_py(), texts[i].as_py() or b""
                 mark = b"" if key is None else KEY + b"%d\r\n" % key
                 held.append((_clean(urls[i].as_py()), b"HTTP/1.0 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n" + mark + b"\r\n" + text))
-                size += len(text)
+                size += sum(map(len, held[-1])) + ARC_HEADER
                 if size >= ARC_BYTES:
                     yield close()
                     held, size, n = [], 0, n + 1
@@ -200,15 +202,19 @@ def convert(arcs: DataFrame, out: str, least: int = 0) -> None:
     with Scratch(arcs.sparkSession) as scratch:
         index = scratch.save(arc_index(arcs))
         order = F.struct(F.col("key").isNull().alias("no"), "key", "path", "offset")
-        firsts = index.where(F.col("size") >= least).groupBy("digest", "size").agg(F.min(order).alias("first"), F.count("*").alias("n")).where("n > 1")
-        again = (
-            index.join(firsts, ["digest", "size"])
+        groups = index.where(F.col("size") >= least).groupBy("digest", "size").agg(F.min(order).alias("first"), F.count("*").alias("n")).where("n > 1")
+        again = scratch.save(
+            index.join(small(scratch.save(groups)), ["digest", "size"])
             .where("path <> first.path or offset <> first.offset")
             .groupBy("path")
             # As many as the archive has records.
             .agg(F.collect_list(F.struct("offset", F.col("first.path").alias("of"), F.col("first.offset").alias("at"))).alias("again"))
         )
 
+        # The archives stay where they are, unless there are too many revisits to be sent to them.
+        n = again.agg(F.sum(F.size("again"))).first()[0] or 0
+        again = F.broadcast(again) if n <= BROADCAST_ROWS // 4 else again
+
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
                 for path, content, again in zip(b.column("path"), b.column("content"), b.column("again"), strict=True):
