@@ -6,7 +6,7 @@ the last adds source_size, target and taken, the words that the mix takes of eac
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from scoutline.llm.decontamination import drop_contaminated
@@ -14,47 +14,58 @@ from scoutline.llm.mixing import mix_sources
 from scoutline.llm.ngram_join import ngram_jaccard_join
 from scoutline.llm.pii import mask_pii
 from scoutline.llm.quality_forest import keep_good
-from scoutline.llm.shared import Scratch
+from scoutline.llm.shared import Scratch, small
 from scoutline.session import table
 
 
+#: Columns that the last stage adds.
+MIXED = ("source_size", "target", "taken")
+
+
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the base rules and the forest keep."""
+    """Rows that the base rules and the forest keep; each is judged by its own text, and null and empty texts go."""
     return keep_good(docs, table(spark, sf_dir, "labels"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of documents linked by 0.8 of their five-word shingles the one of least doc_id.
 
-    Rows without doc_id are linked with nothing and stay. Of rows with an equal doc_id one stays.
+    Rows without doc_id are linked with nothing and stay. Rows with an equal doc_id are one document: all of its different
+    texts stay or go together, and of equal texts one stays. Null and empty texts are linked with nothing.
     """
-    groups = ngram_jaccard_join(docs, n=5, num=80, den=100)
-    gone = groups.where("doc_id <> component_id").select("doc_id").distinct()
-    kept = docs.join(gone, "doc_id", "left_anti").select(docs.columns)
-    named = kept.where("doc_id is not null")
-    twice = groups.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id")
+    with Scratch(spark) as scratch:
+        groups = ngram_jaccard_join(docs, n=5, num=80, den=100)
+        gone = scratch.keep(groups.where("doc_id <> component_id").select("doc_id").distinct())
+        twice = scratch.keep(groups.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"))
+    kept = docs.join(small(gone), "doc_id", "left_anti").select(docs.columns)
     if twice.isEmpty():
         return kept
-    one = named.join(twice, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(docs.columns)
-    return kept.join(twice, "doc_id", "left_anti").select(docs.columns).unionByName(one)
+    row, text = F.struct(*docs.columns), F.struct(F.col("doc_id"), F.col("text"))
+    same = kept.join(small(twice), "doc_id", "left_semi").select(row.alias("row"), text.alias("id"))
+    first = Window.partitionBy("id").orderBy(F.xxhash64("row"))
+    one = same.withColumn("i", F.row_number().over(first)).where("i = 1").select("row.*")
+    return kept.join(small(twice), "doc_id", "left_anti").select(docs.columns).unionByName(one)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without an overlap with the benchmark."""
+    """Rows whose text has no overlap with the benchmark; null and empty texts have none."""
     return drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with personal data masked."""
+    """All rows, with personal data in text masked and n_chars counted anew; null texts stay null."""
     return mask_pii(docs)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the mix takes words of, and how many."""
-    mix = mix_sources(docs).where("taken > 0").groupBy("doc_id").agg(F.first("source_size").alias("source_size"), F.first("target").alias("target"), F.sum("taken").alias("taken"))
-    with Scratch(spark) as scratch:
-        mix = scratch.keep(mix).withColumnRenamed("doc_id", "_id")
-    return docs.join(mix, F.col("doc_id").eqNullSafe(F.col("_id"))).drop("_id")
+    """Documents that the mix takes words of, with source_size, target and taken, the words that it takes.
+
+    Every row is a document of its own, also where doc_ids are null or repeated. Columns of docs that have one of
+    these three names are replaced.
+    """
+    own = [c for c in docs.columns if c not in MIXED]
+    mix = mix_sources(docs.select("doc_id", "text", "source", F.struct(*own).alias("row")), carry=("row",))
+    return mix.where("taken > 0").select("row.*", *MIXED)
 
 
 STAGES = [
