@@ -38,8 +38,20 @@ def test_each_stage_does_what_its_operator_says(spark):
 
 
 def test_stages_take_empty_and_odd_tables(spark):
-    schema = "doc_id long, text string, lang string, source string, n_chars long"
-    odd = spark.createDataFrame([(None, None, None, None, None), (1, "", "en", "a", 0), (1, "", "en", "a", 0), (2, "x " * 70, None, None, 1)], schema)
-    for _, stage in corpus_pipeline.STAGES:
+    """Null ids, null and empty texts, repeated rows, extra columns with names that stages use themselves."""
+    clean = [" ".join(f"w{i}x{j}" for j in range(60)) for i in range(5)]
+    rows = [(None, clean[0], "en", "a", 1), (None, clean[1], None, None, 1), (1, clean[2], "en", "a", 1), (1, clean[2], "en", "a", 1), (1, clean[3], "en", "a", 1), (2, clean[4], "en", None, 1), (3, None, None, None, None), (4, "", "en", "a", 0)]
+    more = "taken string, row string, cut string, _id string, seed string, d string, e string"
+    odd = spark.createDataFrame([(*r, *"tuvwxyz") for r in rows], "doc_id long, text string, lang string, source string, n_chars long, " + more)
+    left = {"quality rules": 6, "n-gram Jaccard join": 5, "benchmark decontamination": 5, "personal data": 5, "mixing sources": 5}
+    docs = odd
+    for name, stage in corpus_pipeline.STAGES:
         assert stage(spark, odd.limit(0), SF).collect() == []
-        stage(spark, odd, SF).collect()
+        own = stage(spark, odd, SF)
+        assert len(set(own.columns)) == len(own.columns) and set(odd.columns) <= set(own.columns)
+        own.collect()
+        docs = stage(spark, docs, SF)
+        got = docs.collect()
+        assert len(got) == left[name], name
+    assert sorted((r.doc_id or 0, r.text) for r in got) == sorted([(0, clean[0]), (0, clean[1]), (1, clean[2]), (1, clean[3]), (2, clean[4])])
+    assert all(0 < r.taken <= 120 for r in got)
