@@ -33,7 +33,7 @@ def postings(rows: DataFrame, doc: str, fields: list[str], part: Column | None =
 def bm25(index: DataFrame, queries: DataFrame, rows: DataFrame, doc: str, part: Column | None = None) -> DataFrame:
     """(qid, part, doc, score): sum over query terms and fields, any term may match. Equal query terms count as often as they occur."""
     size = rows.select((part if part is not None else F.lit("all")).alias("part")).groupBy("part").agg(F.count("*").alias("n"))
-    lengths = index.groupBy("part", "field", "doc").agg(F.first("len").alias("len")).groupBy("part", "field").agg(F.sum("len").alias("total"))
+    lengths = index.groupBy("part", "field").agg(F.sum("tf").alias("total"))
     asked = queries.select("qid", F.explode(tokenize(F.col("query"))).alias("term")).groupBy("qid", "term").agg(F.count("*").alias("times"))
     hits = index.join(asked.select("term").distinct(), "term", "left_semi")
     df = hits.groupBy("part", "field", "term").agg(F.count("*").alias("df"))

@@ -43,7 +43,7 @@ DEFS = {
                CASE WHEN item_id % 3 = 0 THEN 'parse_config' WHEN item_id % 3 = 1 THEN 'SearchIndex' ELSE 'the widget module' END,
                CASE WHEN item_id % 10 = 9 THEN ' call' WHEN item_id % 4 = 2 THEN ' callers' WHEN item_id % 4 = 3 THEN ' structure' ELSE '' END) AS query
         FROM {benchmark}""",
-    "terms": "SELECT seq AS qid, concat(replace(name, '_', ' '), ' ', split_part(content, ' ', 3)) AS query FROM {symbols} WHERE seq % 40 = 7",
+    "terms": "SELECT seq AS qid, concat(replace(name, '_', ' '), ' ', split_part(content, ' ', 3)) AS query FROM {symbols} WHERE seq % 20 = 0",
     "interactions": """
         SELECT concat(cast(u.conv_id as string), '-', cast(u.turn as string)) AS id, cast(u.conv_id % 20 as string) AS session_id, u.conv_id * 10 + u.turn AS timestamp,
                u.turn + u.conv_id * 100 AS line_no, u.text AS input_text, a.text AS response_text,
@@ -59,7 +59,7 @@ DEFS = {
     "issues": """
         SELECT l_orderkey * 10 + l_linenumber AS id, split_part('critical,high,medium,low', ',', cast(l_orderkey % 4 + 1 as int)) AS severity, cast(l_quantity as int) AS severity_score,
                CASE WHEN l_returnflag = 'N' THEN 'open' ELSE 'closed' END AS status, concat('repo', cast(l_suppkey as string)) AS repo, split_part('sast,sca,leak', ',', cast(l_partkey % 3 + 1 as int)) AS type
-        FROM {lineitem} WHERE l_partkey % 5 = 0""",
+        FROM {lineitem}""",
 }
 
 

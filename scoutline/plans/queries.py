@@ -32,8 +32,9 @@ def query(name: str, *tables: str, sql: str | None = None, raw: bool = False):
     return add
 
 
-def probe(symbols: DataFrame, every: int = 9) -> DataFrame:
-    return symbols.where(F.col("seq") % every == 3).select("name").distinct()
+def probe(symbols: DataFrame) -> DataFrame:
+    """The names that are asked for: those of every symbol whose number divides by 20, against all rows."""
+    return symbols.where("seq % 20 = 0").select("name").distinct()
 
 
 # --- classes and filters -------------------------------------------------------------------------
@@ -147,12 +148,12 @@ def _(symbols):
 # --- navigation ----------------------------------------------------------------------------------
 
 
-@query("J1_find_definitions", "symbols", sql="SELECT name, seq, file, line FROM symbols WHERE name IN (SELECT name FROM symbols WHERE seq % 9 = 3)")
+@query("J1_find_definitions", "symbols", sql="SELECT name, seq, file, line FROM symbols WHERE name IN (SELECT name FROM symbols WHERE seq % 20 = 0)")
 def _(symbols):
     return N.of_name(probe(symbols), symbols).select("name", "seq", "file", "line")
 
 
-@query("J2_find_references", "symbols", "refs", sql="SELECT name, file, line, col FROM refs WHERE name IN (SELECT name FROM symbols WHERE seq % 9 = 3)")
+@query("J2_find_references", "symbols", "refs", sql="SELECT name, file, line, col FROM refs WHERE name IN (SELECT name FROM symbols WHERE seq % 20 = 0)")
 def _(symbols, refs):
     return N.of_name(probe(symbols), refs).select("name", "file", "line", "col")
 
@@ -162,10 +163,10 @@ def _(symbols, refs):
     return N.resolve(refs, symbols).groupBy("name", "n_defs", "confidence").agg(F.count("*").alias("n"))
 
 
-@query("J4_J17_validated_references", "symbols", "refs", sql="""WITH t AS (SELECT name, file, line + seq % 2 AS line, CASE WHEN seq % 5 = 0 THEN 'macro' ELSE kind END AS kind FROM symbols WHERE seq % 3 = 1), c AS (SELECT name, count(*) n FROM symbols GROUP BY name), r AS (SELECT name, count(*) n FROM refs GROUP BY name)
+@query("J4_J17_validated_references", "symbols", "refs", sql="""WITH t AS (SELECT name, file, line + seq % 2 AS line, CASE WHEN seq % 5 = 0 THEN 'macro' ELSE kind END AS kind FROM symbols), c AS (SELECT name, count(*) n FROM symbols GROUP BY name), r AS (SELECT name, count(*) n FROM refs GROUP BY name)
 SELECT t.name, t.file, t.line::INT AS line, coalesce(r.n, 0) AS n_refs FROM t JOIN c ON t.name = c.name LEFT JOIN r ON t.name = r.name WHERE c.n <= 1 OR EXISTS (SELECT 1 FROM symbols d WHERE d.name = t.name AND d.file = t.file AND (d.line = t.line OR d.kind = t.kind))""")
 def _(symbols, refs):
-    t = symbols.where("seq % 3 = 1").select("name", "file", (F.col("line") + F.col("seq") % 2).cast("int").alias("line"), F.when(F.col("seq") % 5 == 0, "macro").otherwise(F.col("kind")).alias("kind"))
+    t = symbols.select("name", "file", (F.col("line") + F.col("seq") % 2).cast("int").alias("line"), F.when(F.col("seq") % 5 == 0, "macro").otherwise(F.col("kind")).alias("kind"))
     return N.validated_references(refs, t, symbols)
 
 
@@ -179,12 +180,12 @@ def _(symbols, refs):
     return N.callees(symbols.where(F.col("kind").isin(*N.FUNCTIONS)), refs)
 
 
-@query("J7_callers", "symbols", "refs", sql="SELECT r.name, r.file, r.line, r.col, arg_max(d.name, d.line::BIGINT * 1000000000 + d.seq) AS caller FROM (SELECT *, row_number() OVER () rid FROM refs WHERE context = 'Call' AND name IN (SELECT name FROM symbols WHERE seq % 9 = 3)) r LEFT JOIN symbols d ON d.file = r.file AND d.kind IN ('function', 'method') AND d.line <= r.line GROUP BY r.rid, r.name, r.file, r.line, r.col")
+@query("J7_callers", "symbols", "refs", sql="SELECT r.name, r.file, r.line, r.col, arg_max(d.name, d.line::BIGINT * 1000000000 + d.seq) AS caller FROM (SELECT *, row_number() OVER () rid FROM refs WHERE context = 'Call' AND name IN (SELECT name FROM symbols WHERE seq % 20 = 0)) r LEFT JOIN symbols d ON d.file = r.file AND d.kind IN ('function', 'method') AND d.line <= r.line GROUP BY r.rid, r.name, r.file, r.line, r.col")
 def _(symbols, refs):
     return N.callers(probe(symbols), refs, symbols)
 
 
-@query("J16_usages", "symbols", "refs", sql="SELECT name, 'definition' AS role, file, line FROM symbols WHERE name IN (SELECT name FROM symbols WHERE seq % 9 = 3) UNION ALL SELECT name, 'reference', file, line FROM refs WHERE name IN (SELECT name FROM symbols WHERE seq % 9 = 3)")
+@query("J16_usages", "symbols", "refs", sql="SELECT name, 'definition' AS role, file, line FROM symbols WHERE name IN (SELECT name FROM symbols WHERE seq % 20 = 0) UNION ALL SELECT name, 'reference', file, line FROM refs WHERE name IN (SELECT name FROM symbols WHERE seq % 20 = 0)")
 def _(symbols, refs):
     return N.usages(probe(symbols), symbols, refs)
 
@@ -225,13 +226,13 @@ def _(symbols, refs):
     return N.dependents(symbols, refs)
 
 
-@query("J15_D6_expansion", "symbols", "refs", sql="""WITH s AS (SELECT * FROM symbols WHERE seq % 25 = 8 OR seq % 25 = 1),
+@query("J15_D6_expansion", "symbols", "refs", sql="""WITH s AS (SELECT * FROM symbols WHERE seq % 20 = 0),
 c AS (SELECT name, caller, min(line) AS p FROM (SELECT r.name, r.line, arg_max(d.name, d.line::BIGINT * 1000000000 + d.seq) AS caller FROM (SELECT *, row_number() OVER () rid FROM refs WHERE context = 'Call') r JOIN symbols d ON d.file = r.file AND d.kind IN ('function', 'method') AND d.line <= r.line GROUP BY r.rid, r.name, r.line) GROUP BY name, caller),
 x AS (SELECT seq, 'parent' AS role, parent AS name, 0 AS p FROM s WHERE parent IS NOT NULL UNION ALL SELECT seq, 'caller', caller, p FROM s JOIN c ON s.name = c.name
       UNION ALL SELECT s.seq, 'callee', r.name, min(r.line) FROM s JOIN refs r ON s.file = r.file AND r.context = 'Call' AND r.line > s.line AND r.line < s.line + 50 GROUP BY s.seq, r.name)
 SELECT seq, role, name FROM (SELECT *, row_number() OVER (PARTITION BY seq, role ORDER BY p, name) n FROM x) WHERE n <= 5""")
 def _(symbols, refs):
-    return N.expansion(symbols.where("seq % 25 in (8, 1)"), symbols, refs)
+    return N.expansion(symbols.where("seq % 20 = 0"), symbols, refs)
 
 
 # --- search --------------------------------------------------------------------------------------
@@ -275,9 +276,11 @@ def _(symbols):
     return symbols.select(C.content_type(C.document_type(F.col("file"))).alias("part")).rollup("part").agg(F.count("*").alias("n")).select(F.coalesce("part", F.lit("total")).alias("part"), "n")
 
 
-@query("R5_fuzzy_search", "symbols")
+@query("R5_fuzzy_search", "symbols", sql="""WITH q AS (SELECT seq AS qid, 'x' || substr(split_part(name, '_', 1), 2, 20) AS query FROM symbols WHERE seq % 20 = 0),
+tok AS (SELECT DISTINCT seq, unnest(regexp_split_to_array(lower(name), '[^\\p{L}\\p{N}]+')) AS token FROM symbols)
+SELECT qid, seq, min(damerau_levenshtein(token, query))::INT AS distance FROM (SELECT DISTINCT query, token, damerau_levenshtein(token, query) FROM (SELECT DISTINCT token FROM tok WHERE token <> ''), (SELECT DISTINCT query FROM q) WHERE damerau_levenshtein(token, query) <= 2) JOIN q USING (query) JOIN tok USING (token) GROUP BY qid, seq""")
 def _(symbols):
-    asked = symbols.where("seq % 60 = 11").select(F.col("seq").alias("qid"), F.concat(F.lit("x"), F.substring(F.split_part("name", F.lit("_"), F.lit(1)), 2, 20)).alias("query"))
+    asked = symbols.where("seq % 20 = 0").select(F.col("seq").alias("qid"), F.concat(F.lit("x"), F.substring(F.split_part("name", F.lit("_"), F.lit(1)), 2, 20)).alias("query"))
     return text_search.fuzzy(symbols, asked)
 
 
@@ -336,10 +339,10 @@ def _(spark, interactions):
 TRI_SQL = "WITH t AS (SELECT DISTINCT path, hex(substr(b, i, 1)) || hex(substr(b, i + 1, 1)) || hex(substr(b, i + 2, 1)) AS tri FROM (SELECT path, content AS b, unnest(range(1, length(content) - 1)) i FROM src)) "
 
 
-@query("R18_J11_trigram_candidates", "symbols", sql="WITH src AS (SELECT seq, content FROM symbols), q AS (SELECT seq AS qid, split_part(content, ' ', 2) AS query FROM symbols WHERE seq % 50 = 2) SELECT qid, seq AS path FROM q, src WHERE list_has_all([substr(content, i, 3) for i in range(1, greatest(length(content) - 1, 1))], [substr(query, i, 3) for i in range(1, length(query) - 1)])")
+@query("R18_J11_trigram_candidates", "symbols", sql="WITH src AS (SELECT seq, content FROM symbols), q AS (SELECT seq AS qid, split_part(content, ' ', 2) AS query FROM symbols WHERE seq % 20 = 0) SELECT qid, seq AS path FROM q, src WHERE list_has_all([substr(content, i, 3) for i in range(1, greatest(length(content) - 1, 1))], [substr(query, i, 3) for i in range(1, length(query) - 1)])")
 def _(symbols):
     files = symbols.select(F.col("seq").alias("path"), "content")
-    return trigrams.candidates(trigrams.index(files), files, symbols.where("seq % 50 = 2").select(F.col("seq").alias("qid"), F.split_part("content", F.lit(" "), F.lit(2)).alias("query")))
+    return trigrams.candidates(trigrams.index(files), files, symbols.where("seq % 20 = 0").select(F.col("seq").alias("qid"), F.split_part("content", F.lit(" "), F.lit(2)).alias("query")))
 
 
 @query("A9_R19_trigram_stats", "symbols", sql="WITH t AS (SELECT DISTINCT seq, substr(content, i, 3) tri FROM (SELECT seq, content, unnest(range(1, length(content) - 1)) i FROM symbols WHERE seq % 3 <> 0)) SELECT count(*) AS trigrams, avg(n) AS avg_files, (SELECT count(DISTINCT seq) FROM t) AS files FROM (SELECT tri, count(*) n FROM t GROUP BY tri)")
@@ -535,9 +538,9 @@ def _(t):
     return tickets.comments(issue_details(t))
 
 
-@query("A15_severity_summary", "issues", sql="SELECT r::INT AS rank, s AS severity, count(i.id) AS n FROM (SELECT unnest(['critical', 'high', 'medium', 'low']) s, unnest(range(1, 5)) r) LEFT JOIN (SELECT * FROM issues WHERE severity <> 'low') i ON i.severity = s GROUP BY r, s")
+@query("A15_severity_summary", "issues", sql="SELECT r::INT AS rank, s AS severity, count(i.id) AS n FROM (SELECT unnest(['critical', 'high', 'medium', 'low']) s, unnest(range(1, 5)) r) LEFT JOIN issues i ON i.severity = s GROUP BY r, s")
 def _(issues):
-    return tickets.severity_summary(issues.where("severity <> 'low'"))
+    return tickets.severity_summary(issues)
 
 
 @query("W8_severity_list", "issues", sql="SELECT id, severity_score FROM issues ORDER BY severity_score DESC, id LIMIT 30")
@@ -651,12 +654,20 @@ def _(events):
     return commits.lanes(log.select("repo", "pos", F.col("id").cast("string").alias("hash"), parents.cast("array<string>").alias("parent_hashes")))
 
 
-@query("S15_S16_U6_pages", "orders", sql="SELECT o_orderkey AS value FROM orders WHERE o_orderkey < 400")
+@query("S15_U6_pages", "orders", sql="SELECT o_orderkey AS value FROM orders WHERE o_orderkey < 400")
 def _(orders):
-    raw = orders.where("o_orderkey < 1000").groupBy(F.floor(F.col("o_orderkey") / 20).cast("int").alias("page")).agg(F.to_json(F.struct(F.sort_array(F.collect_list("o_orderkey")).alias("values"), F.lit("x").alias("next"))).alias("body"))
+    raw = orders.groupBy(F.floor(F.col("o_orderkey") / 20).cast("int").alias("page")).agg(F.to_json(F.struct(F.sort_array(F.collect_list("o_orderkey")).alias("values"), F.lit("x").alias("next"))).alias("body"))
     return project.merged_pages(raw, "bigint").select("value")
 
 
+@query("S16_short_pages", "orders", sql="SELECT floor(o_orderkey / 20)::INT AS page, o_orderkey AS value FROM orders WHERE o_orderkey < 1000 AND o_orderkey <> 995")
+def _(orders):
+    """Full pages of 20, but for page 49, which lacks one and so is the last."""
+    page = F.floor(F.col("o_orderkey") / 20).cast("int").alias("page")
+    raw = orders.groupBy(page).agg(F.to_json(F.sort_array(F.collect_list(F.when(F.col("o_orderkey") != 995, F.col("o_orderkey"))))).alias("body"))
+    return project.short_pages(raw, "bigint").select("page", "value")
+
+
 @query("S17_servers", "supplier", sql="SELECT s_suppkey AS path, 'a' AS name, 'stdio' AS type FROM supplier WHERE s_suppkey % 3 <> 2 UNION ALL SELECT s_suppkey, 'b', 'http' FROM supplier WHERE s_suppkey % 3 = 0")
 def _(supplier):
     text = F.when(F.col("s_suppkey") % 3 == 0, '{"mcpServers":{"a":{"command":"run"},"b":{"url":"http://x"},"c":{"type":"sse"}}}').when(F.col("s_suppkey") % 3 == 1, '{"a":{"command":"go"}}').otherwise("{broken")
@@ -669,10 +680,10 @@ def _(supplier):
     return project.skills(supplier.select(F.col("s_suppkey").alias("path"), text.alias("content")))
 
 
-@query("S14_choices", "orders", sql="SELECT o_orderkey % 7 AS page, 'b' || o_orderkey AS key, 'c' || o_custkey AS description FROM orders WHERE o_orderkey < 700")
+@query("S14_choices", "orders", sql="SELECT floor(o_orderkey / 50)::BIGINT AS page, 'b' || o_orderkey AS key, 'c' || o_custkey AS description FROM orders")
 def _(orders):
     v = F.to_json(F.struct(F.concat(F.lit("b"), F.col("o_orderkey")).alias("name"), F.struct(F.concat(F.lit("c"), F.col("o_custkey")).alias("hash")).alias("target")))
-    pages = orders.where("o_orderkey < 700").groupBy((F.col("o_orderkey") % 7).alias("page")).agg(F.concat(F.lit('{"values":['), F.array_join(F.collect_list(v), ","), F.lit("]}")).alias("body"))
+    pages = orders.groupBy(F.floor(F.col("o_orderkey") / 50).alias("page")).agg(F.concat(F.lit('{"values":['), F.array_join(F.collect_list(v), ","), F.lit("]}")).alias("body"))
     return project.choices(pages, "$.name", "$.name", "$.target.hash").select("page", "key", "description")
 
 
