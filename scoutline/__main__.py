@@ -21,17 +21,22 @@ def main(args: list[str] | None = None) -> int:
     s.add_argument("--limit", type=int, default=10)
     s.add_argument("--fuzzy", action="store_true")
     s.add_argument("--kind")
+    s.add_argument("--full", action="store_true", help="with the code of each hit")
     for name in ("goto", "refs", "info"):
         c = sub.add_parser(name)
         c.add_argument("name")
         if name == "refs":
             c.add_argument("--include-definition", action="store_true")
+        if name == "info":
+            for part in ("code", "callers", "callees", "refs", "all"):
+                c.add_argument(f"--{part}", action="store_true")
     s = sub.add_parser("symbols")
     s.add_argument("--file")
     s.add_argument("--kind")
     s = sub.add_parser("memory")
-    s.add_argument("what", choices=("show", "search", "stats"))
-    s.add_argument("query", nargs="?", default="")
+    s.add_argument("what", choices=("show", "search", "stats", "add"))
+    s.add_argument("query", nargs="?", default="", help="words to search, or what was asked when adding")
+    s.add_argument("--answer", default="")
     s.add_argument("--limit", type=int, default=10)
     s.add_argument("--session")
     a = p.parse_args(args)
@@ -42,13 +47,17 @@ def main(args: list[str] | None = None) -> int:
         print(e.index())
         return 0
     if a.command == "info":
-        for part, df in e.info(a.name).items():
+        asked = {x for x in ("code", "callers", "callees", "refs") if getattr(a, x) or a.all} or {"callers", "callees", "refs"}
+        for part, df in e.info(a.name, asked).items():
             print(part)
             df.show(50, truncate=80)
         return 0
+    if a.command == "memory" and a.what == "add":
+        e.add(a.query, a.answer, a.session)
+        return 0
     df = {
         "stats": lambda: e.stats(),
-        "search": lambda: e.search(a.query, a.limit, a.fuzzy, a.kind),
+        "search": lambda: e.search(a.query, a.limit, a.fuzzy, a.kind, a.full),
         "goto": lambda: e.goto(a.name),
         "refs": lambda: e.references(a.name, a.include_definition),
         "symbols": lambda: e.list_symbols(a.file, a.kind),

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # Boosts by document type, by kind, and the further factors by intent.
@@ -132,6 +132,12 @@ def main_language(counts: DataFrame) -> DataFrame:
     )
 
 
+def by_support(counts: DataFrame) -> DataFrame:
+    """(supported, pos, language, n): the supported and the other languages of a census, each by falling number of files, ties by name."""
+    w = Window.partitionBy("supported").orderBy(F.desc("n"), "language")
+    return counts.select("supported", F.row_number().over(w).alias("pos"), "language", "n")
+
+
 def project_type(files: DataFrame, root: str) -> DataFrame:
     """One row: the project type by marker files directly under root, in order of precedence."""
     name = F.regexp_extract("path", r"([^/]*)$", 1)

@@ -112,3 +112,9 @@ def message_segments(messages: DataFrame) -> DataFrame:
     stop = F.sum(F.char_length("part")).over(w)
     kind = F.when(F.col("part").rlike(r"^@[\w./:-]"), "file").when(F.col("part").rlike(r"^#[\w./:-]"), "symbol").otherwise("text")
     return ordered.select("id", (stop - F.char_length("part")).alias("start"), stop.alias("stop"), kind.alias("kind"), F.col("part").alias("text")).where(trimmed(F.col("text")) != "")
+
+
+def segment_counts(segments: DataFrame) -> DataFrame:
+    """(id, files, folders): references to files, and to folders, which end in a slash, of messages that have segments."""
+    named = F.col("kind") == "file"
+    return segments.groupBy("id").agg(F.count_if(named & ~F.col("text").endswith("/")).alias("files"), F.count_if(named & F.col("text").endswith("/")).alias("folders"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+# Rank fusion, least score, lines of a scope, rows of each part.
 RRF_K, THRESHOLD, SCOPE = 60, 0.015, 50
 LIMITS = {"code": 10, "docs": 5, "notes": 3}
 # Shares of visibility and kind in the importance of a symbol.
@@ -61,9 +62,60 @@ def within_budget(ranked: DataFrame, budget: int) -> DataFrame:
     return ranked.withColumn("tokens", F.sum(F.floor(F.char_length("text") / 4)).over(w)).where(F.col("tokens") <= budget)
 
 
+# Patterns of names, and what a path to a name needs: confidence, share of names that exist, mean importance.
+CAMEL, SNAKE, SCREAMING = "[A-Z][a-z]+(?:[A-Z][a-z0-9]+)+", "[a-z][a-z0-9]*(?:_[a-z0-9]+)+", "[A-Z][A-Z0-9]*(?:_[A-Z0-9]+)+"
+CONFIDENT, EXISTING, IMPORTANT = 0.7, 0.5, 0.5
+#: How sure a word of each pattern is a name; the documents give no numbers.
+CERTAINTY = {CAMEL: 0.9, SNAKE: 0.85, SCREAMING: 0.8}
+CONCEPTUAL = r"(?i)\b(?:why does|explain|how does .* works?)\b"
+
+
 def symbols_in(text: Column) -> Column:
     """CamelCase, snake_case and SCREAMING_CASE words."""
-    return F.array_distinct(F.regexp_extract_all(text, F.lit(r"\b([A-Z][a-z0-9]+(?:[A-Z][a-z0-9]*)+|[a-z][a-z0-9]*(?:_[a-z0-9]+)+|[A-Z][A-Z0-9]*(?:_[A-Z0-9]+)+)\b"), 1))
+    return F.array_distinct(F.regexp_extract_all(text, F.lit(rf"\b({CAMEL}|{SNAKE}|{SCREAMING})\b"), 1))
+
+
+def certainty(text: Column) -> Column:
+    """Mean certainty of the names in a text; 0 without one."""
+    sure = F.transform(symbols_in(text), lambda x: F.coalesce(*[F.when(x.rlike(f"^(?:{p})$"), c) for p, c in CERTAINTY.items()]))
+    return F.when(F.size(sure) == 0, 0.0).otherwise(F.aggregate(sure, F.lit(0.0), lambda a, b: a + b) / F.size(sure))
+
+
+def fast_path(queries: DataFrame, symbols: DataFrame, refs: DataFrame) -> DataFrame:
+    """(qid, fast, certainty, existing, importance) of queries (qid, query): whether the names in it are enough to answer it.
+
+    Existing is the share of its names that are defined, importance the mean of the defined ones, each by its most important definition.
+    """
+    counts = refs.groupBy("name").agg(F.count("*").alias("n"))
+    known = symbols.join(counts, "name", "left").groupBy("name").agg(F.max(importance(F.coalesce("n", F.lit(0)), F.col("visibility"), F.col("kind"))).alias("w"))
+    names = queries.select("qid", F.explode_outer(symbols_in(F.col("query"))).alias("name")).join(known, "name", "left")
+    each = names.groupBy("qid").agg((F.count("w") / F.greatest(F.lit(1), F.count("name"))).alias("existing"), F.coalesce(F.avg("w"), F.lit(0.0)).alias("importance"))
+    sure = certainty(F.col("query"))
+    ok = (sure >= CONFIDENT) & (F.col("existing") >= EXISTING) & (F.col("importance") >= IMPORTANT) & ~F.col("query").rlike(CONCEPTUAL)
+    return queries.join(each, "qid").select("qid", ok.alias("fast"), sure.alias("certainty"), "existing", "importance")
+
+
+def feedback(results: DataFrame, action: str, wanted: DataFrame | None = None, pattern: str | None = None) -> DataFrame:
+    """Results (qid, doc, file, ...) after an action of the one who asked.
+
+    accept leaves them, filter keeps files that match the pattern, more adds the rows of ``wanted`` (expanded, related or
+    searched anew) that are not there yet, refine takes them instead.
+    """
+    if action == "accept":
+        return results
+    if action == "filter":
+        return results.where(F.col("file").rlike(pattern))
+    if action == "more":
+        return results.unionByName(wanted.select(results.columns).join(results.select("qid", "doc"), ["qid", "doc"], "left_anti").select(results.columns))
+    if action == "refine":
+        return wanted.select(results.columns)
+    raise ValueError(f"unknown action {action}")
+
+
+def kept_projects(uses: DataFrame, most: int = 5) -> DataFrame:
+    """Projects (project, used_at) that stay cached: those used last, ties by name."""
+    last = uses.groupBy("project").agg(F.max("used_at").alias("used_at"))
+    return last.orderBy(F.desc("used_at"), "project").limit(most)
 
 
 def importance(refs: Column, visibility: Column, kind: Column) -> Column:

@@ -112,6 +112,12 @@ def usages_by_context(refs: DataFrame) -> DataFrame:
     return refs.groupBy("name", "context").agg(F.count("*").alias("n"), F.min(F.struct("file", "line", "col")).alias("first")).select("name", "context", "n", F.col("first.file").alias("file"), F.col("first.line").alias("line"))
 
 
+def usages_in_context(refs: DataFrame) -> DataFrame:
+    """(name, context, pos, file, line, col): the references of each name and context in order, as rows; no list is gathered in one value."""
+    w = Window.partitionBy("name", "context").orderBy("file", "line", "col")
+    return refs.select("name", "context", F.row_number().over(w).alias("pos"), "file", "line", "col")
+
+
 def context_counts(refs: DataFrame) -> DataFrame:
     calls, types, imports = F.col("context") == "Call", F.col("context").isin(*TYPE_CONTEXTS), F.col("context") == "Import"
     return refs.groupBy("name").agg(F.count_if(calls).alias("calls"), F.count_if(types).alias("types"), F.count_if(imports).alias("imports"), F.count_if(~(calls | types | imports)).alias("others"))
@@ -141,6 +147,14 @@ def browse(symbols: DataFrame, parent: str | None, part: str) -> DataFrame:
     return symbols.where(F.col("parent").eqNullSafe(F.lit(parent)) & F.lower("name").contains(part.lower()))
 
 
+def lookup(asked: DataFrame, symbols: DataFrame) -> DataFrame:
+    """(qid, seq, name, file, line): the first symbol of the last part of a path (qid, path), under the part before it or under none."""
+    parts = F.split("path", "::")
+    q = asked.select("qid", F.element_at(parts, -1).alias("name"), F.when(F.size(parts) > 1, F.get(parts, F.size(parts) - 2)).alias("under"))
+    met = q.join(symbols, "name").where(F.col("parent").eqNullSafe(F.col("under")))
+    return met.groupBy("qid").agg(F.min_by(F.struct("seq", "name", "file", "line"), "seq").alias("x")).select("qid", "x.*")
+
+
 def dependents(symbols: DataFrame, refs: DataFrame) -> DataFrame:
     """(name, dependent): functions that call a defined name, once each."""
     calls = refs.where("context = 'Call'").join(symbols.select("name").distinct(), "name", "left_semi").select("name", "file", "line", "col")
@@ -148,11 +162,22 @@ def dependents(symbols: DataFrame, refs: DataFrame) -> DataFrame:
 
 
 def expansion(seeds: DataFrame, symbols: DataFrame, refs: DataFrame, most: int = 5, scope: int = 50) -> DataFrame:
-    """(seq, role, name): the parent of each seed symbol, its first callers and its first callees within ``scope`` lines, ``most`` of each."""
+    """(seq, role, name): the parent of each seed symbol, its first callers, and the first callees and types within ``scope`` lines, ``most`` of each."""
     s = seeds.select("seq", "name", "parent", "file", "line")
     parents = s.where("parent is not null").select("seq", F.lit("parent").alias("role"), F.col("parent").alias("name"), F.lit(0).alias("at"))
     called = callers(s, refs, symbols).where("caller is not null").groupBy("name", "caller").agg(F.min("line").alias("at"))
     above = s.select("seq", "name").join(called, "name").select("seq", F.lit("caller").alias("role"), F.col("caller").alias("name"), "at")
     below = callees(s, refs, scope).select("seq", F.lit("callee").alias("role"), F.col("callee").alias("name"), F.col("line").alias("at"))
+    # Types that the definition's lines name.
+    d = s.select("seq", "file", F.col("line").alias("start"), F.explode(F.array(F.floor(F.col("line") / scope), F.floor(F.col("line") / scope) + 1)).alias("b"))
+    t = type_usages(refs).select("file", F.col("line").alias("at"), "name", F.floor(F.col("line") / scope).alias("b"))
+    types = d.join(t, ["file", "b"]).where((F.col("at") >= F.col("start")) & (F.col("at") < F.col("start") + scope)).groupBy("seq", "name").agg(F.min("at").alias("at")).select("seq", F.lit("type").alias("role"), "name", "at")
     w = Window.partitionBy("seq", "role").orderBy("at", "name")
-    return parents.unionByName(above).unionByName(below).withColumn("n", F.row_number().over(w)).where(F.col("n") <= most).select("seq", "role", "name")
+    return parents.unionByName(above).unionByName(below).unionByName(types).withColumn("n", F.row_number().over(w)).where(F.col("n") <= most).select("seq", "role", "name")
+
+
+def context_lines(symbols: DataFrame, files: DataFrame, before: int = 3, after: int = 10) -> DataFrame:
+    """(seq, first, snippet): the lines around each symbol, from files (path, content)."""
+    lines, first = F.split("content", "\n"), F.greatest(F.lit(1), F.col("line") - before)
+    met = symbols.select("seq", "line", F.col("file").alias("path")).join(files.select("path", "content"), "path")
+    return met.select("seq", first.alias("first"), F.array_join(F.slice(lines, first, F.col("line") + after - first + 1), "\n").alias("snippet"))

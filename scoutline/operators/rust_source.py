@@ -9,6 +9,7 @@ from __future__ import annotations
 import re
 from bisect import bisect_right
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -19,6 +20,10 @@ KEYWORDS = frozenset(
     "as break const continue crate else enum extern false fn for if impl in let loop match mod move mut pub ref return self Self static struct super trait true type "
     "unsafe use where while async await dyn abstract become box do final macro override priv typeof unsized virtual yield try".split()
 )
+# Names of primitive types, which are no references where they stand for a type.
+PRIMITIVES = frozenset("u8 u16 u32 u64 u128 usize i8 i16 i32 i64 i128 isize f32 f64 bool char str".split())
+#: What stands before a type.
+TYPED = re.compile(r"(?:(?<!:):|->|<|&|\bas)\s*(?:'\w+\s+)?(?:mut\s+|dyn\s+)?$")
 KINDS = {"fn": "function", "struct": "struct", "enum": "enum", "trait": "trait", "const": "const", "static": "static", "type": "type", "mod": "module"}
 BODIES = frozenset(("function", "method", "struct", "enum", "trait", "impl", "macro"))
 MOST_BYTES = 500
@@ -46,16 +51,17 @@ class Places:
     def __init__(self, code: str):
         self.code = code
         self.starts = [0, *(m.end() for m in re.finditer("\n", code))]
+        # Bytes before each character; None where they are its position.
+        self.bytes = None if code.isascii() else [0, *accumulate(1 + (c > "\x7f") + (c > "\u07ff") + (c > "\uffff") for c in code)]
 
     def line(self, at: int) -> int:
         return bisect_right(self.starts, at)
 
     def col(self, at: int) -> int:
-        start = self.starts[self.line(at) - 1]
-        return len(self.code[start:at].encode()) + 1
+        return self.byte(at) - self.byte(self.starts[self.line(at) - 1]) + 1
 
     def byte(self, at: int) -> int:
-        return len(self.code[:at].encode())
+        return at if self.bytes is None else self.bytes[at]
 
 
 def matching(code: str, at: int) -> int:
@@ -103,7 +109,7 @@ def symbols_of(path: str, code: str) -> list[tuple]:
 
     def add(name: str, kind: str, start: int, end: int, vis: str, parent: str | None) -> None:
         body = clipped(code[start:end]) if kind in BODIES else None
-        rows.append((path, name, kind, at.line(start), at.col(start), at.byte(start), len(code[start:end].encode()), vis, parent, None, docs_above(lines, at.line(start)), body, None))
+        rows.append((path, name, kind, at.line(start), at.col(start), at.byte(start), at.byte(end) - at.byte(start), vis, parent, None, docs_above(lines, at.line(start)), body, None))
 
     impls: list[tuple[int, int, str]] = []
     for m in ITEM.finditer(bare):
@@ -160,7 +166,7 @@ def references_of(path: str, code: str) -> list[tuple]:
     rows = []
     for m in WORD.finditer(bare):
         w, i, j = m[0], m.start(), m.end()
-        if w in KEYWORDS or i in defined or (i and bare[i - 1] in "'0123456789"):
+        if w in KEYWORDS or w in PRIMITIVES and bare[j : j + 2] != "::" or i in defined or (i and bare[i - 1] in "'0123456789"):
             continue
         after = re.match(r"\s*(?:::\s*<[^<>;(){}]*>)?\s*(\(|!)?", bare[j : j + 200])
         before = bare[max(0, i - 40) : i].rstrip()
@@ -170,7 +176,7 @@ def references_of(path: str, code: str) -> list[tuple]:
             continue
         elif before.endswith(".") and not before.endswith(".."):
             context = "FieldAccess"
-        elif w[0].isupper() and not w.isupper():
+        elif w[0].isupper() and (not w.isupper() or TYPED.search(bare[max(0, i - 40) : i])):
             context = "Type"
         else:
             context = "Identifier"

@@ -67,6 +67,11 @@ def crawl_stats(parsed: DataFrame) -> DataFrame:
     return parsed.agg(F.count("*").alias("found"), F.count_if(~failed).alias("parsed"), F.count_if(failed).alias("failed"), F.coalesce(F.sum(F.when(~failed, F.col("symbol_count"))), F.lit(0)).alias("symbols"))
 
 
+def index_stats(state: DataFrame, symbols: DataFrame) -> DataFrame:
+    """One row: files and last change of a snapshot (path, mtime, version), its version, and the number of symbols."""
+    return state.agg(F.count("*").alias("files"), F.max("mtime").alias("last_updated"), F.max("version").alias("version")).join(symbols.agg(F.count("*").alias("symbols")))
+
+
 def checked_version(state: DataFrame, version: int = VERSION) -> DataFrame:
     """state if its version column is the expected one in every row, else an error when it is read."""
     ok = F.when(F.col("version") == version, F.col("version")).otherwise(F.raise_error(F.concat(F.lit("index version "), F.col("version"))).cast("int"))

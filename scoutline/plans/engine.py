@@ -2,15 +2,21 @@
 
 from __future__ import annotations
 
+import time
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
 from scoutline.operators import classify as C
-from scoutline.operators import documents, memory, navigation, query_language, rust_source, state, text_search
+from scoutline.operators import documents, memory, navigation, query_language, query_syntax, rust_source, state, text_search
 from scoutline.session import ship
 from scoutline.sources import project, sinks
+from scoutline.streaming import watch
 
+#: Text fields of the index, of which name and content are asked where a query names none.
+FIELDS = ["name", "signature", "fqn", "content"]
 SYMBOLS = "name string, kind string, file string, line int, col int, visibility string, parent string, signature string, content string"
 
 
@@ -24,8 +30,9 @@ class Engine:
     # --- build
 
     def files(self) -> DataFrame:
-        files = project.discover(project.read_files(self.spark, self.root))
-        return files.withColumn("path", F.replace("path", F.lit(self.root), F.lit("")))
+        """Files to index; ignore files of the project are honoured."""
+        files = project.read_files(self.spark, self.root).withColumn("path", F.replace("path", F.lit(self.root), F.lit("")))
+        return project.not_ignored(project.discover(files), project.ignore_rules(project.read_ignores(self.spark, self.root)))
 
     def parsed(self, files: DataFrame) -> tuple[DataFrame, DataFrame]:
         """Symbols and references of files, by language."""
@@ -43,37 +50,57 @@ class Engine:
         now = self.snapshot()
         try:
             was = sinks.read_state(self.spark, f"{self.folder}/state").select("path", "mtime", "size")
-            was = self.spark.createDataFrame(was.collect(), was.schema)  # it is overwritten below; one row a file of one project
         except AnalysisException:
             was = now.limit(0)
-        changed = state.changes(was, now)
+        changed = state.changes(was, now).persist()
         files = self.files().join(state.to_index(changed), "path", "left_semi")
-        removed = [r.path for r in changed.where("change = 'deleted'").collect()]
-        modified = [r.path for r in changed.where("change = 'modified'").collect()]
+        # A modified file may have no rows of a kind any more: what it had goes in any case.
+        gone = changed.where("change in ('deleted', 'modified')").select(F.col("path").alias("file"))
         symbols, refs = self.parsed(files)
-        for name, rows in (("symbols", symbols), ("refs", refs)):
-            # A modified file may have no rows of a kind any more: what it had goes first.
-            sinks.replace_files(self.spark, rows.limit(0), removed + modified, f"{self.folder}/{name}")
-            sinks.replace_files(self.spark, rows, [], f"{self.folder}/{name}")
-        sinks.write_state(now, f"{self.folder}/state")
-        return {"parsed": state.to_index(changed).count(), "removed": len(removed)}
+        symbols = symbols.withColumn("seq", F.xxhash64("file", "line", "col", "kind", "name")).withColumn("fqn", navigation.fqn(F.col("parent"), F.col("name")))
+        postings = query_syntax.positions(symbols, "seq", FIELDS).join(symbols.select(F.col("seq").alias("doc"), "file").distinct(), "doc")
+        for name, rows in (("symbols", symbols.drop("seq", "fqn")), ("refs", refs), ("postings", postings)):
+            sinks.replace_files(self.spark, rows, gone, f"{self.folder}/{name}")
+        counts = {"parsed": state.to_index(changed).count(), "removed": changed.where("change = 'deleted'").count()}
+        sinks.write_state(self.spark, now, f"{self.folder}/state")
+        sinks.swapped(self.spark, query_syntax.totals(self.postings(), self.symbols()), f"{self.folder}/totals")
+        changed.unpersist()
+        return counts
+
+    def watch(self, on_change, checkpoint: str, every: str = "2 seconds"):
+        """Keeps the index up to date with the project; on_change(events, result of index) is called after every change."""
+        known = lambda: sinks.read_state(self.spark, f"{self.folder}/state").select("path", "mtime", "size")
+        return watch.watch_snapshots(self.spark, self.snapshot, known, lambda events, _: on_change(events.collect(), self.index()), checkpoint, every)
 
     def clear(self) -> None:
-        for name in ("symbols", "refs", "state"):
+        for name in ("symbols", "refs", "postings", "totals", "state"):
             sinks.clear(self.spark, f"{self.folder}/{name}")
 
     def symbols(self) -> DataFrame:
-        rows = self.spark.read.schema(SYMBOLS + ", file_key string").parquet(f"{self.folder}/symbols").drop("file_key")
+        rows = self._table("symbols", SYMBOLS)
         # A stable number for ties: by place, the method of a place after the function.
         return rows.withColumn("seq", F.xxhash64("file", "line", "col", "kind", "name"))
 
     def refs(self) -> DataFrame:
-        return self.spark.read.schema("name string, file string, line int, col int, context string, file_key string").parquet(f"{self.folder}/refs").drop("file_key")
+        return self._table("refs", "name string, file string, line int, col int, context string")
+
+    def postings(self) -> DataFrame:
+        return self._table("postings", "part string, field string, doc long, len int, term string, at array<int>, file string")
+
+    def _table(self, name: str, schema: str) -> DataFrame:
+        """A saved table; empty before the first file with such rows."""
+        try:
+            return self.spark.read.schema(f"{schema}, bucket int").parquet(f"{self.folder}/{name}").drop("bucket")
+        except AnalysisException:
+            return self.spark.createDataFrame([], schema)
+
+    def totals(self) -> DataFrame:
+        return self.spark.read.parquet(f"{self.folder}/totals")
 
     # --- ask
 
-    def search(self, query: str, limit: int = 10, fuzzy: bool = False, kind: str | None = None) -> DataFrame:
-        """(rank, name, kind, file, line, score) for text; places for caller questions, module files for structure questions."""
+    def search(self, query: str, limit: int = 10, fuzzy: bool = False, kind: str | None = None, full: bool = False) -> DataFrame:
+        """(rank, name, kind, file, line, score, and content if full) for text; places for caller questions, module files for structure questions."""
         q = self.spark.createDataFrame([(1, query)], "qid long, query string")
         asked = query_language.dispatched(q).first()
         if asked.route == "structure":
@@ -87,12 +114,12 @@ class Engine:
         elif fuzzy:
             hits = text_search.fuzzy(rows, q).select("qid", F.col("seq").alias("doc"), F.lit(1.0).alias("score"))
         else:
-            scores = text_search.bm25(text_search.postings(rows, "seq", ["name", "content"]), q, rows, "seq")
+            scores = query_syntax.search(self.postings(), self.totals(), q, ["name", "content"], FIELDS)
             hits = text_search.source_boosted(scores, rows, "seq", C.document_type(F.col("file"))).select("qid", "doc", "score")
         raw = text_search.top_k(hits, fetch).withColumnRenamed("rank", "raw_rank")
-        known = rows.select(F.col("seq").alias("doc"), "name", "kind", "file", "line", C.document_type(F.col("file")).alias("document_type"))
+        known = rows.select(F.col("seq").alias("doc"), "name", "kind", "file", "line", "content", C.document_type(F.col("file")).alias("document_type"))
         joined = raw.join(known, "doc").join(navigation.ref_counts(rows, self.refs()), "name", "left").withColumn("intent", F.lit(intent))
-        return text_search.rerank(joined, limit).select("rank", "name", "kind", "file", "line", F.col("final").alias("score")).orderBy("rank")
+        return text_search.rerank(joined, limit).select("rank", "name", "kind", "file", "line", F.col("final").alias("score"), *["content"] * full).orderBy("rank")
 
     def _name(self, name: str) -> DataFrame:
         return self.spark.createDataFrame([(name,)], "name string")
@@ -114,11 +141,21 @@ class Engine:
     def list_symbols(self, file: str | None = None, kind: str | None = None) -> DataFrame:
         return navigation.list_symbols(self.symbols(), file, kind)
 
+    def index_stats(self) -> DataFrame:
+        return state.index_stats(sinks.read_state(self.spark, f"{self.folder}/state"), self.symbols())
+
     def stats(self) -> DataFrame:
         return navigation.graph_stats(self.symbols(), self.refs())
 
-    def info(self, name: str) -> dict[str, DataFrame]:
-        return {"definitions": self.goto(name), "callers": self.callers(name), "callees": self.callees(name), "references": navigation.context_counts(navigation.of_name(self._name(name), self.refs()))}
+    def info(self, name: str, parts: set[str] | None = None) -> dict[str, DataFrame]:
+        """The definitions of a name, and of code, callers, callees and refs those asked for; all but code if none is."""
+        made = {
+            "code": lambda: navigation.of_name(self._name(name), self.symbols()).select("file", "line", "content"),
+            "callers": lambda: self.callers(name),
+            "callees": lambda: self.callees(name),
+            "refs": lambda: navigation.context_counts(navigation.of_name(self._name(name), self.refs())),
+        }
+        return {"definitions": self.goto(name)} | {k: v() for k, v in made.items() if k in (parts or {"callers", "callees", "refs"})}
 
     # --- memory
 
@@ -129,14 +166,27 @@ class Engine:
     def remember(self, rows: DataFrame) -> None:
         sinks.append_interactions(rows, f"{self.folder}/memory")
 
+    def add(self, text: str, answer: str, session: str | None = None) -> None:
+        """Appends one interaction of now."""
+        now = int(time.time())
+        row = (uuid.uuid4().hex, now, session or "default", {"text": text}, {"type": "Answer", "text": answer})
+        self.remember(self.spark.createDataFrame([row], project.INTERACTION))
+
     def memory_recent(self, n: int = 10, session: str | None = None) -> DataFrame:
         return memory.recent_of_session(self.interactions(), n, session) if session else memory.recent(self.interactions(), n)
 
-    def memory_stats(self) -> DataFrame:
-        return memory.stats(self.interactions())
+    def memory_stats(self, saved: bool = False) -> DataFrame:
+        """Statistics of all interactions, saved for the next time; those of the last time if they are enough."""
+        if saved and (held := sinks.cached(self.spark, f"{self.folder}/memory_stats", "total long, sessions long, size_bytes long, last_updated long")) is not None:
+            return held
+        now = memory.stats(self.interactions())
+        sinks.save_cached(now, f"{self.folder}/memory_stats")
+        return now
 
     def memory_search(self, query: str, limit: int = 10) -> DataFrame:
         rows = self.interactions().withColumn("seq", F.xxhash64("id"))
         q = self.spark.createDataFrame([(1, query)], "qid long, query string")
-        hits = text_search.top_k(text_search.bm25(text_search.postings(rows, "seq", ["input_text", "response_text"]), q, rows, "seq"), limit)
+        fields = ["input_text", "response_text"]
+        index = query_syntax.positions(rows, "seq", fields)
+        hits = text_search.top_k(query_syntax.search(index, query_syntax.totals(index, rows), q, fields), limit)
         return hits.join(rows, F.col("doc") == F.col("seq")).select("rank", "id", "input_text", "response_text", "score").orderBy("rank")

@@ -44,6 +44,18 @@ DEFS = {
                CASE WHEN item_id % 10 = 9 THEN ' call' WHEN item_id % 4 = 2 THEN ' callers' WHEN item_id % 4 = 3 THEN ' structure' ELSE '' END) AS query
         FROM {benchmark}""",
     "terms": "SELECT seq AS qid, concat(replace(name, '_', ' '), ' ', split_part(content, ' ', 3)) AS query FROM {symbols} WHERE seq % 20 = 0",
+    # Queries in the syntax of text search, five forms.
+    "syntax": """
+        SELECT seq AS qid, seq % 5 AS form, t1, t2, c, CASE seq % 5 WHEN 0 THEN concat(t1, '_', t2) WHEN 1 THEN concat('+', t1, ' ', t2) WHEN 2 THEN concat(t1, ' -', t2)
+               WHEN 3 THEN concat('name:', t1, ' AND content:', c) ELSE concat('"', t1, ' ', t2, '" OR nowhere:', c) END AS query
+        FROM (SELECT cast(floor(seq / 20) as bigint) AS seq, split_part(name, '_', 1) AS t1, split_part(name, '_', 2) AS t2, split_part(content, ' ', 3) AS c FROM {symbols} WHERE seq % 20 = 0)""",
+    # Rust files of up to four functions, some with bodies of more than 500 bytes.
+    "rust": f"""
+        SELECT doc_id, concat('/src/m', cast(doc_id as string), '.rs') AS path, concat(CASE WHEN doc_id % 2 = 0 THEN concat('//! Module ', cast(doc_id as string)) ELSE 'use std::fmt;' END, chr(10), {", ".join(
+            f"CASE WHEN doc_id % 5 >= {i} THEN concat('/// Doc {i} of ', cast(doc_id as string), chr(10), '#[inline]', chr(10), body{i}, chr(10)) ELSE '' END" for i in range(1, 5))}) AS content
+        FROM {{rust_bodies}}""",
+    "rust_bodies": "SELECT doc_id, " + ", ".join(
+        f"concat('pub fn f{i}_', cast(doc_id as string), '(x: T', cast(doc_id % 3 as string), ') -> u32 ', chr(123), ' g{i}(x.a); let s = \"', repeat('é ', cast(doc_id % 7 * {60 * i} as int)), '\"; 7 ', chr(125)) AS body{i}" for i in range(1, 5)) + " FROM {documents}",
     "interactions": """
         SELECT concat(cast(u.conv_id as string), '-', cast(u.turn as string)) AS id, cast(u.conv_id % 20 as string) AS session_id, u.conv_id * 10 + u.turn AS timestamp,
                u.turn + u.conv_id * 100 AS line_no, u.text AS input_text, a.text AS response_text,

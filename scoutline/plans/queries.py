@@ -229,6 +229,7 @@ def _(symbols, refs):
 @query("J15_D6_expansion", "symbols", "refs", sql="""WITH s AS (SELECT * FROM symbols WHERE seq % 20 = 0),
 c AS (SELECT name, caller, min(line) AS p FROM (SELECT r.name, r.line, arg_max(d.name, d.line::BIGINT * 1000000000 + d.seq) AS caller FROM (SELECT *, row_number() OVER () rid FROM refs WHERE context = 'Call') r JOIN symbols d ON d.file = r.file AND d.kind IN ('function', 'method') AND d.line <= r.line GROUP BY r.rid, r.name, r.line) GROUP BY name, caller),
 x AS (SELECT seq, 'parent' AS role, parent AS name, 0 AS p FROM s WHERE parent IS NOT NULL UNION ALL SELECT seq, 'caller', caller, p FROM s JOIN c ON s.name = c.name
+      UNION ALL SELECT s.seq, 'type', r.name, min(r.line) FROM s JOIN refs r ON s.file = r.file AND r.context = 'Type' AND r.line >= s.line AND r.line < s.line + 50 GROUP BY s.seq, r.name
       UNION ALL SELECT s.seq, 'callee', r.name, min(r.line) FROM s JOIN refs r ON s.file = r.file AND r.context = 'Call' AND r.line > s.line AND r.line < s.line + 50 GROUP BY s.seq, r.name)
 SELECT seq, role, name FROM (SELECT *, row_number() OVER (PARTITION BY seq, role ORDER BY p, name) n FROM x) WHERE n <= 5""")
 def _(symbols, refs):

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from scoutline.operators.commits import SEPARATOR, parse_log
 
 MOST_BYTES = 1 << 20
+# Files of ignore rules, the later one of a folder deciding.
+IGNORE_FILES = (".gitignore", ".ignore")
 PAGES = 20
 INTERACTION = (
     "id string, timestamp long, session_id string, input struct<text:string,command:string,files:array<string>>, "
@@ -28,6 +30,23 @@ def read_files(spark: SparkSession, root: str, content: bool = True) -> DataFram
     return out.where(~F.col("path").rlike(r"/\.[^/]+"))
 
 
+def read_ignores(spark: SparkSession, root: str) -> DataFrame:
+    """(path, content) of the ignore files under root, with paths below it. Spark's file sources pass over hidden files, so the
+    driver looks through the listing; what it keeps is bounded by the folders of one project."""
+    jvm = spark._jvm
+    path = jvm.org.apache.hadoop.fs.Path(root)
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    base, rows = fs.makeQualified(path).toUri().getPath().rstrip("/"), []
+    files = fs.listFiles(path, True)
+    while files.hasNext():
+        at = files.next().getPath()
+        if at.getName() in IGNORE_FILES:
+            stream = fs.open(at)
+            rows.append((at.toUri().getPath().removeprefix(base), jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")))
+            stream.close()
+    return spark.createDataFrame(rows, "path string, content string")
+
+
 def discover(files: DataFrame, ignored: list[str] | None = None) -> DataFrame:
     """Files to index: Rust, markdown and text by lower-case extension, 1 MiB or less (an unknown size is kept), hidden and ignored paths left out."""
     out = files.where(F.lower("path").rlike(r"[^/]\.(rs|md|txt)$") & (F.col("size").isNull() | (F.col("size") <= MOST_BYTES)) & ~F.col("path").rlike(r"/\."))
@@ -36,6 +55,36 @@ def discover(files: DataFrame, ignored: list[str] | None = None) -> DataFrame:
     return out
 
 
+def ignore_rules(files: DataFrame, names: tuple[str, ...] = IGNORE_FILES) -> DataFrame:
+    """(folder, pos, keep, pattern) of the lines of ignore files (path, content): a regular expression on paths below the folder.
+
+    A pattern with a slash before its end is tied to the folder, others match at any depth; * stays within a name, ** does not;
+    a trailing slash asks for a folder; ! takes back. Character classes are taken as they are.
+    """
+    name = F.regexp_extract("path", r"([^/]*)$", 1)
+    lines = files.where(name.isin(*names)).select(F.regexp_extract("path", r"^(.*)/[^/]*$", 1).alias("folder"), name.alias("name"), F.posexplode(F.split("content", r"\r?\n")).alias("line", "text"))
+    text = F.rtrim("text")
+    rules = lines.select("folder", "name", "line", text.alias("t")).where("t <> '' and not startswith(t, '#')")
+    keep, bare = F.col("t").startswith("!"), F.regexp_replace("t", "^!", "")
+    rules = rules.select("folder", (F.array_position(F.array(*[F.lit(n) for n in names]), F.col("name")) * 1_000_000 + F.col("line")).alias("pos"), keep.alias("keep"), bare.alias("p"))
+    core = F.regexp_replace("p", "^/|/$", "")
+    escaped = F.regexp_replace(core, r"([.+^$(){}|\\])", r"\\$1")
+    glob = escaped
+    for pattern, becomes in ((r"^\*\*/", "\u0001"), (r"/\*\*/", "\u0002"), (r"/\*\*$", "\u0003"), (r"\*+", "[^/]*"), (r"\?", "[^/]"), ("\u0001", "(?:.*/)?"), ("\u0002", "/(?:.*/)?"), ("\u0003", "/.*")):
+        glob = F.regexp_replace(glob, pattern, becomes)
+    tied = F.col("p").rlike(r"^/|/.")
+    return rules.select("folder", "pos", "keep", F.concat(F.when(tied, "^").otherwise("^(?:.*/)?"), glob, F.when(F.col("p").endswith("/"), "/.*$").otherwise("(?:/.*)?$")).alias("pattern"))
+
+
+def not_ignored(files: DataFrame, rules: DataFrame) -> DataFrame:
+    """files without those that the last matching rule of the deepest folder leaves out; rules are those of one project, and joined by folder."""
+    parts = F.split("path", "/")
+    above = F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda i: F.array_join(F.slice(parts, 1, i), "/"))
+    met = files.select("path", F.explode(above).alias("folder")).join(rules, "folder").where(F.expr("rlike(substr(path, length(folder) + 2), pattern)"))
+    last = met.groupBy("path").agg(F.max_by("keep", F.struct(F.length("folder"), "pos")).alias("keep")).where("not keep").select("path")
+    return files.join(last, "path", "left_anti")
+
+
 def listing(files: DataFrame, depth: int = 10, skip: tuple[str, ...] = SKIPPED_DIRS) -> DataFrame:
     """(path, name, is_dir) of files and their folders to a depth, folders first, then by name in any case. Skipped folders are listed, not entered."""
     parts = F.filter(F.split("path", "/"), lambda x: x != "")
@@ -45,9 +94,10 @@ def listing(files: DataFrame, depth: int = 10, skip: tuple[str, ...] = SKIPPED_D
     return kept.select(F.concat(F.lit("/"), F.array_join("x.p", "/")).alias("path"), F.element_at("x.p", -1).alias("name"), "x.is_dir").distinct().orderBy(F.desc("is_dir"), F.lower("name"), "path")
 
 
-def children(files: DataFrame, folder: str, part: str = "") -> DataFrame:
-    """Direct children of a folder whose name holds part in any case."""
+def children(files: DataFrame, folder: str, part: str = "", only: str | None = None) -> DataFrame:
+    """Direct children of a folder whose name holds part in any case; only files or only folders if asked for ("files", "dirs")."""
     e = listing(files)
+    e = e.where(F.col("is_dir") == (only == "dirs")) if only else e
     return e.where((F.regexp_extract("path", r"^(.*)/[^/]*$", 1) == folder.rstrip("/")) & F.lower("name").contains(part.lower()))
 
 
@@ -145,6 +195,18 @@ def issue_counts(responses: DataFrame) -> DataFrame:
     return rows.where(F.col("severity").isin("critical", "high", "medium", "low"))
 
 
+def container_counts(responses: DataFrame) -> DataFrame:
+    """(container, severity, n) of captured issue lists (body) that name a container each: counts by severity and container."""
+    issue = "array<struct<severity:string,container_name:string,status:string>>"
+    rows = responses.select(F.explode(F.from_json("body", issue)).alias("i")).where("i.container_name is not null and i.status = 'open'")
+    return rows.groupBy(F.col("i.container_name").alias("container"), F.col("i.severity").alias("severity")).agg(F.count("*").alias("n"))
+
+
+def safe_paths(files: DataFrame) -> DataFrame:
+    """files with safe: whether a path to be written is relative and has no .. in it."""
+    return files.withColumn("safe", ~F.col("path").startswith("/") & ~F.array_contains(F.split("path", "/"), ".."))
+
+
 def repo_filter(repos: DataFrame, part: str) -> DataFrame:
     """Repositories whose folder or slug holds part in any case."""
     return repos.where(F.lower("folder").contains(part.lower()) | F.lower("slug").contains(part.lower()))

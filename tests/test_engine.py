@@ -1,3 +1,5 @@
+import time
+
 from scoutline.plans.engine import Engine
 from scoutline.sources.project import INTERACTION
 
@@ -28,7 +30,7 @@ def test_a_project_from_scan_to_answers(spark, tmp_path):
     assert e.search("zzz").collect() == []
     assert {r.callee for r in e.callees("run_all").collect()} == set()
     assert e.references("helper", True).count() == 3
-    assert e.info("helper")["references"].first().calls == 2
+    assert e.info("helper")["refs"].first().calls == 2
     assert {r.name for r in e.list_symbols("lib.rs", "field").collect()} == {"items"}
 
     (root / "src/lib.rs").write_text("fn other() {}\n")
@@ -38,8 +40,50 @@ def test_a_project_from_scan_to_answers(spark, tmp_path):
     assert e.refs().count() == 0
     assert e.stats().first().definitions == 1
 
+    assert [r.name for r in e.search('"fn other"').collect()] == ["other"] and e.search("+other -fn").collect() == []
+    assert (e.index_stats().first().files, e.index_stats().first().symbols) == (1, 1)
+
     e.remember(spark.createDataFrame([("1", 5, "s", {"text": "store items"}, {"type": "Answer", "text": "yes"}), ("2", 6, "t", {"text": "other"}, {"type": "Answer", "text": "no"})], INTERACTION))
     assert [r.id for r in e.memory_search("items").collect()] == ["1"]
+    assert "fn other" in e.search("other", full=True).first().content and set(e.info("other", {"code"})) == {"definitions", "code"}
     assert [r.id for r in e.memory_recent(1).collect()] == ["2"]
-    assert e.memory_stats().first().total == 2
+    assert e.memory_stats().first().total == 2 == e.memory_stats(saved=True).first().total
+    assert [r.id for r in e.memory_search("input_text:items -yes").collect()] == []
+    e.add("what is new", "nothing", "u")
+    assert e.memory_stats().first().total == 3
     e.clear()
+
+
+def test_ignored_files_are_not_indexed(spark, tmp_path):
+    root = tmp_path / "p"
+    (root / "src/gen").mkdir(parents=True)
+    for name in ("src/a.rs", "src/gen/b.rs", "src/gen/keep.rs", "notes.md", "draft.md"):
+        (root / name).write_text("fn x() {}\n")
+    (root / ".gitignore").write_text("# generated\ngen/*.rs\n/draft.md\n")
+    (root / "src/.ignore").write_text("!keep.rs\n")
+    e = Engine(spark, str(root), str(tmp_path / "index"))
+    # gen/*.rs has a slash inside, and so is tied to the folder of its file.
+    assert sorted(r.path for r in e.files().collect()) == ["/notes.md", "/src/a.rs", "/src/gen/b.rs", "/src/gen/keep.rs"]
+    (root / ".gitignore").write_text("**/gen/*.rs\n")
+    assert sorted(r.path for r in e.files().collect()) == ["/draft.md", "/notes.md", "/src/a.rs", "/src/gen/keep.rs"]
+
+
+def test_changes_reach_the_index(spark, tmp_path):
+    root = tmp_path / "p"
+    (root / "src").mkdir(parents=True)
+    (root / "src/lib.rs").write_text(LIB)
+    e = Engine(spark, str(root), str(tmp_path / "index"))
+    e.index()
+    seen = []
+    q = e.watch(lambda events, counts: seen.append((sorted((r.path, r.kind) for r in events), counts)), f"{tmp_path}/c", "1 second")
+    try:
+        (root / "src/new.rs").write_text("fn fresh() {}\n")
+        (root / "src/x.lock").write_text("x")
+        for _ in range(120):
+            if seen:
+                break
+            time.sleep(1)
+    finally:
+        q.stop()
+    assert seen == [([("/src/new.rs", "created")], {"parsed": 1, "removed": 0})]
+    assert "fresh" in {r.name for r in e.symbols().collect()}

@@ -6,7 +6,7 @@ import os
 import duckdb
 import pytest
 
-from scoutline.plans.queries import ORACLES, QUERIES
+from scoutline.plans.catalog import ORACLES, QUERIES
 
 SF = os.environ.get("ORACLE_SF_DIR", "/root/testdata/sf0.001")
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()

@@ -34,9 +34,9 @@ def test_index_replaces_and_clears_by_file(spark, tmp_path):
     folder = f"{tmp_path}/index"
     s = lambda *rows: spark.createDataFrame(list(rows), "file string, name string")
     sinks.write_index(s(("a.rs", "x"), ("b.rs", "y"), ("c.rs", "z")), folder)
-    sinks.replace_files(spark, s(("b.rs", "new")), ["c.rs"], folder)
+    sinks.replace_files(spark, s(("b.rs", "new")), spark.createDataFrame([("c.rs",)], "file string"), folder)
     assert {tuple(r) for r in spark.read.parquet(folder).select("file", "name").collect()} == {("a.rs", "x"), ("b.rs", "new")}
-    sinks.write_state(s(("a.rs", "x")), f"{tmp_path}/state")
+    sinks.write_state(spark, s(("a.rs", "x")), f"{tmp_path}/state")
     assert sinks.read_state(spark, f"{tmp_path}/state").count() == 1
     with pytest.raises(Exception, match="index version"):
         sinks.read_state(spark, f"{tmp_path}/state", 9).collect()
@@ -72,3 +72,45 @@ def test_bursts_stream_to_a_flush(spark, tmp_path):
     q = watch.bursts(stream, "project", "path").writeStream.foreachBatch(lambda df, _: got.extend(df.collect())).option("checkpointLocation", f"{tmp_path}/c").outputMode("append").trigger(availableNow=True).start()
     assert q.awaitTermination(90)
     assert sorted(r.paths for r in got) == [["a", "b"], ["c"]]
+
+
+def test_saved_results_and_migration(spark, tmp_path):
+    made = []
+
+    def fetch():
+        made.append(1)
+        return spark.createDataFrame([("ABC",)], "key string")
+
+    for _ in range(2):
+        assert [r.key for r in sinks.aside(spark, f"{tmp_path}/keys", "key string", fetch).collect()] == ["ABC"]
+    assert made == [1] and sinks.cached(spark, f"{tmp_path}/none", "key string") is None
+    (tmp_path / "refs.json").write_text('[{"name": "f", "file": "a.rs", "line": 1}, {"name": "g", "file": "b.rs", "line": 2}]')
+    schema = "name string, file string, line int"
+    assert sinks.migrate_references(spark, f"{tmp_path}/refs.json", f"{tmp_path}/refs", schema)
+    assert not sinks.migrate_references(spark, f"{tmp_path}/refs.json", f"{tmp_path}/refs", schema) and not (tmp_path / "refs.json").exists()
+    assert sorted(r.name for r in spark.read.parquet(f"{tmp_path}/refs").collect()) == ["f", "g"]
+
+
+def test_trigrams_round_trip(spark, tmp_path):
+    files = spark.createDataFrame([("a", "abcd"), ("b", "é")], "path string, content string")
+    sinks.write_trigrams(files, f"{tmp_path}/t")
+    assert sorted((r.path, r.tri) for r in sinks.read_trigrams(spark, f"{tmp_path}/t").collect()) == [("a", "616263"), ("a", "626364")]
+
+
+def test_files_of_one_bucket_are_told_apart(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(sinks, "BUCKETS", 1)
+    s = lambda *rows: spark.createDataFrame(list(rows), "file string, name string")
+    folder = f"{tmp_path}/i"
+    sinks.write_index(s(("a/b", "x"), ("a__b", "y")), folder)
+    sinks.replace_files(spark, s(), spark.createDataFrame([("a/b",)], "file string"), folder)
+    assert [tuple(r) for r in spark.read.parquet(folder).select("file", "name").collect()] == [("a__b", "y")]
+    sinks.replace_files(spark, s(), spark.createDataFrame([("a__b",)], "file string"), folder)
+    assert not list((tmp_path / "i").glob("bucket=*"))
+
+
+def test_a_dirty_result_is_made_anew(spark):
+    n = []
+    d = watch.Dirty(lambda: n.append(1) or spark.range(len(n)))
+    assert d.get().count() == 1 == d.get().count()
+    d.mark()
+    assert d.get().count() == 2 and len(n) == 2
