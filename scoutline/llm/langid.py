@@ -19,9 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
-#: Characters that count as word characters but are no letters: fractions, superscripts, Roman and circled numerals.
-NUMERALS = "".join(c for c in map(chr, range(0x110000)) if c.isnumeric() and not c.isalpha())
-WORD = re.compile(rf"[^\W\d_{NUMERALS}]+")
+WORD = re.compile(r"[^\W\d_]+")
 START = "▁"
 #: Longer words are scored in parts of so many letters.
 LONGEST = 30
@@ -44,11 +42,15 @@ def vocabulary(path: str = VOCABULARY) -> list[str]:
 
     model = sentencepiece.SentencePieceProcessor(model_file=path)
     pieces = (model.id_to_piece(i) for i in range(model.get_piece_size()))
-    return [p for p in pieces if (b := p.removeprefix(START)) and b == b.lower() and WORD.fullmatch(b)]
+    return [p for p in pieces if (b := p.removeprefix(START)) and b == b.lower() and b.isalpha()]
 
 
 def words_of(text: str) -> list[str]:
-    return WORD.findall(text.lower())
+    """Runs of letters, in lower case. WORD also takes fractions, superscripts, Roman and circled numerals, which are none."""
+    words = WORD.findall(text.lower())
+    if all(map(str.isalpha, words)):
+        return words
+    return [x for w in words for x in ([w] if w.isalpha() else "".join(c if c.isalpha() else " " for c in w).split())]
 
 
 @dataclass
