@@ -108,6 +108,10 @@ NAME, SIGN, AT, SPELLED_DOT = either(DIGITS), either(PLUS), either(AT_NAMES), ei
 #: A run of names of digits and figures, with plus before them or not; dots may be between.
 SPELLED = re.compile(rf"(?<!\w)(?:{SIGN}[\x20-]+|\+[\x20-]*)?(?:{NAME}|[0-9])(?:(?:[\x20-]+|\.)?(?:{NAME}|[0-9]))*(?!\w)", re.IGNORECASE)
 SPELLED_PART = re.compile(rf"{SIGN}|{NAME}|[\x20-]+", re.IGNORECASE)
+TOKEN = re.compile(r"\w+")
+#: How a word that joins names and figures begins.
+HEADS = frozenset([name[:2] for name in DIGITS] + [f"{i}{c}" for i in range(10) for c in {name[0] for name in DIGITS} | set("0123456789")])
+JOINED = re.compile(rf"(?:{NAME}|[0-9])+")
 BRACKETED = re.compile(rf"\s{{0,9}}[\[({{<]\s{{0,9}}(?:({AT}|@)|({SPELLED_DOT}|\.))\s{{0,9}}[\])}}>]\s{{0,9}}", re.IGNORECASE)
 #: name at host dot tld in words, with spaces around at and dot.
 WORDED = re.compile(rf"(?<=[A-Za-z0-9])(\x20{{1,9}}{AT}\x20{{1,9}})(?=(?:[A-Za-z0-9-]{{1,63}}(?:\x20{{1,9}}{SPELLED_DOT}\x20{{1,9}}|\.))+[A-Za-z]{{2,}})", re.IGNORECASE)
@@ -152,6 +156,19 @@ def spelled(text: str) -> Iterator[list[tuple[int, int, str]]]:
             yield edits
 
 
+def may_spell(text: str) -> bool:
+    """Whether a run of spelled() can be there: a digit's name beside another one or a figure, or a word of several of them."""
+    beside = name_before = False
+    for w in TOKEN.findall(text.casefold()):
+        name, figure = w in DIGITS, w.isdigit()
+        if name and beside or figure and name_before:
+            return True
+        if not name and not figure and w[:2] in HEADS and JOINED.fullmatch(w):
+            return True
+        beside, name_before = name or figure, name
+    return False
+
+
 def disguised(text: str) -> bool:
     """Whether any transducer changes the text."""
     if not text.isascii() and DISGUISED.search(text):
@@ -161,7 +178,7 @@ def disguised(text: str) -> bool:
         (any(c in text for c in "[({<") and BRACKETED.search(text))
         or (any(f" {x} " in low for x in AT_NAMES) and WORDED.search(text))
         or (any(f" {x} " in low for x in DOT_NAMES) and DOT.search(text))
-        or next(spelled(text), None)
+        or (may_spell(text) and next(spelled(text), None))
     )
 
 

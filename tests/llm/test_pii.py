@@ -4,7 +4,7 @@ import re
 from hypothesis import given
 from hypothesis import strategies as st
 
-from scoutline.llm.pii import KINDS, emails, identifiers, joined, luhn, mask_pii, masked, pii_spans, spans
+from scoutline.llm.pii import KINDS, emails, identifiers, joined, luhn, mask_pii, masked, may_spell, pii_spans, spans, spelled
 
 EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
@@ -121,3 +121,9 @@ def test_what_follows_does_not_change_what_is_found(before, after):
 
 def test_an_invisible_character_does_not_leave_a_rest():
     assert masked("to j\u200bohn@ex.com now") == "to [EMAIL] now"
+
+
+@given(st.lists(st.sampled_from(["five", "FIVE", "un", "dos", "acht", "fiveone", "5one", "555", "10", "zero", "plus", "x", "unix"]), max_size=14), st.sampled_from([" ", "-", ".", "  ", ", "]))
+def test_the_cheap_test_misses_no_run(words, by):
+    text = by.join(words)
+    assert may_spell(text) or next(spelled(text), None) is None
