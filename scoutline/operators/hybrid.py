@@ -17,15 +17,18 @@ def dot(a: Column, b: Column) -> Column:
 
 
 def nearest(queries: DataFrame, vectors: DataFrame, k: int, most_queries: int = 10_000) -> DataFrame:
-    """(qid, vec_id, score, rank): the k nearest by cosine, exact. The queries are a stated set, broadcast behind a check of its size.
+    """(qid, vec_id, score, rank): the k nearest by cosine, exact. The queries are a stated set, broadcast in blocks of about ``most_queries``.
 
     Norms are computed once a vector; the best of each query are pruned before the shuffle.
     """
-    if queries.limit(most_queries + 1).count() > most_queries:
-        raise ValueError(f"more than {most_queries} queries: ask in several calls")
+    blocks = -(-queries.count() // most_queries) or 1
     unit = lambda d: d.withColumn("norm", F.sqrt(dot(F.col("embedding"), F.col("embedding"))))
     q = unit(queries).select("qid", F.col("embedding").alias("q"), F.col("norm").alias("qn"))
-    scored = unit(vectors).join(F.broadcast(q)).select("qid", "vec_id", (dot(F.col("embedding"), F.col("q")) / (F.col("norm") * F.col("qn"))).alias("score"))
+    scored = None
+    for i in range(blocks):
+        block = q if blocks == 1 else q.where(F.pmod(F.xxhash64("qid"), F.lit(blocks)) == i)
+        one = unit(vectors).join(F.broadcast(block)).select("qid", "vec_id", (dot(F.col("embedding"), F.col("q")) / (F.col("norm") * F.col("qn"))).alias("score"))
+        scored = one if scored is None else scored.unionByName(one)
     w = Window.partitionBy("qid").orderBy(F.desc(F.round("score", 9)), "vec_id")
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 

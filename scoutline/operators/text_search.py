@@ -16,6 +16,8 @@ from scoutline.operators import classify as C
 
 K1, B = 1.2, 0.75
 LONGEST_TOKEN = 40
+#: Terms of all queries that are broadcast, at most; Spark joins more of them by its own choice.
+MOST_TERMS = 200_000
 
 
 def tokenize(text: Column) -> Column:
@@ -35,13 +37,15 @@ def bm25(index: DataFrame, queries: DataFrame, rows: DataFrame, doc: str, part:
     size = rows.select((part if part is not None else F.lit("all")).alias("part")).groupBy("part").agg(F.count("*").alias("n"))
     lengths = index.groupBy("part", "field").agg(F.sum("tf").alias("total"))
     asked = queries.select("qid", F.explode(tokenize(F.col("query"))).alias("term")).groupBy("qid", "term").agg(F.count("*").alias("times"))
-    hits = index.join(asked.select("term").distinct(), "term", "left_semi")
+    # Each of these has a row for an asked term, and part and field of it, at most.
+    near = F.broadcast if asked.limit(MOST_TERMS + 1).count() <= MOST_TERMS else (lambda x: x)
+    hits = index.join(near(asked.select("term").distinct()), "term", "left_semi")
     df = hits.groupBy("part", "field", "term").agg(F.count("*").alias("df"))
     # size and lengths have a row for each part and field.
     known = df.join(F.broadcast(size), "part").join(F.broadcast(lengths), ["part", "field"])
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weighed = hits.join(known, ["part", "field", "term"]).withColumn("w", idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / (F.col("total") / F.col("n")))))
-    return weighed.join(asked, "term").groupBy("qid", "part", "doc").agg(F.sum(F.col("w") * F.col("times")).alias("score"))
+    weighed = hits.join(near(known), ["part", "field", "term"]).withColumn("w", idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / (F.col("total") / F.col("n")))))
+    return weighed.join(near(asked), "term").groupBy("qid", "part", "doc").agg(F.sum(F.col("w") * F.col("times")).alias("score"))
 
 
 def source_boosted(scores: DataFrame, rows: DataFrame, doc: str, doc_type: Column) -> DataFrame:

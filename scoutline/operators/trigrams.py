@@ -18,14 +18,17 @@ def index(files: DataFrame) -> DataFrame:
     return files.select("path", F.explode(trigrams(F.col("content"))).alias("tri"))
 
 
-def candidates(postings: DataFrame, files: DataFrame, queries: DataFrame) -> DataFrame:
-    """(qid, path) of files that hold all trigrams of the query; all files for a query below three bytes. A superset of the matches."""
+def candidates(postings: DataFrame, queries: DataFrame) -> DataFrame:
+    """(qid, path) of files that hold all trigrams of the query, a superset of the matches. A query below three bytes has one row, of null path: all files."""
     asked = queries.select("qid", trigrams(F.col("query")).alias("t"))
-    short = asked.where(F.size("t") == 0).select("qid")
+    short = asked.where(F.size("t") == 0).select("qid", F.lit(None).cast(postings.schema["path"].dataType).alias("path"))
     terms = asked.select("qid", F.size("t").alias("k"), F.explode("t").alias("tri"))
-    hit = postings.join(terms, "tri").groupBy("qid", "k", "path").agg(F.count("*").alias("n")).where("n = k").select("qid", "path")
-    # Every file is the answer to a short query, by definition.
-    return hit.unionByName(short.join(files.select("path").distinct()))
+    return postings.join(terms, "tri").groupBy("qid", "k", "path").agg(F.count("*").alias("n")).where("n = k").select("qid", "path").unionByName(short)
+
+
+def expanded(found: DataFrame, files: DataFrame) -> DataFrame:
+    """Candidates with all files written out for short queries, by definition a row for each pair."""
+    return found.where("path is not null").unionByName(found.where("path is null").select("qid").join(files.select("path").distinct()))
 
 
 def stats(postings: DataFrame) -> DataFrame:

@@ -343,7 +343,7 @@ TRI_SQL = "WITH t AS (SELECT DISTINCT path, hex(substr(b, i, 1)) || hex(substr(b
 @query("R18_J11_trigram_candidates", "symbols", sql="WITH src AS (SELECT seq, content FROM symbols), q AS (SELECT seq AS qid, split_part(content, ' ', 2) AS query FROM symbols WHERE seq % 20 = 0) SELECT qid, seq AS path FROM q, src WHERE list_has_all([substr(content, i, 3) for i in range(1, greatest(length(content) - 1, 1))], [substr(query, i, 3) for i in range(1, length(query) - 1)])")
 def _(symbols):
     files = symbols.select(F.col("seq").alias("path"), "content")
-    return trigrams.candidates(trigrams.index(files), files, symbols.where("seq % 20 = 0").select(F.col("seq").alias("qid"), F.split_part("content", F.lit(" "), F.lit(2)).alias("query")))
+    return trigrams.candidates(trigrams.index(files), symbols.where("seq % 20 = 0").select(F.col("seq").alias("qid"), F.split_part("content", F.lit(" "), F.lit(2)).alias("query")))
 
 
 @query("A9_R19_trigram_stats", "symbols", sql="WITH t AS (SELECT DISTINCT seq, substr(content, i, 3) tri FROM (SELECT seq, content, unnest(range(1, length(content) - 1)) i FROM symbols WHERE seq % 3 <> 0)) SELECT count(*) AS trigrams, avg(n) AS avg_files, (SELECT count(DISTINCT seq) FROM t) AS files FROM (SELECT tri, count(*) n FROM t GROUP BY tri)")

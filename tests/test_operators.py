@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from scoutline.functions import text as T
 from scoutline.operators import classify as C
-from scoutline.operators import commits, documents, memory, navigation, query_language, rust_source, state, text_search, tickets, trigrams
+from scoutline.operators import commits, documents, hybrid, memory, navigation, query_language, rust_source, state, text_search, tickets, trigrams
 
 
 def one(spark, column):
@@ -99,7 +99,7 @@ def test_nan_scores_rank_last(spark):
 def test_trigrams_of_short_and_wide_texts(spark):
     files = table(spark, [("a", "hello"), ("b", "yellow"), ("c", "né"), ("d", "x")], "path string, content string")
     q = table(spark, [(1, "ello"), (2, "zz"), (3, "né"), (4, "nope")], "qid int, query string")
-    got = {(r.qid, r.path) for r in trigrams.candidates(trigrams.index(files), files, q).collect()}
+    got = {(r.qid, r.path) for r in trigrams.expanded(trigrams.candidates(trigrams.index(files), q), files).collect()}
     assert got == {(1, "a"), (1, "b"), (2, "a"), (2, "b"), (2, "c"), (2, "d"), (3, "c")}
     assert trigrams.stats(trigrams.index(files.limit(0))).first().avg_files == 0.0
 
@@ -180,3 +180,11 @@ def test_commit_lanes_take_every_event(spark):
     sf = "/root/testdata/sf0.01"
     got = QUERIES["G1_J14_A19_commit_lanes"](spark, sf).select(F.col("hash").cast("long").alias("id")).collect()
     assert sorted(r.id for r in got) == sorted(r.event_id for r in table(spark, sf, "events").select("event_id").collect())
+
+
+def test_vector_queries_in_blocks(spark):
+    rows = [(i, [float((i * k) % 11 - 5) for k in range(1, 9)]) for i in range(1, 60)]
+    v = table(spark, rows, "vec_id long, embedding array<float>")
+    q = v.where("vec_id % 3 = 0").select(F.col("vec_id").alias("qid"), "embedding")
+    near = lambda n: sorted(tuple(r) for r in hybrid.nearest(q, v, 3, n).select("qid", "vec_id", "rank").collect())
+    assert near(4) == near(100) and len(near(4)) == 3 * 19
