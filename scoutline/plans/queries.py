@@ -567,16 +567,21 @@ def _(documents_):
     return documents.chunks(documents_.select(F.col("doc_id").alias("path"), F.expr(MARKDOWN).alias("content")))
 
 
-@query("F10_F11_fenced_blocks", "documents", sql="SELECT doc_id AS path, 0 AS block, 'rs' AS lang, 'let a = ' || doc_id || ';' AS code, 'src/m' || doc_id || '.rs' AS target FROM documents UNION ALL SELECT doc_id, 1, '', 'open', 'src/m' || doc_id || '.rs' FROM documents")
+@query("F10_F11_fenced_blocks", "documents", sql="""WITH b AS (SELECT doc_id, doc_id % 3 AS k FROM documents), x AS (SELECT doc_id, k, unnest(range(0, k + 1)) AS i FROM b)
+SELECT doc_id AS path, i::INT AS block, 'rs' AS lang, 'let a = ' || doc_id + i || ';' AS code, 'src/m' || doc_id || '.rs' AS target FROM x UNION ALL SELECT doc_id, (k + 1)::INT, '', 'open', 'src/m' || doc_id || '.rs' FROM b""")
 def _(documents_):
-    text = F.format_string("Write `src/m%d.rs` now:\n```rs\nlet a = %d;\n```\n\n```\nopen", F.col("doc_id"), F.col("doc_id"))
+    blocks = F.transform(F.sequence(F.lit(0), (F.col("doc_id") % 3).cast("int")), lambda i: F.concat(F.lit("```rs\nlet a = "), (F.col("doc_id") + i).cast("string"), F.lit(";\n```\n\n")))
+    text = F.concat(F.format_string("Write `src/m%d.rs` now:\n", F.col("doc_id")), F.array_join(blocks, ""), F.lit("```\nopen"))
     return documents.review_blocks(documents_.select(F.col("doc_id").alias("path"), text.alias("content")))
 
 
-@query("F12_J13_agent_sections", "documents", sql="SELECT doc_id AS path, a AS at, CASE WHEN a < 8 THEN 'one' ELSE 'two é' END AS title FROM (SELECT doc_id, unnest([3, 8, 16]) a FROM documents)")
+@query("F12_J13_agent_sections", "documents", sql="""WITH d AS (SELECT doc_id, unnest([1, 3, 8 + length(doc_id::VARCHAR), 16 + length(doc_id::VARCHAR), 99]) AS a FROM documents)
+SELECT doc_id AS path, a AS at, CASE WHEN a <= 8 + length(doc_id::VARCHAR) THEN 'one ' || doc_id ELSE 'two é' END AS title FROM d WHERE a = 3 OR (doc_id % 2 = 0 AND a BETWEEN 3 AND 16 + length(doc_id::VARCHAR))""")
 def _(documents_):
-    d = documents_.select(F.col("doc_id").alias("path"), F.lit("x\n@ one\n@ two é\ny").alias("content"))
-    offsets = d.select("path", F.explode(F.array(*[F.lit(x) for x in (1, 3, 8, 16, 99)])).alias("at"))
+    n = F.col("doc_id").cast("string")
+    d = documents_.select(F.col("doc_id").alias("path"), F.concat(F.lit("x\n@ one "), n, F.when(F.col("doc_id") % 2 == 0, "\n@ two é\ny").otherwise("")).alias("content"))
+    size = F.char_length(F.col("path").cast("string"))
+    offsets = d.select("path", F.explode(F.array(F.lit(1), F.lit(3), 8 + size, 16 + size, F.lit(99))).alias("at"))
     return documents.contained(offsets.withColumn("at", F.col("at").cast("long")), documents.agent_sections(d, "@"))
 
 
@@ -590,9 +595,11 @@ def _(documents_):
     return documents_.select("doc_id", documents.snippet(F.col("text"), F.lit(2), 3).alias("few"), documents.full_snippet(F.col("text"), (F.col("doc_id") % 9).cast("int")).alias("whole"))
 
 
-@query("F15_rich_text", "documents", sql="SELECT doc_id, 'a' || doc_id || chr(10) || 'b' || chr(10) || 'c' AS text FROM documents")
+@query("F15_rich_text", "documents", sql="SELECT doc_id, 'a' || doc_id || chr(10) || 'b' || array_to_string([chr(10) || 'c' || i for i in range(1, doc_id % 4 + 1)], '') AS text FROM documents")
 def _(documents_):
-    tree = F.format_string('{"type":"doc","content":[{"type":"paragraph","content":[{"type":"text","text":"a%d"},{"type":"hardBreak"},{"type":"text","text":"b"}]},{"type":"paragraph","content":[{"type":"text","text":"c"}]}]}', F.col("doc_id"))
+    more = F.array_join(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), (F.col("doc_id") % 4).cast("int"))), lambda i: F.concat(F.lit(',{"type":"paragraph","content":[{"type":"text","text":"c'), i, F.lit('"}]}'))), "")
+    first = F.format_string('{"type":"doc","content":[{"type":"paragraph","content":[{"type":"text","text":"a%d"},{"type":"hardBreak"},{"type":"text","text":"b"}]}', F.col("doc_id"))
+    tree = F.concat(first, F.when(F.col("doc_id") % 4 > 0, more).otherwise(""), F.lit("]}"))
     return tickets.rich_text(documents_.select("doc_id", tree.alias("text")), "text")
 
 
@@ -621,15 +628,26 @@ def _(documents_):
     return rust_source.once(rust_source.references(rust_files(documents_))).where("context = 'Call'").select("file", "name", "line")
 
 
-@query("F4_typescript_symbols", "documents", sql="SELECT 'a' || doc_id || '.ts' AS file, n AS name, kind, p AS parent FROM documents, (VALUES ('C', 'struct', NULL), ('run', 'method', 'C'), ('size', 'field', 'C'), ('f', 'function', NULL), ('I', 'trait', NULL)) v(n, kind, p)")
+@query("F4_typescript_symbols", "documents", sql="""SELECT 'a' || doc_id || '.ts' AS file, n || CASE WHEN n IN ('C', 'run') THEN doc_id::VARCHAR ELSE '' END AS name, kind, CASE p WHEN 'C' THEN 'C' || doc_id END AS parent
+FROM documents, (VALUES ('C', 'struct', NULL, 0), ('run', 'method', 'C', 0), ('size', 'field', 'C', 0), ('f', 'function', NULL, 0), ('I', 'trait', NULL, 0), ('E', 'enum', NULL, 1), ('Alias', 'type', NULL, 1), ('make', 'function', NULL, 2), ('stop', 'method', 'C', 2)) v(n, kind, p, k) WHERE k <= doc_id % 3""")
 def _(documents_):
-    code = "export class C {\n  size: number = 1;\n  private x = 2;\n  run(a: string) { return a; }\n}\nexport const f = (a) => a;\ninterface I { a: string }\n"
-    return rust_source.typescript_symbols(documents_.select(F.concat(F.lit("a"), F.col("doc_id").cast("string"), F.lit(".ts")).alias("path"), F.lit(code).alias("content"))).select("file", "name", "kind", "parent")
+    n, k = F.col("doc_id").cast("string"), F.col("doc_id") % 3
+    stop = F.when(k == 2, "  async stop(): Promise<void> { }\n").otherwise("")
+    more = F.when(k >= 1, "enum E { A, B }\ntype Alias = string;\n").otherwise("")
+    last = F.when(k == 2, "async function make() { if (f) { return new I(); } }\n").otherwise("// function none() {}\n")
+    code = F.concat(F.lit("export class C"), n, F.lit(" {\n  size: number = 1;\n  private x = 2;\n  run"), n, F.lit("(a: string) { return a; }\n"), stop, F.lit("}\nexport const f = (a) => a;\ninterface I { a: string }\n"), more, last)
+    return rust_source.typescript_symbols(documents_.select(F.concat(F.lit("a"), n, F.lit(".ts")).alias("path"), code.alias("content"))).select("file", "name", "kind", "parent")
 
 
-@query("F9_module_file", "documents", sql="SELECT doc_id AS path, line::INT AS line, kind, name, docs FROM documents, (VALUES (3, 'mod', 'a', 'First part'), (4, 'mod', 'b', ''), (6, 'use', 'a::T', '')) v(line, kind, name, docs)")
+@query("F9_module_file", "documents", sql="""WITH d AS (SELECT doc_id, doc_id % 3 AS k, doc_id % 2 AS u FROM documents)
+SELECT doc_id AS path, (k + 1)::INT AS line, 'mod' AS kind, 'a' || doc_id AS name, CASE k WHEN 0 THEN '' WHEN 1 THEN 'First ' || doc_id ELSE 'First ' || doc_id || ' part' END AS docs FROM d
+UNION ALL SELECT doc_id, (k + 2)::INT, 'mod', 'b', '' FROM d UNION ALL SELECT doc_id, (k + 4)::INT, 'use', 'a' || doc_id || '::T', '' FROM d WHERE u = 1""")
 def _(documents_):
-    return rust_source.module_file(documents_.select(F.col("doc_id").cast("string").alias("path"), F.lit("/// First\n/// part\npub mod a;\nmod b;\nmod c { }\npub use a::T;\n").alias("content"))).withColumn("path", F.col("path").cast("long"))
+    k, n = F.col("doc_id") % 3, F.col("doc_id").cast("string")
+    docs = F.when(k == 0, F.lit("")).when(k == 1, F.concat(F.lit("/// First "), n, F.lit("\n"))).otherwise(F.concat(F.lit("/// First "), n, F.lit("\n/// part\n")))
+    use = F.when(F.col("doc_id") % 2 == 1, F.concat(F.lit("pub use a"), n, F.lit("::T;\n"))).otherwise("use x;\n")
+    text = F.concat(docs, F.lit("pub mod a"), n, F.lit(";\nmod b;\nmod c { }\n"), use)
+    return rust_source.module_file(documents_.select(n.alias("path"), text.alias("content"))).withColumn("path", F.col("path").cast("long"))
 
 
 # --- commits, pages, configs ---------------------------------------------------------------------

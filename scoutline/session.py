@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import zipfile
 from pathlib import Path
@@ -42,6 +44,7 @@ def ship(spark: SparkSession) -> None:
         for f in sorted(root.rglob("*.py")):
             z.write(f, f.relative_to(root.parent))
     sc.addPyFile(str(path))
+    atexit.register(shutil.rmtree, path.parent, ignore_errors=True)
     _SHIPPED.add(sc.applicationId)
 
 
