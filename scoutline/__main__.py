@@ -1,4 +1,4 @@
-"""Command line: index, search, goto, refs, symbols, stats, info, memory."""
+"""Command line: index, search, goto, refs, symbols, stats, info, memory, serve."""
 
 from __future__ import annotations
 
@@ -6,6 +6,7 @@ import argparse
 import sys
 
 from scoutline.plans.engine import Engine
+from scoutline.plans.tools import Tools
 from scoutline.session import local_session
 
 
@@ -16,6 +17,7 @@ def main(args: list[str] | None = None) -> int:
     sub = p.add_subparsers(dest="command", required=True)
     sub.add_parser("index")
     sub.add_parser("stats")
+    sub.add_parser("serve", help="answer JSON-RPC lines")
     s = sub.add_parser("search")
     s.add_argument("query")
     s.add_argument("--limit", type=int, default=10)
@@ -46,6 +48,10 @@ def main(args: list[str] | None = None) -> int:
     if a.command == "index":
         print(e.index())
         return 0
+    if a.command == "serve":
+        for line in Tools(e).serve(sys.stdin):
+            print(line, flush=True)
+        return 0
     if a.command == "info":
         asked = {x for x in ("code", "callers", "callees", "refs") if getattr(a, x) or a.all} or {"callers", "callees", "refs"}
         for part, df in e.info(a.name, asked).items():

@@ -1,6 +1,8 @@
+import json
 import time
 
 from scoutline.plans.engine import Engine
+from scoutline.plans.tools import Tools
 from scoutline.sources.project import INTERACTION
 
 LIB = """//! Small library
@@ -87,3 +89,28 @@ def test_changes_reach_the_index(spark, tmp_path):
         q.stop()
     assert seen == [([("/src/new.rs", "created")], {"parsed": 1, "removed": 0})]
     assert "fresh" in {r.name for r in e.symbols().collect()}
+
+
+def test_tools_answer_lines(spark, tmp_path):
+    root = tmp_path / "p"
+    (root / "src").mkdir(parents=True)
+    (root / "src/lib.rs").write_text(LIB)
+    e = Engine(spark, str(root), str(tmp_path / "index"))
+    e.index()
+    tickets = spark.createDataFrame([("A-1", "Fix it", None, "s", "active", 1.0, 1), ("B-2", "Other", "Jo", None, None, None, 2)], "key string, summary string, assignee string, sprint string, sprint_state string, points double, pos long")
+    issues = spark.createDataFrame([(1, "high", 80, "open", "r", "sca"), (2, "low", 10, "closed", "r", "sca")], "id long, severity string, severity_score int, status string, repo string, type string")
+    pages = spark.createDataFrame([(0, '{"values":["x","y"],"next":"z"}')], "page int, body string")
+    tools = Tools(e, tickets, issues, {"branches": pages})
+
+    def ask(name, /, **arguments):
+        got = json.loads(next(tools.serve([json.dumps({"id": 1, "method": "tools/call", "params": {"name": name, "arguments": arguments}})])))
+        return [json.loads(x["text"]) for x in got["result"]["content"]]
+
+    assert {x["caller"] for x in ask("code_callers", name="helper")} == {"add_item", "run_all"}
+    assert ask("code_info", name="add_item") == ask("code_goto", name="add_item")[:1]
+    assert [x["key"] for x in ask("tickets_search", query="FIX")] == ["A-1"] and ask("tickets_board")[0]["tickets"] == 2
+    assert [x["id"] for x in ask("security_list")] == [1] and ask("security_repos") == [{"repo": "r", "n": 1}]
+    assert [x["value"] for x in ask("repo_branches")] == ["x", "y"]
+    out = [json.loads(x) for x in tools.serve(['{"id": 1, "method": "tools/list"}', "nonsense", '{"method": "initialized"}', '{"id": 2, "method": "tools/call", "params": {"name": "none"}}', '{"id": 3, "method": "other"}'])]
+    assert {"name": "code_search"} in out[0]["result"]["tools"]
+    assert [x["error"]["code"] for x in out[1:]] == [-32700, -32602, -32601]
