@@ -20,6 +20,7 @@ KIND_INTENT = {
     "FindDefinition": {"struct": 2.0, "enum": 2.0, "trait": 2.0, "type": 1.8, "function": 1.8, "method": 1.6, "module": 1.5, "impl": 0.5, "doc": 0.1},
     "Debug": {"function": 1.3, "method": 1.3, "struct": 1.1, "enum": 1.1, "field": 0.5},
 }
+# Words of questions about code, labels and aliases of kinds.
 CODE_WORDS = ("implementation", "algorithm", "logic", "code", "function", "method", "work", "works", "working", "implement", "source", "actual")
 KIND_LABELS = {
     "function": "fn", "method": "method", "struct": "struct", "enum": "enum", "trait": "trait", "impl": "impl", "const": "const",
@@ -32,6 +33,7 @@ LANGUAGES = {
     "C": ("c", "h"), "Ruby": ("rb", "rake"), "PHP": ("php",), "Swift": ("swift",), "Kotlin": ("kt", "kts"),
 }
 SUPPORTED = ("Rust", "Markdown")
+# Folders that are not counted.
 SKIPPED_PATHS = ("/target/", "/node_modules/", "/.git/", "/vendor/", "/build/", "/dist/", "/__pycache__/")
 
 

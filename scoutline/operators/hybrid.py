@@ -54,6 +54,11 @@ def limited(ranked: DataFrame, by: str, limits: dict[str, int] | None = None) ->
     return ranked.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= choose(F.col(by), limits or LIMITS, 0))
 
 
+def part_counts(rows: DataFrame, part: Column) -> DataFrame:
+    """(part, n): rows of each part, and of all as total."""
+    return rows.select(part.alias("part")).rollup("part").agg(F.count("*").alias("n")).select(F.coalesce("part", F.lit("total")).alias("part"), "n")
+
+
 def fallback_scores(ranked: DataFrame) -> DataFrame:
     """Scores by position where no second ranker is at hand."""
     return ranked.withColumn("score", F.lit(1.0) / F.col("rank"))

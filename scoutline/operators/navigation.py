@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 TYPE_CONTEXTS = ("Type", "TypeAnnotation", "GenericArgument", "TraitBound", "ReturnType", "ParameterType", "FieldType")
 FUNCTIONS = ("function", "method")
+# The kinds that a summary shows, in order.
+SHOWN_KINDS = ("function", "method", "struct", "enum", "trait", "impl", "const", "type", "module")
 #: Lines after a definition in which calls count as its callees, both ends excluded.
 REACH = 100
 
@@ -123,6 +125,12 @@ def context_counts(refs: DataFrame) -> DataFrame:
     return refs.groupBy("name").agg(F.count_if(calls).alias("calls"), F.count_if(types).alias("types"), F.count_if(imports).alias("imports"), F.count_if(~(calls | types | imports)).alias("others"))
 
 
+def kind_breakdown(symbols: DataFrame) -> DataFrame:
+    """(pos, kind, n) of the kinds that a summary shows, in its order; those without a symbol are left out."""
+    kinds = F.array(*[F.lit(k) for k in SHOWN_KINDS])
+    return symbols.where(F.col("kind").isin(*SHOWN_KINDS)).groupBy("kind").agg(F.count("*").alias("n")).select(F.array_position(kinds, F.col("kind")).cast("int").alias("pos"), "kind", "n").orderBy("pos")
+
+
 def list_symbols(symbols: DataFrame, file: str | None = None, kind: str | None = None) -> DataFrame:
     """Symbols of a kind in files that are ``file`` or end in it by whole path components."""
     out = symbols.where(F.col("kind") == kind) if kind else symbols

@@ -56,6 +56,18 @@ def source_boosted(scores: DataFrame, rows: DataFrame, doc: str, doc_type: Colum
     return scores.join(typed, "doc").join(F.broadcast(n)).withColumn("score", F.col("score") + F.when(F.col("document_type") == "SourceCode", 0.5 * (F.col("score") + idf)).otherwise(0.0)).drop("n", "n_src")
 
 
+def to_documents(symbols: DataFrame) -> DataFrame:
+    """Symbols as rows of the text index: text fields, and exact ones with the label of the kind."""
+    return symbols.select("seq", F.col("name").alias("symbol_name"), C.choose(F.col("kind"), C.KIND_LABELS).alias("symbol_kind"), F.col("file").alias("file_path"), F.col("line"), F.col("col").alias("column"), "visibility", "parent", "signature", "content", C.document_type(F.col("file")).alias("document_type"))
+
+
+def from_documents(rows: DataFrame) -> DataFrame:
+    """Rows of the text index as symbols; those without name, kind, file or line, or of an unknown kind, are left out."""
+    kind = C.kind_named(F.col("symbol_kind"), strict=False)
+    out = rows.select("seq", F.col("symbol_name").alias("name"), kind.alias("kind"), F.col("file_path").alias("file"), "line", F.col("column").alias("col"), "visibility", "parent", "signature", "content")
+    return out.dropna(subset=["name", "kind", "file", "line"])
+
+
 def top_k(scores: DataFrame, k: int, by: tuple[str, ...] = ("qid",)) -> DataFrame:
     """The k best of each group, ties by doc; Spark prunes before the shuffle (WindowGroupLimit)."""
     w = Window.partitionBy(*by).orderBy(F.desc("score"), "doc")

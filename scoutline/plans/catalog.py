@@ -134,6 +134,13 @@ def _(events):
     return commits.max_lanes(commits.lanes(log.select("repo", "pos", F.col("id").cast("string").alias("hash"), parents.alias("parent_hashes"))))
 
 
+@query("P5_round_trip", "symbols", sql="SELECT seq, name, kind, file, line, col, visibility, parent, signature, content FROM symbols WHERE seq % 10 <> 0 AND seq % 15 <> 1")
+def _(symbols):
+    """Symbols of which some lack a name and some have an unknown kind, as index rows and back."""
+    odd = symbols.withColumn("kind", F.when(F.col("seq") % 10 == 0, "gadget").otherwise(F.col("kind"))).withColumn("name", F.when(F.col("seq") % 15 != 1, F.col("name")))
+    return text_search.from_documents(text_search.to_documents(odd))
+
+
 # --- ranks -----------------------------------------------------------------------------------------
 
 

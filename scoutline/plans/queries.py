@@ -212,8 +212,7 @@ def _(refs):
 
 @query("A5_kind_breakdown", "symbols", sql="SELECT pos::INT AS pos, k AS kind, count(s.seq) AS n FROM (SELECT unnest(['function', 'method', 'struct', 'enum', 'trait', 'impl', 'const', 'type', 'module']) k, unnest(range(1, 10)) pos) d JOIN symbols s ON s.kind = k GROUP BY pos, k")
 def _(symbols):
-    nine = ("function", "method", "struct", "enum", "trait", "impl", "const", "type", "module")
-    return symbols.where(F.col("kind").isin(*nine)).groupBy("kind").agg(F.count("*").alias("n")).select(F.array_position(F.array(*[F.lit(k) for k in nine]), F.col("kind")).cast("int").alias("pos"), "kind", "n").orderBy("pos")
+    return N.kind_breakdown(symbols)
 
 
 @query("F8_fqn", "symbols", sql="SELECT seq, CASE WHEN parent IS NULL THEN name ELSE parent || '::' || name END AS fqn FROM symbols")
@@ -274,7 +273,7 @@ def _(symbols, terms):
 
 @query("A12_triple_counts", "symbols", sql=f"WITH t AS (SELECT CASE WHEN t IN ('SourceCode', 'Test') THEN 'code' WHEN t = 'Documentation' THEN 'docs' ELSE 'notes' END AS p FROM (SELECT {type_sql('file')} AS t FROM symbols)) SELECT coalesce(p, 'total') AS part, count(*) AS n FROM t GROUP BY ROLLUP (p)")
 def _(symbols):
-    return symbols.select(C.content_type(C.document_type(F.col("file"))).alias("part")).rollup("part").agg(F.count("*").alias("n")).select(F.coalesce("part", F.lit("total")).alias("part"), "n")
+    return hybrid.part_counts(symbols, C.content_type(C.document_type(F.col("file"))))
 
 
 @query("R5_fuzzy_search", "symbols", sql="""WITH q AS (SELECT seq AS qid, 'x' || substr(split_part(name, '_', 1), 2, 20) AS query FROM symbols WHERE seq % 20 = 0),
@@ -290,6 +289,7 @@ def _(symbols):
     return text_search.by_kind(symbols, "enum", 25).select("seq", "name")
 
 
+# The boosts of rows by document type, kind, intent and number of references.
 RERANK_SQL = f"""WITH t AS (SELECT seq, name, kind, {type_sql('file')} AS t FROM symbols), c AS (SELECT name, count(*) n FROM refs GROUP BY name),
 h AS (SELECT kind AS qid, seq AS doc, t.name, kind, t, coalesce(c.n, 0) AS n, CASE seq % 3 WHEN 0 THEN 'Understand' WHEN 1 THEN 'FindDefinition' ELSE 'Debug' END AS intent, CASE WHEN seq % 17 = 0 THEN 0.0 ELSE (seq % 50 + 1)::DOUBLE END AS score FROM t LEFT JOIN c ON t.name = c.name),
 b AS (SELECT *, score::FLOAT
