@@ -162,11 +162,14 @@ def mix_sources(docs: DataFrame, memberships: str | None = None, carry: tuple[st
         second = cut(sized.join(F.broadcast(inner.select("_p", "_rest", "_before", "_cut")), "_p").where("_a = _cut"), "_b")
         put = scratch.keep(plan_df.drop("_before").join(second, "_p", "left"))
     own = ["doc_id", *carry, "size", "source_size", "target", "taken"]
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *carry, size.alias("size"), pattern.alias("_p"), rank.alias("_u"), F.xxhash64("text").alias("_t"))
-    placed = rows.join(F.broadcast(put), "_p").withColumn("_b", F.shiftrightunsigned("_u", 64 - 2 * BITS))
+    # The words are counted after the rows are told apart, so that each text is read for one of both kinds.
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *carry, F.col("text").alias("_text"), pattern.alias("_p"), F.shiftrightunsigned(rank, 64 - 2 * BITS).alias("_b"))
+    placed = rows.join(F.broadcast(put), "_p")
+    count = F.coalesce(F.regexp_count("_text", F.lit(WORDS)), F.lit(0)).cast("long")
     taken = lambda more: (F.col("_full") * F.col("size") + more).cast("long")
-    clear = placed.where("cut is null or _b <> cut").withColumn("taken", taken(F.when((F.col("_rest") > 0) & (F.col("cut").isNull() | (F.col("_b") < F.col("cut"))), F.col("size")).otherwise(0)))
-    inside = Window.partitionBy("_p").orderBy("_u", "doc_id", "size", "_t").rowsBetween(Window.unboundedPreceding, 0)
-    split = placed.where("_b = cut").withColumn("_to", F.col("before") + F.sum("size").over(inside))
+    clear = placed.where("cut is null or _b <> cut").withColumn("size", count)
+    clear = clear.withColumn("taken", taken(F.when((F.col("_rest") > 0) & (F.col("cut").isNull() | (F.col("_b") < F.col("cut"))), F.col("size")).otherwise(0)))
+    inside = Window.partitionBy("_p").orderBy(F.xxhash64("doc_id"), "doc_id", "size", "_t").rowsBetween(Window.unboundedPreceding, 0)
+    split = placed.where("_b = cut").withColumns({"size": count, "_t": F.xxhash64("_text")}).withColumn("_to", F.col("before") + F.sum("size").over(inside))
     split = split.withColumn("taken", taken(F.greatest(F.lit(0), F.least(F.col("size"), F.col("_rest") - F.col("_to") + F.col("size")))))
     return clear.select(own).unionByName(split.select(own))
