@@ -1,6 +1,6 @@
 """Benchmark decontamination with spaced seeds, in DataFrame functions only.
 
-Tokens are runs of letters and digits, lower-cased. A seed is the hash of the tokens that a fixed
+Tokens are runs of letters and digits, lower-cased, and single characters in scripts without spaces. A seed is the hash of the tokens that a fixed
 mask selects from SPAN consecutive ones; those that it skips may differ. Seeds of all documents
 meet those of the benchmark; every hit fixes an alignment, and an alignment counts where some
 window of WINDOW tokens has at most SUBSTITUTIONS that differ. The two masks together hit every such
@@ -30,7 +30,9 @@ BROADCAST_SEEDS = 2_000_000
 
 
 def tokens(text: str) -> Column:
-    return F.array_remove(F.split(F.lower(F.col(text)), r"[^\p{L}\p{N}]+"), "")
+    """Runs of letters and digits; a character of a script without spaces is a token of its own."""
+    spaced = F.regexp_replace(F.lower(F.col(text)), r"([\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}])", " $1 ")
+    return F.array_remove(F.split(spaced, r"[^\p{L}\p{N}]+"), "")
 
 
 def masked_hash(h: Column, i: Column, kind: int, chosen: list[int]) -> Column:
@@ -126,8 +128,8 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 #: DuckDB SQL of ``contaminated``: alignments of four equal tokens in a row, which every window of 13 tokens with two substitutions has.
 CONTAMINATED_SQL = r"""
-WITH d AS (SELECT doc_id, [x for x in regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+') if x <> ''] w FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL),
-i AS (SELECT item_id, [x for x in regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+') if x <> ''] w FROM benchmark WHERE item_id IS NOT NULL AND text IS NOT NULL),
+WITH d AS (SELECT doc_id, [x for x in regexp_split_to_array(regexp_replace(lower(text), '([\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}])', ' \1 ', 'g'), '[^\p{L}\p{N}]+') if x <> ''] w FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL),
+i AS (SELECT item_id, [x for x in regexp_split_to_array(regexp_replace(lower(text), '([\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}])', ' \1 ', 'g'), '[^\p{L}\p{N}]+') if x <> ''] w FROM benchmark WHERE item_id IS NOT NULL AND text IS NOT NULL),
 dg AS (SELECT doc_id, p, array_to_string(w[p:p+3], ' ') g FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 2, 1))) p FROM d)),
 ig AS (SELECT item_id, p, array_to_string(w[p:p+3], ' ') g FROM (SELECT item_id, w, unnest(range(1, greatest(len(w) - 2, 1))) p FROM i WHERE len(w) >= 5)),
 a AS (SELECT DISTINCT doc_id, item_id, dg.p - ig.p AS shift FROM dg JOIN ig USING (g)),

@@ -59,3 +59,11 @@ def test_rows_without_or_with_repeated_ids_are_judged_by_their_text(spark):
     bench = spark.createDataFrame([(1, item), (2, "w1 w2")], "item_id long, text string")
     left = drop_contaminated(df, bench)
     assert left.columns == df.columns and sorted(r.d for r in left.collect()) == [2, 3, 5, 6]
+
+
+def test_scripts_without_spaces(spark):
+    item = "今天天气很好我们一起去公园散步吧"
+    changed = item[:5] + "坏" + item[6:]
+    df = spark.createDataFrame([(1, "前文。" + item + "后文"), (2, changed), (3, "今天我们去公园"), (4, "ภาษา " + item[:6])], "doc_id long, text string")
+    got = contaminated(df, spark.createDataFrame([(1, item)], "item_id long, text string")).collect()
+    assert sorted((r.doc_id, r.doc_pos) for r in got) == [(1, 2), (2, 0)]
