@@ -197,7 +197,8 @@ def convert(arcs: DataFrame, out: str, least: int = 0) -> None:
     """Writes the WARC records of ARC archives (path, content) to gzip files in the folder ``out``.
 
     Payloads of fewer than ``least`` bytes are never revisits. Of equal payloads the record of the
-    smallest key is the response (a null key is the largest, ties go to path and offset).
+    smallest key is the response (a null key is the largest, ties go to path and offset). An archive
+    without a version block, or of an unknown version, is an error; a cut record is written with what there is of it.
     """
     with Scratch(arcs.sparkSession) as scratch:
         index = scratch.save(arc_index(arcs))
@@ -236,7 +237,11 @@ def convert(arcs: DataFrame, out: str, least: int = 0) -> None:
 
 
 def read_warc(arcs: DataFrame) -> DataFrame:
-    """(id, kind, key, size, digest, refers) of the records in WARC files (a binaryFile table); size is null for revisits."""
+    """(id, kind, key, size, digest, refers) of the records in WARC files (a binaryFile table); size is null for revisits.
+
+    Bytes before, between and after records are passed over. A record without its headers' end or a declared length, and a payload that
+    differs from its digest, are errors. A file without records gives none.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
