@@ -273,8 +273,9 @@ def ngram_jaccard_join(docs: DataFrame, n: int = 3, num: int = 90, den: int = 10
     with Scratch(docs.sparkSession) as scratch:
         sets = scratch.save(profile(docs, n))
         full = sets.where("n_shingles > 0 and doc_id is not null")
-        reps = full.groupBy("h1", "h2", "n_shingles").agg(F.min("doc_id").alias("rep"))
-        members = scratch.save(full.join(reps, ["h1", "h2", "n_shingles"]).select("doc_id", "n_shingles", "rep"))
+        reps = full.groupBy("h1", "h2", "n_shingles").agg(F.min("doc_id").alias("rep"), F.count("*").alias("c")).where("c > 1").drop("c")
+        held = full.join(small(scratch.save(reps)), ["h1", "h2", "n_shingles"], "left")
+        members = scratch.save(held.select("doc_id", "n_shingles", F.coalesce("rep", "doc_id").alias("rep")))
         copies = members.groupBy("doc_id").agg(F.max(F.col("doc_id") == F.col("rep")).alias("own")).where("not own").select("doc_id")
         once = docs.where("doc_id is not null").join(small(scratch.save(copies)), "doc_id", "left_anti")
         sigs = scratch.save(publish(once, n, num, den))
@@ -314,3 +315,16 @@ def ngram_jaccard_join(docs: DataFrame, n: int = 3, num: int = 90, den: int = 10
         home = members.join(first, F.col("rep") == F.col("node"), "left").select("doc_id", "n_shingles", F.coalesce("component", "rep").alias("component_id"), F.col("rep").alias("representative"))
         alone = sets.where("n_shingles = 0 or doc_id is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), F.col("doc_id").alias("representative"))
         return scratch.keep(home.unionByName(alone))
+
+
+#: DuckDB SQL of op1: all pairs that share a shingle, and all that can be reached. For small tables; doc_ids are distinct and not null.
+JACCARD_SQL = r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') w FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(CASE WHEN len(w) < 3 THEN w ELSE w[i : i + 2] END, ' ') g FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 1, 2))) i FROM w WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) n FROM s GROUP BY doc_id),
+p AS (SELECT x.doc_id a, y.doc_id b, count(*) c FROM s x JOIN s y ON x.g = y.g AND x.doc_id <> y.doc_id GROUP BY ALL),
+l AS (SELECT a, b FROM p JOIN n x ON a = x.doc_id JOIN n y ON b = y.doc_id WHERE 100 * c >= 90 * (x.n + y.n - c)),
+r AS (SELECT a, b FROM l UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, least(d.doc_id, coalesce(m.b, d.doc_id)) AS component_id
+FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN (SELECT a, min(b) b FROM r GROUP BY a) m ON m.a = d.doc_id
+"""

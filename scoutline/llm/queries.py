@@ -11,7 +11,7 @@ from scoutline.llm.chat_format import ADDED, CHAT_SQL, chat_digests
 from scoutline.llm.decontamination import CONTAMINATED_SQL, contaminated
 from scoutline.llm.langid import identify
 from scoutline.llm.mixing import mix_sources
-from scoutline.llm.ngram_join import ngram_jaccard_join
+from scoutline.llm.ngram_join import JACCARD_SQL, ngram_jaccard_join
 from scoutline.llm.pii import pii_spans
 from scoutline.llm.quality_forest import quality_rules
 from scoutline.llm.site_template import main_text
@@ -79,6 +79,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLES: dict[str, str] = {
+    "op1_ngram_jaccard_join": JACCARD_SQL,
     "op2_arc_to_warc": ARCHIVED_SQL,
     "op3_chat_formatting": CHAT_SQL,
     "op7_temporal_url_list": URL_SQL,

@@ -92,3 +92,23 @@ def test_families_around_the_threshold(spark, words, edits):
     for n, num in ((3, 90), (5, 80), (3, 80)):
         got = {x.doc_id: (x.n_shingles, x.component_id) for x in ngram_jaccard_join(spark.createDataFrame(rows, SCHEMA), n, num, 100).collect()}
         assert got == brute(rows, n, num, 100)
+
+
+@pytest.mark.parametrize("seed", [0, 3])
+def test_families_that_share_a_passage(spark, seed):
+    """Groups of one signature hold several families: links past a group's smallest member."""
+    r = random.Random(seed)
+    words = [f"w{i}" for i in range(4000)]
+    common = [[r.choice(words) for _ in range(60)] for _ in range(3)]
+    rows = []
+    for _ in range(14):
+        text = r.choice(common) + [r.choice(words) for _ in range(r.choice([25, 40, 60]))]
+        for _ in range(r.choice([1, 2, 5, 9])):
+            own = list(text)
+            for _ in range(r.choice([0, 1, 2, 3, 5])):
+                own[r.randrange(len(own))] = r.choice(words)
+            rows.append((len(rows), " ".join(own)))
+    r.shuffle(rows)
+    for n, num in ((3, 90), (5, 80), (3, 70)):
+        got = {x.doc_id: (x.n_shingles, x.component_id) for x in ngram_jaccard_join(spark.createDataFrame(rows, SCHEMA), n, num, 100).collect()}
+        assert got == brute(rows, n, num, 100)

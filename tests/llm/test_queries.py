@@ -1,12 +1,14 @@
 """Queries of the operators that SQL can express, beside that SQL, on the smallest tables; the others give a row a document."""
 
+import os
+
 import duckdb
 import pytest
 
 from scoutline.llm.queries import ORACLES, QUERIES
 from scoutline.session import table
 
-SF = "/root/testdata/sf0.001"
+SF = os.environ.get("ORACLE_SF_DIR", "/root/testdata/sf0.001")
 
 
 @pytest.fixture(scope="module")
