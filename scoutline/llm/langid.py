@@ -18,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from scoutline.llm.shared import gathered
+
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 WORD = re.compile(r"[^\W\d_]+")
 START = "▁"
@@ -249,7 +251,7 @@ def learn(rows: DataFrame, path: str = VOCABULARY) -> Languages:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lattice = shared.value
         counts: dict[str, np.ndarray] = {}
-        for b in batches:
+        for b in gathered(batches):
             seen: dict[str, Counter] = {}
             for text, lang in zip(b.column("text").to_pylist(), b.column("lang").to_pylist(), strict=True):
                 seen.setdefault(lang, Counter()).update(words_of(text))
@@ -297,7 +299,7 @@ def identify(docs: DataFrame, path: str = VOCABULARY) -> DataFrame:
     model = docs.sparkSession.sparkContext.broadcast(learn(docs.where(~held_out()), path))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in gathered(batches):
             found = model.value.predict(b.column("text").to_pylist())
             yield pa.RecordBatch.from_arrays(
                 [b.column("doc_id"), b.column("held_out"), pa.array([x for x, _ in found], pa.string()), pa.array([y for _, y in found], pa.float64())],

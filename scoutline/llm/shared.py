@@ -23,9 +23,21 @@ def parts(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield b.slice(at, PART)
 
 
-def small(saved: DataFrame) -> DataFrame:
-    """A saved table of narrow rows, to be broadcast in joins if it has BROADCAST_ROWS rows at most."""
-    return F.broadcast(saved) if saved.count() <= BROADCAST_ROWS else saved
+def gathered(batches: Iterable[pa.RecordBatch], rows: int = 10_000, size: int = 32 << 20) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of about so many rows or bytes, for work that is done once for equal values of a batch."""
+    held: list[pa.RecordBatch] = []
+    for b in batches:
+        held.append(b)
+        if sum(x.num_rows for x in held) >= rows or sum(x.nbytes for x in held) >= size:
+            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+            held = []
+    if held:
+        yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+
+
+def small(saved: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """A saved table, to be broadcast in joins if it has no more than so many rows; fewer where rows are not just a few numbers."""
+    return F.broadcast(saved) if saved.count() <= rows else saved
 
 
 def shared_dir(spark: SparkSession) -> str:
