@@ -31,11 +31,17 @@ def local_session(cpus: int | None = None, app: str = "scoutline") -> SparkSessi
 
 
 _SHIPPED: set[str] = set()
+ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def ship(spark: SparkSession) -> None:
-    """Gives the package to the Python workers, once an application, so that they need no path of their own to it."""
+    """Gives the package to the Python workers, once an application, so that they need no path of their own to it.
+
+    Rows are whole documents, so batches for the workers are made smaller than Spark's 10,000 rows, where nobody has set their size.
+    """
     sc = spark.sparkContext
+    if spark.conf.get(ARROW_ROWS) == "10000":
+        spark.conf.set(ARROW_ROWS, "1000")
     if sc.applicationId in _SHIPPED:
         return
     root = Path(__file__).resolve().parent
