@@ -18,6 +18,8 @@ from scoutline.llm.shared import Scratch, small
 
 #: Captures of a key that are put in order together; keys of more are split by capture, and their intervals repeated.
 HOT = 100_000
+#: Rows with a key or a URL that are broadcast, at most.
+STRINGS = 100_000
 
 
 def keys(url: Column) -> Column:
@@ -54,16 +56,16 @@ def listed_captures(captures: DataFrame, entries: DataFrame) -> DataFrame:
     with Scratch(captures.sparkSession) as scratch:
         valid = scratch.save(intervals(entries))
         listed = scratch.save(valid.select("key").distinct())
-        probes = scratch.save(asked.select("url", "at", F.explode(keys(F.col("url"))).alias("key")).join(small(listed), "key", "left_semi"))
+        probes = scratch.save(asked.select("url", "at", F.explode(keys(F.col("url"))).alias("key")).join(small(listed, STRINGS), "key", "left_semi"))
         # One row of HOT captures at most.
-        hot = small(scratch.save(probes.groupBy("key").agg(F.ceil(F.count("*") / HOT).alias("parts")).where("parts > 1")))
+        hot = small(scratch.save(probes.groupBy("key").agg(F.ceil(F.count("*") / HOT).alias("parts")).where("parts > 1")), STRINGS)
         n = F.coalesce("parts", F.lit(1))
         put = probes.join(hot, "key", "left").select("key", F.pmod(F.xxhash64("url", "at"), n).alias("part"), "at", F.lit(1).alias("kind"), "url", F.lit(None).cast("struct<since: long, until: long>").alias("held"))
         held = valid.join(hot, "key", "left").select("key", F.explode(F.sequence(F.lit(0).cast("long"), n - 1)).alias("part"), F.col("since").alias("at"), F.lit(0).alias("kind"), F.lit(None).cast("string").alias("url"), F.struct("since", "until").alias("held"))
         order = Window.partitionBy("key", "part").orderBy("at", "kind").rowsBetween(Window.unboundedPreceding, 0)
         last = put.unionByName(held).withColumn("last", F.last("held", ignorenulls=True).over(order)).where("kind = 1 and last is not null and (last.until is null or at < last.until)")
         active = scratch.save(last.groupBy("url", "at").agg(F.min("key").alias("matched_key"), F.count("*").alias("n_active")))
-        met = captures.join(small(active), ["url", "at"], "left").select("id", "url", "at", F.col("matched_key").isNotNull().alias("blocked"), "matched_key", F.coalesce("n_active", F.lit(0)).alias("n_active"))
+        met = captures.join(small(active, STRINGS), ["url", "at"], "left").select("id", "url", "at", F.col("matched_key").isNotNull().alias("blocked"), "matched_key", F.coalesce("n_active", F.lit(0)).alias("n_active"))
         return scratch.keep(met)
 
 
