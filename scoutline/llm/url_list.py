@@ -65,7 +65,7 @@ def listed_captures(captures: DataFrame, entries: DataFrame) -> DataFrame:
         order = Window.partitionBy("key", "part").orderBy("at", "kind").rowsBetween(Window.unboundedPreceding, 0)
         last = put.unionByName(held).withColumn("last", F.last("held", ignorenulls=True).over(order)).where("kind = 1 and last is not null and (last.until is null or at < last.until)")
         active = scratch.save(last.groupBy("url", "at").agg(F.min("key").alias("matched_key"), F.count("*").alias("n_active")))
-        met = captures.join(small(active, STRINGS), ["url", "at"], "left").select("id", "url", "at", F.col("matched_key").isNotNull().alias("blocked"), "matched_key", F.coalesce("n_active", F.lit(0)).alias("n_active"))
+        met = captures.join(active, ["url", "at"], "left").select("id", "url", "at", F.col("matched_key").isNotNull().alias("blocked"), "matched_key", F.coalesce("n_active", F.lit(0)).alias("n_active"))
         return scratch.keep(met)
 
 
