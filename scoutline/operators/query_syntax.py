@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from scoutline.operators.text_search import K1, B, tokenize
+from scoutline.operators.text_search import K1, B, by_document, tokenize
 
 CLAUSE = r'(?:[^\s"]*"[^"]*"?|[^\s"]+)'
 PARTS = r'(?s)^([+-]?)(?:([A-Za-z_][A-Za-z0-9_]*):)?"?([^"]*)"?$'
@@ -58,7 +58,9 @@ def search(index: DataFrame, totals_: DataFrame, queries: DataFrame, default: li
     df = hits.groupBy("part", "field", "term").agg(F.count("*").alias("df"))
     # A row for each term that is asked, part and field; totals have one for each part and field.
     idf = df.join(F.broadcast(totals_), ["part", "field"]).select("part", "field", "term", "n", "total", F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf")).withColumnRenamed("n", "docs")
-    met = hits.join(F.broadcast(idf) if few else idf, ["part", "field", "term"]).join(terms, ["field", "term"])
+    # Dealt by document, so that clauses and scores need no other shuffle.
+    dealt = by_document(hits.join(F.broadcast(idf) if few else idf, ["part", "field", "term"]))
+    met = dealt.join(F.broadcast(terms) if terms.limit(most_terms + 1).count() <= most_terms else terms, ["field", "term"])
     one = met.where("k = 1").select("qid", "n", "occur", "part", "field", "doc", "len", "docs", "total", "idf", F.size("at").alias("tf"))
     by = ["qid", "n", "occur", "k", "part", "field", "doc", "len", "docs", "total"]
     # Occurrences begin where every term of the phrase is at its own distance.

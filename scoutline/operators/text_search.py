@@ -32,6 +32,13 @@ def postings(rows: DataFrame, doc: str, fields: list[str], part: Column | None =
     return terms.groupBy("part", "field", "doc", "len", "term").agg(F.count("*").alias("tf"))
 
 
+def by_document(hits: DataFrame) -> DataFrame:
+    """Hits dealt by document. The number of tasks is stated, as a few hits meet many queries, and Spark would put them in one."""
+    spark = hits.sparkSession
+    tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return hits.repartition(tasks, "part", "doc")
+
+
 def bm25(index: DataFrame, queries: DataFrame, rows: DataFrame, doc: str, part: Column | None = None) -> DataFrame:
     """(qid, part, doc, score): sum over query terms and fields, any term may match. Equal query terms count as often as they occur."""
     size = rows.select((part if part is not None else F.lit("all")).alias("part")).groupBy("part").agg(F.count("*").alias("n"))
