@@ -23,6 +23,8 @@ from scoutline.llm.shared import Scratch
 MASKS = ("111101001", "100110111")
 SPAN, WINDOW, SUBSTITUTIONS = 9, 13, 2
 REACH = WINDOW - SPAN
+#: Characters of Thai, Japanese and Chinese; plain ranges, as looking scripts up is slow.
+UNSPACED = r"[\x{E00}-\x{E7F}\x{3040}-\x{30FF}\x{3400}-\x{4DBF}\x{4E00}-\x{9FFF}\x{F900}-\x{FAFF}\x{20000}-\x{3FFFF}]"
 #: Shorter items are not looked for: phrases of a few words occur in clean documents.
 SHORTEST = 5
 #: Benchmark seeds, and keys of contaminated documents, that are broadcast, at most; above it Spark joins by its own choice.
@@ -31,7 +33,7 @@ BROADCAST_SEEDS = 2_000_000
 
 def tokens(text: str) -> Column:
     """Runs of letters and digits; a character of a script without spaces is a token of its own."""
-    spaced = F.regexp_replace(F.lower(F.col(text)), r"([\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}])", " $1 ")
+    spaced = F.regexp_replace(F.lower(F.col(text)), rf"({UNSPACED})", " $1 ")
     return F.array_remove(F.split(spaced, r"[^\p{L}\p{N}]+"), "")
 
 
@@ -128,8 +130,8 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 #: DuckDB SQL of ``contaminated``: alignments of four equal tokens in a row, which every window of 13 tokens with two substitutions has.
 CONTAMINATED_SQL = r"""
-WITH d AS (SELECT doc_id, [x for x in regexp_split_to_array(regexp_replace(lower(text), '([\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}])', ' \1 ', 'g'), '[^\p{L}\p{N}]+') if x <> ''] w FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL),
-i AS (SELECT item_id, [x for x in regexp_split_to_array(regexp_replace(lower(text), '([\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}])', ' \1 ', 'g'), '[^\p{L}\p{N}]+') if x <> ''] w FROM benchmark WHERE item_id IS NOT NULL AND text IS NOT NULL),
+WITH d AS (SELECT doc_id, [x for x in regexp_split_to_array(regexp_replace(lower(text), '([\x{E00}-\x{E7F}\x{3040}-\x{30FF}\x{3400}-\x{4DBF}\x{4E00}-\x{9FFF}\x{F900}-\x{FAFF}\x{20000}-\x{3FFFF}])', ' \1 ', 'g'), '[^\p{L}\p{N}]+') if x <> ''] w FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL),
+i AS (SELECT item_id, [x for x in regexp_split_to_array(regexp_replace(lower(text), '([\x{E00}-\x{E7F}\x{3040}-\x{30FF}\x{3400}-\x{4DBF}\x{4E00}-\x{9FFF}\x{F900}-\x{FAFF}\x{20000}-\x{3FFFF}])', ' \1 ', 'g'), '[^\p{L}\p{N}]+') if x <> ''] w FROM benchmark WHERE item_id IS NOT NULL AND text IS NOT NULL),
 dg AS (SELECT doc_id, p, array_to_string(w[p:p+3], ' ') g FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 2, 1))) p FROM d)),
 ig AS (SELECT item_id, p, array_to_string(w[p:p+3], ' ') g FROM (SELECT item_id, w, unnest(range(1, greatest(len(w) - 2, 1))) p FROM i WHERE len(w) >= 5)),
 a AS (SELECT DISTINCT doc_id, item_id, dg.p - ig.p AS shift FROM dg JOIN ig USING (g)),
