@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from scoutline.llm.arc_to_warc import ARCHIVED_SQL, archived_pages
 from scoutline.llm.chat_format import ADDED, CHAT_SQL, chat_digests
 from scoutline.llm.decontamination import CONTAMINATED_SQL, contaminated
+from scoutline.llm.divergence import DIVERGENCE_SQL, source_divergence
 from scoutline.llm.langid import identify
 from scoutline.llm.mixing import mix_sources
 from scoutline.llm.ngram_join import JACCARD_SQL, ngram_jaccard_join
@@ -65,6 +66,10 @@ def op10_pii_deobfuscation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii_spans(table(spark, sf_dir, "documents"))
 
 
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_divergence(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
     "op2_arc_to_warc": op2_arc_to_warc,
@@ -76,6 +81,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality_forest": op8_quality_forest,
     "op9_spaced_seed_decontamination": op9_spaced_seed_decontamination,
     "op10_pii_deobfuscation": op10_pii_deobfuscation,
+    "op13_source_divergence": op13_source_divergence,
 }
 
 ORACLES: dict[str, str] = {
@@ -84,4 +90,5 @@ ORACLES: dict[str, str] = {
     "op3_chat_formatting": CHAT_SQL,
     "op7_temporal_url_list": URL_SQL,
     "op9_spaced_seed_decontamination": CONTAMINATED_SQL,
+    "op13_source_divergence": DIVERGENCE_SQL,
 }
