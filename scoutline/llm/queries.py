@@ -5,12 +5,15 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from scoutline.llm.arc_to_warc import ARCHIVED_SQL, archived_pages
 from scoutline.llm.chat_format import ADDED, CHAT_SQL, chat_digests
 from scoutline.llm.decontamination import CONTAMINATED_SQL, contaminated
 from scoutline.llm.divergence import DIVERGENCE_SQL, source_divergence
+from scoutline.llm.hard_negatives import NEGATIVES_SQL, hard_negatives
 from scoutline.llm.langid import identify
+from scoutline.llm.learned_partitions import nearest_neighbours
 from scoutline.llm.mixing import mix_sources
 from scoutline.llm.ngram_join import JACCARD_SQL, ngram_jaccard_join
 from scoutline.llm.pii import pii_spans
@@ -66,6 +69,17 @@ def op10_pii_deobfuscation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii_spans(table(spark, sf_dir, "documents"))
 
 
+def op11_learned_partitions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings")
+    return nearest_neighbours(rows, rows.where("vec_id % 50 = 0"))
+
+
+def op12_voronoi_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.col("label").cast("long")
+    dealt = F.when(F.col("vec_id") % 7 == 0, (label + 1) % 10).otherwise(label)
+    return hard_negatives(table(spark, sf_dir, "embeddings").withColumn("label", dealt))
+
+
 def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return source_divergence(table(spark, sf_dir, "documents"))
 
@@ -81,6 +95,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality_forest": op8_quality_forest,
     "op9_spaced_seed_decontamination": op9_spaced_seed_decontamination,
     "op10_pii_deobfuscation": op10_pii_deobfuscation,
+    "op11_learned_partitions": op11_learned_partitions,
+    "op12_voronoi_hard_negatives": op12_voronoi_hard_negatives,
     "op13_source_divergence": op13_source_divergence,
 }
 
@@ -90,5 +106,6 @@ ORACLES: dict[str, str] = {
     "op3_chat_formatting": CHAT_SQL,
     "op7_temporal_url_list": URL_SQL,
     "op9_spaced_seed_decontamination": CONTAMINATED_SQL,
+    "op12_voronoi_hard_negatives": NEGATIVES_SQL,
     "op13_source_divergence": DIVERGENCE_SQL,
 }
