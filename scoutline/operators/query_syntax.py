@@ -1,34 +1,19 @@
-"""The query syntax of text search, read leniently: what can't be understood is left out.
+"""Ranked search in the query syntax, over an inverted index with positions; query_parser.py reads the syntax.
 
-Clauses are separated by spaces: a word, a "phrase", either after field: or not, after + (must match), - or NOT (must
-not match) or nothing (may match). AND joins clauses that must match, OR ones that may. A word of several tokens is a phrase.
+Leaves of all queries meet the index in one job: words and phrases as terms, beginnings, ranges and sets as the terms of the index's dictionary that
+they stand for. Groups are then put together level by level, the deepest first. All rows stay dealt by document, so no level shuffles.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from scoutline.operators.query_parser import NODES, parsed
 from scoutline.operators.text_search import K1, B, by_document, tokenize
 
-CLAUSE = r'(?:[^\s"]*"[^"]*"?|[^\s"]+)'
-PARTS = r'(?s)^([+-]?)(?:([A-Za-z_][A-Za-z0-9_]*):)?"?([^"]*)"?$'
-
-
-def clauses(queries: DataFrame, fields: list[str]) -> DataFrame:
-    """(qid, n, occur, field, tokens) of queries (qid, query); occur is +, - or empty, field null for all.
-
-    A field that is not among ``fields`` makes the clause plain text, as a colon in a word does. Clauses without a token are left out.
-    """
-    raw = queries.select("qid", F.posexplode(F.regexp_extract_all(F.coalesce("query", F.lit("")), F.lit(CLAUSE), 0)).alias("i", "c"))
-    order = Window.partitionBy("qid").orderBy("i")
-    around = raw.select("qid", "i", "c", F.lag("c").over(order).alias("before"), F.lead("c").over(order).alias("after")).where(~F.col("c").isin("AND", "OR", "NOT"))
-    sign, field, text = (F.regexp_extract("c", PARTS, i) for i in (1, 2, 3))
-    known = field.isin(*fields)
-    body = F.when((field == "") | known, text).otherwise(F.regexp_replace(F.substr(F.col("c"), F.char_length(sign) + 1), '"', ""))
-    occur = F.when((sign == "-") | (F.col("before") == "NOT"), "-").when((sign == "+") | (F.col("before") == "AND") | (F.col("after") == "AND"), "+").otherwise("")
-    out = around.select("qid", F.col("i").alias("n"), occur.alias("occur"), F.when(known, field).alias("field"), tokenize(body).alias("tokens"))
-    return out.where(F.size("tokens") > 0)
+#: Nodes and terms of all queries that are broadcast, at most; Spark joins more of them by its own choice.
+MOST_TERMS = 1_000_000
 
 
 def positions(rows: DataFrame, doc: str, fields: list[str], part: Column | None = None) -> DataFrame:
@@ -45,30 +30,94 @@ def totals(index: DataFrame, rows: DataFrame, part: Column | None = None) -> Dat
     return index.groupBy("part", "field").agg(F.sum(F.size("at")).alias("total")).join(F.broadcast(size), "part")
 
 
-def search(index: DataFrame, totals_: DataFrame, queries: DataFrame, default: list[str], fields: list[str] | None = None, most_terms: int = 1_000_000) -> DataFrame:
-    """(qid, part, doc, score) of documents that match; BM25 summed over clauses and fields.
+def _first(term: Column) -> Column:
+    """The first byte of a term, by which ranges meet the dictionary; order by bytes is order by it."""
+    return F.conv(F.substring(F.hex(term), 1, 2), 16, 10).cast("int")
+
+
+def expanded(index: DataFrame, leaves: DataFrame) -> DataFrame:
+    """(qid, node, field, off, term) of the terms that beginnings, ranges and sets stand for; leaves: (qid, node, kind, field, tokens, ends).
+
+    A beginning meets the dictionary by as many characters as it has, a range by the first bytes between its ends.
+    """
+    words = index.select("field", "term").distinct()
+    last = F.element_at("tokens", -1)
+    starts = leaves.where("kind = 'prefix'").select("qid", "node", "field", (F.size("tokens") - 1).alias("off"), last.alias("start"), F.char_length(last).alias("n"))
+    lengths = starts.select("n").distinct()  # no token is longer than 40 bytes
+    cut = words.join(F.broadcast(lengths), F.char_length("term") >= F.col("n")).select("field", "term", F.left("term", "n").alias("start"))
+    begun = starts.select("qid", "node", "field", "off", "start").join(cut, ["field", "start"]).select("qid", "node", "field", "off", "term")
+    ends = leaves.where("kind = 'range'").select("qid", "node", "field", "low", "low_in", "high", "high_in")
+    least, most = F.coalesce(_first(F.col("low")), F.lit(0)), F.coalesce(_first(F.col("high")), F.lit(255))
+    ends = ends.where(least <= most).withColumn("byte", F.explode(F.sequence(least, most)))
+    above = F.col("low").isNull() | (F.col("term") > F.col("low")) | (F.col("low_in") & (F.col("term") == F.col("low")))
+    below = F.col("high").isNull() | (F.col("term") < F.col("high")) | (F.col("high_in") & (F.col("term") == F.col("high")))
+    within = ends.join(words.withColumn("byte", _first(F.col("term"))), ["field", "byte"]).where(above & below).select("qid", "node", "field", F.lit(0).alias("off"), "term")
+    sets = leaves.where("kind = 'set'").select("qid", "node", "field", F.lit(0).alias("off"), F.explode("tokens").alias("term"))
+    return begun.unionByName(within).unionByName(sets)
+
+
+def search(index: DataFrame, totals_: DataFrame, queries: DataFrame, default: list[str], fields: list[str] | None = None, most_terms: int = MOST_TERMS) -> DataFrame:
+    """(qid, part, doc, score) of documents that match queries (qid, query); BM25 summed over clauses and fields.
 
-    With clauses that must match, those that may only add to the score. A phrase counts its occurrences, and weighs the sum of its terms.
+    A phrase counts its occurrences and weighs the sum of its terms, without the last of one that ends in a beginning. Ranges, sets and * score 1.
+    In a group every clause after + must match and none after -; if there are none after + some clause has to match. A boost multiplies what a clause or
+    a group scores. * stands for documents with any token, field:* for those with one there. Queries that can't be read at all, null and empty ones, find nothing.
     """
-    asked = clauses(queries, fields or default)
-    terms = asked.select("qid", "n", "occur", F.explode(F.when(F.col("field").isNull(), F.array(*[F.lit(f) for f in default])).otherwise(F.array("field"))).alias("field"), F.size("tokens").alias("k"), F.posexplode("tokens").alias("off", "term"))
-    wanted = terms.select("field", "term").distinct()
-    few = wanted.limit(most_terms + 1).count() <= most_terms
-    hits = index.join(F.broadcast(wanted) if few else wanted, ["field", "term"], "left_semi")
+    names = fields or default
+    nodes = queries.select(F.col("qid").cast("long").alias("qid"), "query").mapInPandas(parsed(names), NODES)
+    # A row a level, for as many levels as parentheses may nest.
+    shape = nodes.groupBy("depth").agg(F.count("*").alias("n"), F.bool_or(F.col("kind").isin("prefix", "range", "set")).alias("many"), F.bool_or(F.col("kind") == "all").alias("every")).collect()
+    if not shape:
+        return index.select(F.lit(None).cast("long").alias("qid"), "part", "doc", F.lit(None).cast("double").alias("score")).limit(0)
+    near = F.broadcast if sum(r.n for r in shape) <= most_terms else (lambda x: x)
+    leaf = ["qid", "node", "parent", "depth", "occur", "kind", "boost", "slop"]
+    both = F.explode(F.when(F.col("field").isNull(), F.array(*[F.lit(f) for f in default])).otherwise(F.array("field"))).alias("field")
+    leaves = nodes.where("kind <> 'group'").select(*leaf, both, "tokens", F.size("tokens").alias("k"), "low", "low_in", "high", "high_in")
+    fixed = leaves.where("kind in ('text', 'prefix')").select("qid", "node", "field", "k", "kind", F.posexplode("tokens").alias("off", "term"))
+    terms = fixed.where("kind = 'text' or off < k - 1").select("qid", "node", "field", "off", "term", F.lit(True).alias("weighs"))
+    if any(r.many for r in shape):
+        terms = terms.unionByName(expanded(index, leaves).withColumn("weighs", F.lit(False)))
+    many = terms.limit(most_terms + 1).count()
+    of_terms = F.broadcast if many <= most_terms else (lambda x: x)
+    of_parts = F.broadcast if many * totals_.limit(most_terms + 1).count() <= most_terms else (lambda x: x)
+    hits = index.join(of_terms(terms.select("field", "term").distinct()), ["field", "term"], "left_semi")
     df = hits.groupBy("part", "field", "term").agg(F.count("*").alias("df"))
     # A row for each term that is asked, part and field; totals have one for each part and field.
-    idf = df.join(F.broadcast(totals_), ["part", "field"]).select("part", "field", "term", "n", "total", F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf")).withColumnRenamed("n", "docs")
-    # Dealt by document, so that clauses and scores need no other shuffle.
-    dealt = by_document(hits.join(F.broadcast(idf) if few else idf, ["part", "field", "term"]))
-    met = dealt.join(F.broadcast(terms) if terms.limit(most_terms + 1).count() <= most_terms else terms, ["field", "term"])
-    one = met.where("k = 1").select("qid", "n", "occur", "part", "field", "doc", "len", "docs", "total", "idf", F.size("at").alias("tf"))
-    by = ["qid", "n", "occur", "k", "part", "field", "doc", "len", "docs", "total"]
+    idf = df.join(of_parts(totals_), ["part", "field"]).select("part", "field", "term", "n", "total", F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf")).withColumnRenamed("n", "docs")
+    dealt = by_document(hits.join(of_parts(idf), ["part", "field", "term"]))
+    own = nodes.where("kind <> 'group'").select(*leaf, F.size("tokens").alias("k"))
+    met = dealt.join(of_terms(terms), ["field", "term"]).join(near(own), ["qid", "node"])
+    place = [*leaf, "k", "part", "field", "doc", "len", "docs", "total"]
+    one = met.where("kind = 'text' and k = 1").select(*place, "idf", F.size("at").alias("tf"))
+    weighed = F.sum(F.when(F.col("weighs"), F.col("idf")).otherwise(0.0)).alias("idf")
     # Occurrences begin where every term of the phrase is at its own distance.
-    starts = met.where("k > 1").select(*by, "idf", "off", F.explode("at").alias("at")).groupBy(*by, (F.col("at") - F.col("off")).alias("start")).agg(F.count("*").alias("m"), F.sum("idf").alias("idf")).where("m = k")
-    phrase = starts.groupBy(*by).agg(F.max("idf").alias("idf"), F.count("*").cast("int").alias("tf")).drop("k")
-    both = one.unionByName(phrase)
+    phrases = met.where("k > 1 and slop = 0 and kind in ('text', 'prefix')").select(*place, "idf", "weighs", "off", F.explode("at").alias("at"))
+    starts = phrases.groupBy(*place, (F.col("at") - F.col("off")).alias("start")).agg(F.count("*").alias("m"), weighed).where("m = k")
+    exact = starts.groupBy(*place).agg(F.max("idf").alias("idf"), F.count("*").cast("int").alias("tf"))
+    # Loose phrases: from a first term on, each further one at its earliest place that is no earlier than its distance from the one before.
+    rest = F.slice("p", 2, F.size("p"))
+    ends = F.transform(F.col("p")[0]["at"], lambda x: F.aggregate(rest, x, lambda a, t: F.array_min(F.filter(t["at"], lambda y: y - t["off"] >= a)) - t["off"]) - x)
+    loose = met.where("k > 1 and slop > 0").groupBy(*place).agg(F.array_sort(F.collect_list(F.struct("off", "at"))).alias("p"), weighed).where(F.size("p") == F.col("k"))
+    loose = loose.select(*place, "idf", F.size(F.filter(ends, lambda d: d <= F.col("slop"))).alias("tf")).where("tf > 0")
     weight = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / (F.col("total") / F.col("docs"))))
-    each = both.groupBy("qid", "n", "occur", "part", "doc").agg(F.sum(weight).alias("w"))
-    found = each.groupBy("qid", "part", "doc").agg(F.sum(F.when(F.col("occur") != "-", F.col("w"))).alias("score"), F.count_if(F.col("occur") == "+").alias("had"), F.count_if(F.col("occur") == "-").alias("no"))
-    musts = asked.groupBy("qid").agg(F.count_if(F.col("occur") == "+").alias("musts"))
-    return found.join(musts, "qid").where("no = 0 and had = musts and score is not null").select("qid", "part", "doc", "score")
+    scored = one.unionByName(exact).unionByName(loose).groupBy(*leaf, "part", "doc").agg((F.sum(weight) * F.col("boost")).alias("w"))
+    flat = met.where("kind in ('range', 'set')").select(*leaf, "part", "doc", F.col("boost").alias("w")).distinct()
+    scored = scored.unionByName(flat)
+    if any(r.every for r in shape):
+        asked = nodes.where("kind = 'all'").select(*leaf, F.col("field").alias("only"))
+        there = by_document(index.select("part", "doc", "field").distinct())
+        open_ = asked.where("only is null").join(there.select("part", "doc").distinct())
+        named = asked.where("only is not null").join(there, F.col("only") == F.col("field"))
+        scored = scored.unionByName(open_.select(*leaf, "part", "doc", F.col("boost").alias("w"))).unionByName(named.select(*leaf, "part", "doc", F.col("boost").alias("w")))
+    musts = nodes.where("parent is not null").groupBy("qid", "parent").agg(F.count_if(F.col("occur") == "+").alias("musts"))
+    groups = nodes.where("kind = 'group'").select("qid", F.col("node").alias("parent"), F.col("parent").alias("above"), F.col("occur").alias("own"), "boost").join(musts, ["qid", "parent"])
+    rows = scored.select("qid", "node", "parent", "depth", "occur", "part", "doc", "w")
+    deepest = max(r.depth for r in shape)
+    level = None
+    for depth in range(deepest, 0, -1):
+        here = rows.where(F.col("depth") == depth).select("qid", "parent", "occur", "part", "doc", "w")
+        here = here if level is None else here.unionByName(level)
+        each = here.groupBy("qid", "parent", "part", "doc").agg(F.sum(F.when(F.col("occur") != "-", F.col("w"))).alias("score"), F.count_if(F.col("occur") == "+").alias("had"), F.count_if(F.col("occur") == "-").alias("no"))
+        kept = each.join(near(groups), ["qid", "parent"]).where("no = 0 and had = musts and score is not null")
+        level = kept.select("qid", F.col("above").alias("parent"), F.col("own").alias("occur"), "part", "doc", (F.col("score") * F.col("boost")).alias("w"))
+    return level.select("qid", "part", "doc", F.col("w").alias("score"))

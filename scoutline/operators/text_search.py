@@ -6,13 +6,11 @@ Scores are floats and multiplied left to right, as single precision is what rank
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from scoutline.operators import classify as C
+from scoutline.operators.edit_tree import within
 
 K1, B = 1.2, 0.75
 LONGEST_TOKEN = 40
@@ -102,57 +100,23 @@ def rerank(hits: DataFrame, limit: int) -> DataFrame:
     return hits.withColumn("final", final.cast("double")).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= limit)
 
 
-def osa(a: str, b: str, most: int) -> int:
-    """Edit distance with transposition of neighbours at cost 1, each part edited once; most + 1 if it is above most."""
-    if abs(len(a) - len(b)) > most:
-        return most + 1
-    before: list[int] = []
-    last = list(range(len(b) + 1))
-    for i, x in enumerate(a, 1):
-        now = [i]
-        for j, y in enumerate(b, 1):
-            d = min(last[j] + 1, now[j - 1] + 1, last[j - 1] + (x != y))
-            if i > 1 and j > 1 and x == b[j - 2] and a[i - 2] == y:
-                d = min(d, before[j - 2] + 1)
-            now.append(d)
-        if min(now) > most and (i == 1 or min(last) > most):
-            return most + 1
-        before, last = last, now
-    return min(last[-1], most + 1)
-
-
-def fuzzy(symbols: DataFrame, queries: DataFrame, distance: int = 2) -> DataFrame:
-    """(qid, seq, distance) of symbols with a name token within ``distance`` of the whole query as it stands.
-
-    Distinct tokens meet the queries by deletion neighbourhoods: two strings within d edits
-    (transpositions included) have a common string that both reach by d deletions at most. Only those
-    that share one are measured, in Arrow batches.
-    """
-
-    def neighbours(column: str, key: str):
-        def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for f in frames:
-                out = []
-                for k, s in zip(f[key], f[column], strict=True):
-                    seen = level = {s}
-                    for _ in range(distance):
-                        level = {x[:i] + x[i + 1 :] for x in level for i in range(len(x))}
-                        seen = seen | level
-                    out += [(k, s, x) for x in seen]
-                yield pd.DataFrame(out, columns=["k", "s", "cut"])
-
-        return run
-
-    @F.pandas_udf("int")
-    def measured(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([osa(x, y, distance) for x, y in zip(a, b, strict=True)], dtype="int32")
+def fuzzy(symbols: DataFrame, queries: DataFrame, distance: int = 2, most_queries: int = MOST_TERMS) -> DataFrame:
+    """(qid, seq, distance) of symbols with a name token within ``distance`` of the whole query as it stands, transpositions of neighbours counted once.
 
+    The dictionary of distinct tokens is sorted and read as a tree of common beginnings, which all queries walk together (edit_tree.py). Queries
+    are sent to all tasks in blocks of about ``most_queries``. Null queries find nothing.
+    """
     tokens = symbols.select("seq", F.explode(F.array_distinct(tokenize(F.col("name")))).alias("token"))
-    kept = queries.where(F.char_length("query") <= LONGEST_TOKEN + distance).select("qid", "query")
-    left = tokens.select("token").distinct().withColumn("one", F.lit(1)).mapInPandas(neighbours("token", "one"), "k long, s string, cut string").select(F.col("s").alias("token"), "cut")
-    right = kept.mapInPandas(neighbours("query", "qid"), "k long, s string, cut string").select(F.col("k").alias("qid"), F.col("s").alias("query"), "cut")
-    near = left.join(right, "cut").select("qid", "query", "token").distinct().withColumn("distance", measured("token", "query")).where(F.col("distance") <= distance)
-    return near.join(tokens, "token").groupBy("qid", "seq").agg(F.min("distance").alias("distance"))
+    asked = queries.where(F.char_length("query") <= LONGEST_TOKEN + distance).select(F.col("qid").cast("long").alias("qid"), "query")
+    different = asked.select("query").distinct()
+    blocks = -(-different.count() // most_queries) or 1
+    words = tokens.select("token").distinct().repartitionByRange("token").sortWithinPartitions("token")
+    near = None
+    for i in range(blocks):
+        block = [r.query for r in (different if blocks == 1 else different.where(F.pmod(F.xxhash64("query"), F.lit(blocks)) == i)).collect()]
+        one = words.mapInArrow(within(block, distance), "query string, token string, distance int")
+        near = one if near is None else near.unionByName(one)
+    return asked.join(near, "query").join(tokens, "token").groupBy("qid", "seq").agg(F.min("distance").alias("distance"))
 
 
 def by_kind(symbols: DataFrame, kind: str, limit: int) -> DataFrame:

@@ -1,7 +1,15 @@
-"""Byte trigrams: an inverted index that prunes candidates of a substring search."""
+"""Byte trigrams: an inverted index that prunes candidates of a substring search.
+
+The files of a trigram are bitmaps, one for each bucket of 32,768 numbers. A query's bitmaps of a bucket are put together with AND, so that
+it costs a row for each trigram and bucket, whatever number of files these hold.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -18,6 +26,38 @@ def index(files: DataFrame) -> DataFrame:
     return files.select("path", F.explode(trigrams(F.col("content"))).alias("tri"))
 
 
+def bitmaps(files: DataFrame, number: str = "seq") -> DataFrame:
+    """(tri, bucket, bits, n): the files of a trigram among those of a bucket; files: (number from 0, content). Close numbers make few buckets."""
+    each = files.where(F.col(number) >= 0).select((F.col(number).cast("long") + 1).alias("id"), F.explode(trigrams(F.col("content"))).alias("tri"))
+    placed = each.select("tri", F.bitmap_bucket_number("id").alias("bucket"), F.bitmap_bit_position("id").alias("at"))
+    return placed.groupBy("tri", "bucket").agg(F.bitmap_construct_agg("at").alias("bits")).withColumn("n", F.bitmap_count("bits"))
+
+
+def _numbers(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The numbers of the set bits."""
+    for b in batches:
+        for qid, bucket, bits in zip(*(b.column(c) for c in ("qid", "bucket", "bits")), strict=True):
+            at = np.flatnonzero(np.unpackbits(np.frombuffer(bits.as_buffer(), np.uint8), bitorder="little"))
+            # Buckets and numbers are counted from 1, each bucket of 8 bits for every byte of a bitmap.
+            ids = (bucket.as_py() - 1) * len(bits.as_buffer()) * 8 + at
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(ids), qid.as_py()), pa.int64()), pa.array(ids, pa.int64())], names=["qid", "id"])
+
+
+def matching(index: DataFrame, queries: DataFrame, most_terms: int = 1_000_000) -> DataFrame:
+    """(qid, id) of files that hold all trigrams of the query, by bitmaps. A query below three bytes has one row, of null id: all files.
+
+    A query with a trigram that no file has ends there. In a bucket that lacks one of its trigrams no bitmap is read.
+    """
+    asked = queries.select(F.col("qid").cast("long").alias("qid"), trigrams(F.col("query")).alias("t"))
+    short = asked.where(F.size("t") == 0).select("qid", F.lit(None).cast("long").alias("id"))
+    terms = asked.select("qid", F.size("t").alias("k"), F.explode("t").alias("tri"))
+    near = F.broadcast if terms.limit(most_terms + 1).count() <= most_terms else (lambda x: x)
+    counted = index.select("tri", "bucket").join(near(terms), "tri").groupBy("qid", "bucket", "k").agg(F.count("*").alias("has")).where("has = k").select("qid", "bucket")
+    alive = terms.join(counted, "qid").select("tri", "bucket", "qid", "k")
+    met = alive.join(index.select("tri", "bucket", "bits"), ["tri", "bucket"]).groupBy("qid", "bucket").agg(F.bitmap_and_agg("bits").alias("bits"))
+    return met.where(F.bitmap_count("bits") > 0).mapInArrow(_numbers, "qid long, id long").unionByName(short)
+
+
 def candidates(postings: DataFrame, queries: DataFrame) -> DataFrame:
     """(qid, path) of files that hold all trigrams of the query, a superset of the matches. A query below three bytes has one row, of null path: all files."""
     asked = queries.select("qid", trigrams(F.col("query")).alias("t"))

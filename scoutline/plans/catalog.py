@@ -47,6 +47,55 @@ def _(symbols):
     return found.groupBy("qid").agg(F.count("*").alias("n"))
 
 
+# Weights of terms by symbol and field, and the words of each field.
+WEIGHTS_SQL = """WITH f AS (SELECT seq, 'name' AS field, name AS text FROM symbols UNION ALL SELECT seq, 'content', content FROM symbols),
+tok AS (SELECT seq, field, [x for x in regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+') if x <> ''] w FROM f),
+ln AS (SELECT field, sum(len(w)) total, count(*) n FROM tok GROUP BY field),
+post AS (SELECT seq, field, len(w) AS l, term, count(*) AS tf FROM (SELECT *, unnest(w) AS term FROM tok) GROUP BY ALL),
+idf AS (SELECT field, term, ln(1 + (any_value(n) - count(*) + 0.5) / (count(*) + 0.5)) AS idf FROM post JOIN ln USING (field) GROUP BY ALL),
+tw AS (SELECT seq, field, term, idf * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * l / (total / n))) AS w FROM post JOIN ln USING (field) JOIN idf USING (field, term)),
+"""
+
+
+def syntax_scores(symbols, asked):
+    """Scores of all symbols for queries (qid, query) on name and content."""
+    fields = ["name", "content"]
+    index = query_syntax.positions(symbols, "seq", fields)
+    return query_syntax.search(index, query_syntax.totals(index, symbols), asked, fields).select("qid", "doc", F.round("score", 6).alias("score"))
+
+
+@query("R3_groups_and_boosts", "symbols", "words", sql=WEIGHTS_SQL + """a AS (SELECT qid, seq, sum(m * w) AS s FROM (SELECT qid, t1 AS term, 1 AS m FROM words UNION ALL SELECT qid, t2, 2 FROM words) JOIN tw USING (term) GROUP BY ALL),
+b AS (SELECT qid, seq, 0.5 * sum(w) AS s FROM (SELECT qid, 'content' AS field, c AS term FROM words UNION ALL SELECT qid, 'name', t3 FROM words) JOIN tw USING (field, term) GROUP BY ALL),
+x AS (SELECT qid, seq FROM words JOIN tw ON term = t3 AND field = 'content' JOIN (SELECT seq, term AS other FROM tw WHERE field = 'content') USING (seq) WHERE other = c)
+SELECT qid, seq AS doc, round(a.s + b.s, 6) AS score FROM a JOIN b USING (qid, seq) WHERE (qid, seq) NOT IN (SELECT (qid, seq) FROM x)""")
+def _(symbols, words):
+    """Either of two words, one with more weight, and either of two fields, with less; not where both others stand in the content."""
+    text = F.concat(F.lit("("), "t1", F.lit(" OR "), "t2", F.lit("^2) AND (content:"), "c", F.lit(" name:"), "t3", F.lit(")^0.5 AND NOT content:(+"), "t3", F.lit(" +"), "c", F.lit(")"))
+    return syntax_scores(symbols, words.select("qid", text.alias("query")))
+
+
+@query("R3_ranges_and_sets", "symbols", "words", sql=WEIGHTS_SQL + """r AS (SELECT DISTINCT qid, seq FROM words JOIN tw ON field = 'name' AND term >= least(t1, t2) AND term < greatest(t1, t2)),
+o AS (SELECT DISTINCT qid, seq FROM words JOIN tw ON field = 'name' AND term > t3), i AS (SELECT DISTINCT qid, seq FROM words JOIN tw ON field = 'content' AND term IN (c, t3))
+SELECT qid, seq AS doc, round(4.0 + CASE WHEN o.seq IS NULL THEN 0 ELSE 1 END, 6) AS score FROM r JOIN i USING (qid, seq) LEFT JOIN o USING (qid, seq)""")
+def _(symbols, words):
+    text = F.concat(F.lit("+name:["), F.least("t1", "t2"), F.lit(" TO "), F.greatest("t1", "t2"), F.lit("}^3 +content: IN ["), "c", F.lit(" "), "t3", F.lit("] name:>"), "t3")
+    return syntax_scores(symbols, words.select("qid", text.alias("query")))
+
+
+@query("R3_phrase_beginnings", "symbols", "words", sql=WEIGHTS_SQL + """m AS (SELECT qid, t1, tok.seq, field, len(w) AS l, len([i for i in range(1, len(w)) if w[i] = t1 AND starts_with(w[i + 1], substr(t2, 1, 3))]) AS tf FROM words JOIN post ON term = t1 JOIN tok USING (seq, field))
+SELECT qid, seq AS doc, round(sum(idf * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * l / (total / n)))), 6) AS score FROM m JOIN ln USING (field) JOIN idf ON idf.field = m.field AND idf.term = t1 WHERE tf > 0 GROUP BY ALL""")
+def _(symbols, words):
+    text = F.concat(F.lit('"'), "t1", F.lit(" "), F.left("t2", F.lit(3)), F.lit('"*'))
+    return syntax_scores(symbols, words.select("qid", text.alias("query")))
+
+
+@query("R3_loose_phrases", "symbols", "words", sql=WEIGHTS_SQL + """m AS (SELECT qid, t1, t3, tok.seq, field, len(w) AS l, len([i for i in range(1, len(w)) if w[i] = t1 AND list_contains(w[i + 1 : i + 3], t3)]) AS tf FROM words JOIN post ON term = t1 JOIN tok USING (seq, field))
+SELECT qid, seq AS doc, round(sum((a.idf + b.idf) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * l / (total / n)))), 6) AS score FROM m JOIN ln USING (field) JOIN idf a ON a.field = m.field AND a.term = t1 JOIN idf b ON b.field = m.field AND b.term = t3 WHERE tf > 0 GROUP BY ALL""")
+def _(symbols, words):
+    text = F.concat(F.lit('"'), "t1", F.lit(" "), "t3", F.lit('"~2'))
+    return syntax_scores(symbols, words.select("qid", text.alias("query")))
+
+
 # --- navigation, state -----------------------------------------------------------------------------
 
 

@@ -49,6 +49,9 @@ DEFS = {
         SELECT seq AS qid, seq % 5 AS form, t1, t2, c, CASE seq % 5 WHEN 0 THEN concat(t1, '_', t2) WHEN 1 THEN concat('+', t1, ' ', t2) WHEN 2 THEN concat(t1, ' -', t2)
                WHEN 3 THEN concat('name:', t1, ' AND content:', c) ELSE concat('"', t1, ' ', t2, '" OR nowhere:', c) END AS query
         FROM (SELECT cast(floor(seq / 20) as bigint) AS seq, split_part(name, '_', 1) AS t1, split_part(name, '_', 2) AS t2, split_part(content, ' ', 3) AS c FROM {symbols} WHERE seq % 20 = 0)""",
+    # Three words of a name and one of the content, for queries in the further syntax; a question for every twentieth symbol.
+    "words": """
+        SELECT seq AS qid, split_part(name, '_', 1) AS t1, split_part(name, '_', 2) AS t2, split_part(name, '_', 3) AS t3, lower(split_part(content, ' ', 6)) AS c FROM {symbols} WHERE seq % 20 = 0""",
     # Rust files of up to four functions, some with bodies of more than 500 bytes.
     "rust": f"""
         SELECT doc_id, concat('/src/m', cast(doc_id as string), '.rs') AS path, concat(CASE WHEN doc_id % 2 = 0 THEN concat('//! Module ', cast(doc_id as string)) ELSE 'use std::fmt;' END, chr(10), {", ".join(

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from scoutline.operators import classify as C
-from scoutline.operators import commits, documents, hybrid, memory, query_language, rust_source, state, text_search, tickets, trigrams
+from scoutline.operators import commits, documents, hybrid, memory, query_language, rust_source, state, text_search, tickets, top_k, trigrams, vector_index
 from scoutline.operators import navigation as N
 from scoutline.plans.fixtures import cte, frame
 from scoutline.sources import project
@@ -254,21 +254,21 @@ def ranked(scores: DataFrame, k: int, *by: str) -> DataFrame:
 
 @query("R1_R2_R3_W3_keyword_search", "symbols", "terms", sql=BM25_SQL.replace("WITH f", "WITH base AS (SELECT seq, name, content, 'all' AS p FROM symbols), f") + "SELECT qid, doc, score, rank FROM (SELECT qid, doc, round(score, 6) AS score, row_number() OVER (PARTITION BY qid ORDER BY round(score, 6) DESC, doc)::INT AS rank FROM sc) WHERE rank <= 10")
 def _(symbols, terms):
-    index = text_search.postings(symbols, "seq", ["name", "content"])
-    return ranked(text_search.bm25(index, terms, symbols, "seq"), 10).select("qid", "doc", "score", "rank")
+    return text_search.top_k(top_k.best(symbols, "seq", ["name", "content"], terms, 10, digits=6), 10).select("qid", "doc", "score", "rank")
 
 
 @query("R4_source_boost", "symbols", "terms", sql=BM25_SQL.replace("WITH f", f"WITH base AS (SELECT seq, name, content, 'all' AS p, {type_sql('file')} AS t FROM symbols), f") + "SELECT qid, doc, score, rank FROM (SELECT qid, doc, s AS score, row_number() OVER (PARTITION BY qid ORDER BY s DESC, doc)::INT AS rank FROM (SELECT qid, doc, round(score + CASE WHEN t = 'SourceCode' THEN 0.5 * (score + (SELECT ln(1 + (count(*) - count(*) FILTER (t = 'SourceCode') + 0.5) / (count(*) FILTER (t = 'SourceCode') + 0.5)) FROM base)) ELSE 0 END, 6) AS s FROM sc JOIN base ON doc = seq)) WHERE rank <= 10")
 def _(symbols, terms):
-    index = text_search.postings(symbols, "seq", ["name", "content"])
-    return ranked(text_search.source_boosted(text_search.bm25(index, terms, symbols, "seq"), symbols, "seq", C.document_type(F.col("file"))), 10).select("qid", "doc", "score", "rank")
+    """The boost keeps the order inside source code and inside the rest, so the best of both hold the best of all."""
+    kind = C.document_type(F.col("file"))
+    found = top_k.best(symbols, "seq", ["name", "content"], terms, 10, within=kind == "SourceCode")
+    return ranked(text_search.source_boosted(found, symbols, "seq", kind), 10).select("qid", "doc", "score", "rank")
 
 
 @query("R8_W4_D4_triple_search", "symbols", "terms", sql=BM25_SQL.replace("WITH f", f"WITH base AS (SELECT seq, name, content, CASE WHEN t IN ('SourceCode', 'Test') THEN 'code' WHEN t = 'Documentation' THEN 'docs' ELSE 'notes' END AS p FROM (SELECT *, {type_sql('file')} AS t FROM symbols)), f") + "SELECT qid, part, doc, score, rank FROM (SELECT qid, part, doc, round(score, 6) AS score, row_number() OVER (PARTITION BY qid, part ORDER BY round(score, 6) DESC, doc)::INT AS rank FROM sc) WHERE rank <= CASE part WHEN 'code' THEN 10 WHEN 'docs' THEN 5 ELSE 3 END")
 def _(symbols, terms):
     part = C.content_type(C.document_type(F.col("file")))
-    index = text_search.postings(symbols, "seq", ["name", "content"], part)
-    return hybrid.limited(text_search.bm25(index, terms, symbols, "seq", part).withColumn("score", F.round("score", 6)), "part").select("qid", "part", "doc", "score", "rank")
+    return hybrid.limited(top_k.best(symbols, "seq", ["name", "content"], terms, 10, part, digits=6), "part").select("qid", "part", "doc", "score", "rank")
 
 
 @query("A12_triple_counts", "symbols", sql=f"WITH t AS (SELECT CASE WHEN t IN ('SourceCode', 'Test') THEN 'code' WHEN t = 'Documentation' THEN 'docs' ELSE 'notes' END AS p FROM (SELECT {type_sql('file')} AS t FROM symbols)) SELECT coalesce(p, 'total') AS part, count(*) AS n FROM t GROUP BY ROLLUP (p)")
@@ -342,8 +342,8 @@ TRI_SQL = "WITH t AS (SELECT DISTINCT path, hex(substr(b, i, 1)) || hex(substr(b
 
 @query("R18_J11_trigram_candidates", "symbols", sql="WITH src AS (SELECT seq, content FROM symbols), q AS (SELECT seq AS qid, split_part(content, ' ', 2) AS query FROM symbols WHERE seq % 20 = 0) SELECT qid, seq AS path FROM q, src WHERE list_has_all([substr(content, i, 3) for i in range(1, greatest(length(content) - 1, 1))], [substr(query, i, 3) for i in range(1, length(query) - 1)])")
 def _(symbols):
-    files = symbols.select(F.col("seq").alias("path"), "content")
-    return trigrams.candidates(trigrams.index(files), symbols.where("seq % 20 = 0").select(F.col("seq").alias("qid"), F.split_part("content", F.lit(" "), F.lit(2)).alias("query")))
+    asked = symbols.where("seq % 20 = 0").select(F.col("seq").alias("qid"), F.split_part("content", F.lit(" "), F.lit(2)).alias("query"))
+    return trigrams.matching(trigrams.bitmaps(symbols), asked).select("qid", F.col("id").alias("path"))
 
 
 @query("A9_R19_trigram_stats", "symbols", sql="WITH t AS (SELECT DISTINCT seq, substr(content, i, 3) tri FROM (SELECT seq, content, unnest(range(1, length(content) - 1)) i FROM symbols WHERE seq % 3 <> 0)) SELECT count(*) AS trigrams, avg(n) AS avg_files, (SELECT count(DISTINCT seq) FROM t) AS files FROM (SELECT tri, count(*) n FROM t GROUP BY tri)")
@@ -756,13 +756,13 @@ def asked(embeddings: DataFrame) -> DataFrame:
 
 @query("D1_nearest", "embeddings", sql=f"SELECT qid, vec_id, round(score, 6) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, vec_id)::INT AS rank FROM ({COS_SQL})) WHERE rank <= 10")
 def _(embeddings):
-    return hybrid.nearest(asked(embeddings), embeddings, 10).select("qid", "vec_id", F.round("score", 6).alias("score"), "rank")
+    return vector_index.exact(asked(embeddings), embeddings, 10).select("qid", "vec_id", F.round("score", 6).alias("score"), "rank")
 
 
 @query("D2_D3_fusion", "embeddings", sql=f"WITH a AS (SELECT qid, vec_id AS doc, row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, vec_id) AS r FROM ({COS_SQL})), b AS (SELECT qid, doc, row_number() OVER (PARTITION BY qid ORDER BY abs(doc - qid), doc) AS r FROM a), s AS (SELECT coalesce(x.qid, y.qid) AS qid, coalesce(x.doc, y.doc) AS doc, coalesce(1.0::DOUBLE / (60 + x.r), 0) + coalesce(1.0::DOUBLE / (60 + y.r), 0) AS score FROM (SELECT * FROM a WHERE r <= 50) x FULL JOIN (SELECT * FROM b WHERE r <= 50) y ON x.qid = y.qid AND x.doc = y.doc) SELECT qid, doc, round(score, 9) AS score FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, doc) n FROM s) WHERE score >= 0.0161 OR n <= 3")
 def _(embeddings):
     w = Window.partitionBy("qid").orderBy(F.abs(F.col("doc") - F.col("qid")), "doc")
-    near = hybrid.nearest(asked(embeddings), embeddings, 50).select("qid", F.col("vec_id").alias("doc"), "rank")
+    near = vector_index.exact(asked(embeddings), embeddings, 50).select("qid", F.col("vec_id").alias("doc"), "rank")
     around = asked(embeddings).select("qid", F.explode(F.sequence(F.col("qid") - 50, F.col("qid") + 50)).alias("doc"))
     ids = around.join(embeddings.select(F.col("vec_id").alias("doc")), "doc", "left_semi").withColumn("rank", F.row_number().over(w))
     fused = hybrid.fuse(near, ids).withColumn("score", F.round("score", 9)).withColumn("part", F.lit("all"))

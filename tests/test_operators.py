@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from scoutline.functions import text as T
 from scoutline.operators import classify as C
-from scoutline.operators import commits, documents, hybrid, memory, navigation, query_language, rust_source, state, text_search, tickets, trigrams
+from scoutline.operators import commits, documents, edit_tree, hybrid, memory, navigation, query_language, rust_source, state, text_search, tickets, trigrams
 
 
 def one(spark, column):
@@ -64,17 +64,41 @@ def test_intents(spark, query, want):
     assert one(spark, query_language.intent(F.lit(query))) == want
 
 
+def osa(a, b, most):
+    """Edit distance with transpositions of neighbours at cost 1, each part edited once; most + 1 if it is above most."""
+    d = {(i, j): i + j for i in range(len(a) + 1) for j in range(len(b) + 1) if i == 0 or j == 0}
+    for i in range(1, len(a) + 1):
+        for j in range(1, len(b) + 1):
+            d[i, j] = min(d[i - 1, j] + 1, d[i, j - 1] + 1, d[i - 1, j - 1] + (a[i - 1] != b[j - 1]))
+            if i > 1 and j > 1 and a[i - 1] == b[j - 2] and a[i - 2] == b[j - 1]:
+                d[i, j] = min(d[i, j], d[i - 2, j - 2] + 1)
+    return min(d[len(a), len(b)], most + 1)
+
+
+@pytest.mark.parametrize("pairs", [edit_tree.PAIRS, 5])
+def test_walk_over_a_tree_of_words(monkeypatch, pairs):
+    monkeypatch.setattr(edit_tree, "PAIRS", pairs)
+    r = random.Random(pairs)
+    words = sorted({"".join(r.choices("abé", k=r.randrange(1, 7))) for _ in range(120)})
+    asked = ["", "a", *("".join(r.choices("abcé", k=r.randrange(1, 8))) for _ in range(30))]
+    for most in (0, 1, 2):
+        want = {(q, w, d) for q, a in enumerate(asked) for w, b in enumerate(words) if (d := osa(b, a, most)) <= most}
+        got = [*edit_tree.near(edit_tree.Tree(words), asked, most)]
+        assert len(got) == len(want) and set(got) == want
+    assert [*edit_tree.near(edit_tree.Tree([]), asked, 2)] == [] == [*edit_tree.near(edit_tree.Tree(words), [], 2)]
+
+
 def test_osa_and_fuzzy_against_all_pairs(spark):
-    assert text_search.osa("ab", "ba", 2) == 1
-    assert text_search.osa("ca", "abc", 3) == 3
-    assert text_search.osa("functon", "function", 2) == 1
-    assert text_search.osa("abcdef", "uvwxyz", 2) == 3
+    assert osa("ab", "ba", 2) == 1
+    assert osa("ca", "abc", 3) == 3
+    assert osa("functon", "function", 2) == 1
+    assert osa("abcdef", "uvwxyz", 2) == 3
     r = random.Random(2)
     names = ["".join(r.choice("abc") for _ in range(r.randrange(1, 7))) for _ in range(60)]
     asked = ["".join(r.choice("abc") for _ in range(r.randrange(1, 7))) for _ in range(12)]
     s = table(spark, list(enumerate(names)), "seq long, name string")
     got = {tuple(x) for x in text_search.fuzzy(s, table(spark, list(enumerate(asked)), "qid long, query string")).collect()}
-    assert got == {(q, i, d) for q, a in enumerate(asked) for i, n in enumerate(names) if (d := text_search.osa(n, a, 2)) <= 2}
+    assert got == {(q, i, d) for q, a in enumerate(asked) for i, n in enumerate(names) if (d := osa(n, a, 2)) <= 2}
 
 
 def test_as_of_join_takes_the_last_definition_on_ties(spark):
@@ -101,6 +125,11 @@ def test_trigrams_of_short_and_wide_texts(spark):
     q = table(spark, [(1, "ello"), (2, "zz"), (3, "né"), (4, "nope")], "qid int, query string")
     got = {(r.qid, r.path) for r in trigrams.expanded(trigrams.candidates(trigrams.index(files), q), files).collect()}
     assert got == {(1, "a"), (1, "b"), (2, "a"), (2, "b"), (2, "c"), (2, "d"), (3, "c")}
+    numbered = table(spark, [(0, "hello"), (40_000, "yellow"), (7, "né"), (8, "x"), (40_001, "yellow"), (9, None)], "seq long, content string")
+    q = table(spark, [(1, "ello"), (2, "zz"), (3, "né"), (4, "nope"), (5, "yell"), (6, "hellow"), (7, None)], "qid int, query string")
+    for most in (100, 0):
+        got = {(r.qid, r.id) for r in trigrams.matching(trigrams.bitmaps(numbered), q, most).collect()}
+        assert got == {(1, 0), (1, 40_000), (1, 40_001), (2, None), (3, 7), (5, 40_000), (5, 40_001)}
     assert trigrams.stats(trigrams.index(files.limit(0))).first().avg_files == 0.0
 
 
