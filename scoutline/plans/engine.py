@@ -7,24 +7,31 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.utils import AnalysisException
 
 from scoutline.operators import classify as C
 from scoutline.operators import documents, memory, navigation, query_language, query_syntax, rust_source, state, text_search
 from scoutline.session import ship
-from scoutline.sources import project, sinks
+from scoutline.sources import project, sinks, versions
 from scoutline.streaming import watch
 
 #: Text fields of the index, of which name and content are asked where a query names none.
 FIELDS = ["name", "signature", "fqn", "content"]
+#: Text fields of an interaction, and segments of its index from which they are merged.
+RECALLED, SEGMENTS = ["input_text", "response_text"], 16
+RECALLED_POSTINGS = "part string, field string, doc long, len int, term string, at array<int>"
+STATE = "path string, mtime long, size long, version int"
+REFS = "name string, file string, line int, col int, context string"
+POSTINGS = "part string, field string, doc long, len int, term string, at array<int>, file string"
 SYMBOLS = "name string, kind string, file string, line int, col int, visibility string, parent string, signature string, content string"
 
 
 class Engine:
-    """Tables symbols, refs and state under ``folder``, built from the project under ``root``."""
+    """Tables symbols, refs, postings, totals and state under ``folder``, built from the project under ``root``."""
 
     def __init__(self, spark: SparkSession, root: str, folder: str):
         self.spark, self.root, self.folder = spark, root.rstrip("/"), folder.rstrip("/")
+        self.store = versions.Store(spark, f"{self.folder}/index")
+        self.recalled = versions.Store(spark, f"{self.folder}/recalled")
         ship(spark)
 
     # --- build
@@ -46,56 +53,76 @@ class Engine:
         return self.files().select("path", "mtime", "size")
 
     def index(self) -> dict[str, int]:
-        """Builds the index, or brings it up to date by file; returns how many files were parsed and removed."""
-        now = self.snapshot()
-        try:
-            was = sinks.read_state(self.spark, f"{self.folder}/state").select("path", "mtime", "size")
-        except AnalysisException:
-            was = now.limit(0)
-        changed = state.changes(was, now).persist()
-        files = self.files().join(state.to_index(changed), "path", "left_semi")
+        """Builds the index, or brings it up to date by file; returns how many files were parsed and removed.
+
+        Each changed file is parsed once and its rows are written; everything else is made from those. All tables change with one commit.
+        """
+        store, last = self.store, self.store.manifest()
+        listed = store.stage("state", self.snapshot().withColumn("version", F.lit(state.VERSION)))
+        now = store.staged(listed, STATE)
+        size = now.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
+        n = last["facts"].get("buckets") or versions.buckets_for(size)
+        if n < versions.buckets_for(size) // 4:  # much has come since: all rows are dealt anew
+            last, n = last | {"tables": {}}, versions.buckets_for(size)
+        was = self.state().select("path", "mtime", "size") if last["tables"] else now.select("path", "mtime", "size").limit(0)
+        changed = store.staged(store.stage("changes", state.changes(was, now.select("path", "mtime", "size"))), "path string, change string")
+        counts = {r.change: r["count"] for r in changed.groupBy("change").count().collect()}
         # A modified file may have no rows of a kind any more: what it had goes in any case.
-        gone = changed.where("change in ('deleted', 'modified')").select(F.col("path").alias("file"))
-        symbols, refs = self.parsed(files)
-        symbols = symbols.withColumn("seq", F.xxhash64("file", "line", "col", "kind", "name")).withColumn("fqn", navigation.fqn(F.col("parent"), F.col("name")))
-        postings = query_syntax.positions(symbols, "seq", FIELDS).join(symbols.select(F.col("seq").alias("doc"), "file").distinct(), "doc")
-        for name, rows in (("symbols", symbols.drop("seq", "fqn")), ("refs", refs), ("postings", postings)):
-            sinks.replace_files(self.spark, rows, gone, f"{self.folder}/{name}")
-        counts = {"parsed": state.to_index(changed).count(), "removed": changed.where("change = 'deleted'").count()}
-        sinks.write_state(self.spark, now, f"{self.folder}/state")
-        sinks.swapped(self.spark, query_syntax.totals(self.postings(), self.symbols()), f"{self.folder}/totals")
-        changed.unpersist()
-        return counts
+        gone = changed.where("change <> 'unchanged'").select(F.col("path").alias("file"))
+        touched = [r[0] for r in gone.select(versions.bucket(F.col("file"), n)).distinct().collect()]  # MOST_BUCKETS at most
+        if not touched:
+            store.clean()
+            return {"parsed": 0, "removed": 0}
+        symbols, refs = self.parsed(self.files().join(state.to_index(changed), "path", "left_semi"))
+        symbols = store.staged(store.stage("parsed", symbols), SYMBOLS)
+        named = symbols.withColumn("seq", F.xxhash64("file", "line", "col", "kind", "name")).withColumn("fqn", navigation.fqn(F.col("parent"), F.col("name")))
+        postings = query_syntax.positions(named, "seq", FIELDS).join(named.select(F.col("seq").alias("doc"), "file").distinct(), "doc")
+        add, drop = {}, {}
+        for name, new, schema in (("symbols", symbols, SYMBOLS), ("refs", refs, REFS), ("postings", postings, POSTINGS)):
+            held = store.read(name, schema, touched) if last["tables"] else new.limit(0)
+            kept = held.join(gone, "file", "left_anti").select(held.columns).unionByName(new.select(held.columns))
+            add[name] = store.stage(name, kept.withColumn("bucket", versions.bucket(F.col("file"), n)), by_bucket=True)
+            ends = tuple(f"/bucket={b}" for b in touched)
+            drop[name] = [f for f in last["tables"].get(name, []) if f.endswith(ends)]
+        add["totals"] = store.stage("totals", self._sums(store, add).repartition(1), by_bucket=True)
+        drop["totals"] = [f for f in last["tables"].get("totals", []) if f.endswith(ends)]
+        add["state"], drop["state"] = listed, last["tables"].get("state", [])
+        store.commit(add, drop, last, buckets=n)
+        return {"parsed": counts.get("added", 0) + counts.get("modified", 0), "removed": counts.get("deleted", 0)}
+
+    @staticmethod
+    def _sums(store: versions.Store, add: dict[str, list[str]]) -> DataFrame:
+        """Documents (field empty) and tokens by field of each rewritten bucket, from its rows alone."""
+        at = F.regexp_extract(F.input_file_name(), "/bucket=([0-9]+)/", 1).cast("int").alias("bucket")
+        docs = store.staged(add["symbols"], SYMBOLS).select(at).groupBy("bucket").agg(F.count("*").alias("total")).select("bucket", F.lit("all").alias("part"), F.lit("").alias("field"), "total")
+        tokens = store.staged(add["postings"], POSTINGS).select(at, "part", "field", F.size("at").alias("n")).groupBy("bucket", "part", "field").agg(F.sum("n").alias("total"))
+        return docs.unionByName(tokens)
 
     def watch(self, on_change, checkpoint: str, every: str = "2 seconds"):
         """Keeps the index up to date with the project; on_change(events, result of index) is called after every change."""
-        known = lambda: sinks.read_state(self.spark, f"{self.folder}/state").select("path", "mtime", "size")
+        known = lambda: self.state().select("path", "mtime", "size")
         return watch.watch_snapshots(self.spark, self.snapshot, known, lambda events, _: on_change(events.collect(), self.index()), checkpoint, every)
 
     def clear(self) -> None:
-        for name in ("symbols", "refs", "postings", "totals", "state"):
-            sinks.clear(self.spark, f"{self.folder}/{name}")
+        self.store.clear()
+
+    def state(self) -> DataFrame:
+        return state.checked_version(self.store.read("state", STATE))
 
     def symbols(self) -> DataFrame:
-        rows = self._table("symbols", SYMBOLS)
         # A stable number for ties: by place, the method of a place after the function.
-        return rows.withColumn("seq", F.xxhash64("file", "line", "col", "kind", "name"))
+        return self.store.read("symbols", SYMBOLS).withColumn("seq", F.xxhash64("file", "line", "col", "kind", "name"))
 
     def refs(self) -> DataFrame:
-        return self._table("refs", "name string, file string, line int, col int, context string")
+        return self.store.read("refs", REFS)
 
     def postings(self) -> DataFrame:
-        return self._table("postings", "part string, field string, doc long, len int, term string, at array<int>, file string")
-
-    def _table(self, name: str, schema: str) -> DataFrame:
-        """A saved table; empty before the first file with such rows."""
-        try:
-            return self.spark.read.schema(f"{schema}, bucket int").parquet(f"{self.folder}/{name}").drop("bucket")
-        except AnalysisException:
-            return self.spark.createDataFrame([], schema)
+        return self.store.read("postings", POSTINGS)
 
     def totals(self) -> DataFrame:
-        return self.spark.read.parquet(f"{self.folder}/totals")
+        """(part, field, n, total), summed over the buckets."""
+        sums = self.store.read("totals", "part string, field string, total long").groupBy("part", "field").agg(F.sum("total").alias("total"))
+        return sums.where("field <> ''").join(sums.where("field = ''").select("part", F.col("total").alias("n")), "part")
 
     # --- ask
 
@@ -142,7 +169,7 @@ class Engine:
         return navigation.list_symbols(self.symbols(), file, kind)
 
     def index_stats(self) -> DataFrame:
-        return state.index_stats(sinks.read_state(self.spark, f"{self.folder}/state"), self.symbols())
+        return state.index_stats(self.state(), self.symbols())
 
     def stats(self) -> DataFrame:
         return navigation.graph_stats(self.symbols(), self.refs())
@@ -164,7 +191,33 @@ class Engine:
         return rows.select("id", "session_id", "timestamp", F.col("timestamp").alias("line_no"), F.col("input.text").alias("input_text"), F.col("response.text").alias("response_text"), F.col("response.type").alias("type"))
 
     def remember(self, rows: DataFrame) -> None:
+        """Appends interactions, and a segment of their postings."""
+        store = self.recalled
+        kept = store.stage("new", rows)
+        rows = self.spark.read.schema(rows.schema).parquet(*[f"{store.folder}/{f}" for f in kept])  # written once, so that both see the same rows
         sinks.append_interactions(rows, f"{self.folder}/memory")
+        self._segment(rows.select("id", F.col("input.text").alias("input_text"), F.col("response.text").alias("response_text")))
+
+    def _segment(self, texts: DataFrame) -> None:
+        """Indexes texts (id, input_text, response_text) as one more segment; from SEGMENTS on all are merged into one."""
+        store, last = self.recalled, self.recalled.manifest()
+        held = texts.withColumn("seq", F.xxhash64("id"))
+        index = store.stage("postings", query_syntax.positions(held, "seq", RECALLED))
+        docs = store.stage("docs", held.select("seq"))
+        add, drop = {"postings": index, "docs": docs}, {}
+        if len(last["tables"].get("docs", [])) + 1 >= SEGMENTS:
+            for name, schema in (("postings", RECALLED_POSTINGS), ("docs", "seq long")):
+                drop[name] = last["tables"][name]
+                add[name] = store.stage(name, store.staged([*drop[name], *add[name]], schema).coalesce(8))
+        store.commit(add, drop, last)
+
+    def repair_memory(self) -> int:
+        """Indexes interactions that no segment holds, as after a crash between the two; returns how many."""
+        lost = self.interactions().withColumn("seq", F.xxhash64("id")).join(self.recalled.read("docs", "seq long"), "seq", "left_anti")
+        n = lost.count()
+        if n:
+            self._segment(lost.select("id", "input_text", "response_text"))
+        return n
 
     def add(self, text: str, answer: str, session: str | None = None) -> None:
         """Appends one interaction of now."""
@@ -184,9 +237,13 @@ class Engine:
         return now
 
     def memory_search(self, query: str, limit: int = 10) -> DataFrame:
+        """(rank, id, input_text, response_text, score), asked of the saved segments together."""
+        return self.memory_searches(self.spark.createDataFrame([(1, query)], "qid long, query string"), limit).drop("qid").orderBy("rank")
+
+    def memory_searches(self, queries: DataFrame, limit: int = 10) -> DataFrame:
+        """(qid, rank, id, input_text, response_text, score) for many queries (qid, query)."""
+        index, docs = self.recalled.read("postings", RECALLED_POSTINGS), self.recalled.read("docs", "seq long")
+        totals = index.groupBy("part", "field").agg(F.sum(F.size("at")).alias("total")).join(docs.agg(F.count("*").alias("n")))  # one row on the right
+        hits = text_search.top_k(query_syntax.search(index, totals, queries, RECALLED), limit)
         rows = self.interactions().withColumn("seq", F.xxhash64("id"))
-        q = self.spark.createDataFrame([(1, query)], "qid long, query string")
-        fields = ["input_text", "response_text"]
-        index = query_syntax.positions(rows, "seq", fields)
-        hits = text_search.top_k(query_syntax.search(index, query_syntax.totals(index, rows), q, fields), limit)
-        return hits.join(rows, F.col("doc") == F.col("seq")).select("rank", "id", "input_text", "response_text", "score").orderBy("rank")
+        return hits.join(rows, F.col("doc") == F.col("seq")).select("qid", "rank", "id", "input_text", "response_text", "score")

@@ -1,8 +1,12 @@
 import json
 import time
 
+import pytest
+
+from scoutline.plans import engine
 from scoutline.plans.engine import Engine
 from scoutline.plans.tools import Tools
+from scoutline.sources import versions
 from scoutline.sources.project import INTERACTION
 
 LIB = """//! Small library
@@ -56,6 +60,109 @@ def test_a_project_from_scan_to_answers(spark, tmp_path):
     e.clear()
 
 
+class Crash(Exception):
+    pass
+
+
+def crashing(monkeypatch, store, name, at):
+    """The at-th call of a method of the store fails; returns the calls."""
+    calls, real = [], getattr(store, name)
+
+    def call(*a, **k):
+        calls.append(a)
+        if len(calls) == at:
+            raise Crash
+        return real(*a, **k)
+
+    monkeypatch.setattr(store, name, call)
+    return calls
+
+
+@pytest.mark.parametrize(("name", "at"), [("stage", 4), ("stage", 7), ("_write", 1), ("clean", 1)])
+def test_an_update_that_stops_anywhere_leaves_the_index_whole(spark, tmp_path, name, at):
+    root = tmp_path / "p"
+    (root / "src").mkdir(parents=True)
+    (root / "src/a.rs").write_text("fn first() {}\nfn second() { first(); }\n")
+    (root / "src/b.rs").write_text("fn stays() {}\n")
+    e = Engine(spark, str(root), str(tmp_path / "index"))
+    e.index()
+    rows = lambda: (sorted(r.name for r in e.symbols().collect()), sorted(r.name for r in e.refs().collect()), sorted((r.field, r.n, r.total) for r in e.totals().collect()), sorted(r.path for r in e.state().collect()))
+    before, number = rows(), e.store.manifest()["number"]
+    (root / "src/a.rs").write_text("fn third() {}\n")
+    (root / "src/b.rs").unlink()
+    (root / "src/c.rs").write_text("fn fourth() { third(); }\n")
+    with pytest.MonkeyPatch.context() as m:
+        calls = crashing(m, e.store, name, at)
+        with pytest.raises(Crash):
+            e.index()
+        assert len(calls) == at
+    done = name == "clean"  # the manifest is there by then
+    assert (rows() == before) != done and e.store.manifest()["number"] == number + done
+    assert e.index() == ({"parsed": 0, "removed": 0} if done else {"parsed": 2, "removed": 1})
+    assert rows()[0] == ["fourth", "third"] and rows()[1] == ["third"] and rows()[3] == ["/src/a.rs", "/src/c.rs"]
+    name_, = [r for r in e.totals().collect() if r.field == "name"]
+    assert (name_.n, name_.total) == (2, 2)
+    kept = {f.split("/")[1] for folders in e.store.manifest()["tables"].values() for f in folders}
+    assert {p.name for p in (tmp_path / "index/index").glob("*/*") if p.is_dir()} >= kept
+    assert not [*(tmp_path / "index/index").glob("parsed/*")]
+
+
+def test_two_writers_cannot_commit_the_same_number(spark, tmp_path):
+    a, b = (versions.Store(spark, str(tmp_path / "s")) for _ in range(2))
+    since = a.manifest()
+    b.commit({"t": b.stage("t", spark.range(3))}, since=since)
+    with pytest.raises(OSError, match="someone else"):
+        a.commit({"t": []}, since=since)
+    assert a.read("t", "id long").count() == 3 and a.read("none", "id long").count() == 0
+    assert versions.buckets_for(0) == 1 and versions.buckets_for(65 << 20) == 2 and versions.buckets_for(1 << 60) == versions.MOST_BUCKETS
+
+
+def test_each_changed_file_is_parsed_once(spark, tmp_path, monkeypatch):
+    root = tmp_path / "p"
+    root.mkdir()
+    for i in range(4):
+        (root / f"f{i}.rs").write_text(f"fn f{i}() {{ f{i}(); }}\n")
+    e = Engine(spark, str(root), str(tmp_path / "index"))
+    seen = spark.sparkContext.accumulator(0)
+    real = engine.rust_source.symbols
+
+    def counted(code):
+        def passed(batches):
+            for b in batches:
+                seen.add(b.num_rows)
+                yield b
+
+        return real(code.mapInArrow(passed, code.schema))
+
+    monkeypatch.setattr(engine.rust_source, "symbols", counted)
+    e.index()
+    assert seen.value == 4
+    (root / "f1.rs").write_text("fn g() {}\n")
+    e.index()
+    assert seen.value == 5
+
+
+def test_memory_segments_are_searched_together_and_merged(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(engine, "SEGMENTS", 3)
+    e = Engine(spark, str(tmp_path), str(tmp_path / "index"))
+    rows = [(str(i), i, "s", {"text": f"word{i} common"}, {"type": "Answer", "text": "rare" if i == 2 else "plain"}) for i in range(5)]
+    for r in rows:
+        e.remember(spark.createDataFrame([r], INTERACTION))
+        assert len(e.recalled.manifest()["tables"]["docs"]) <= 2
+    assert {r.id for r in e.memory_search("common").collect()} == {"0", "1", "2", "3", "4"}
+    assert [r.id for r in e.memory_search("+input_text:common +rare").collect()] == ["2"]
+    whole = Engine(spark, str(tmp_path), str(tmp_path / "other"))
+    whole.remember(spark.createDataFrame(rows, INTERACTION))
+    scores = lambda x: {r.id: round(r.score, 9) for r in x.memory_search("common rare word3").collect()}
+    assert scores(e) == scores(whole)
+    with pytest.MonkeyPatch.context() as m:
+        crashing(m, e, "_segment", 1)
+        with pytest.raises(Crash):
+            e.remember(spark.createDataFrame([("9", 9, "s", {"text": "lost"}, {"type": "Answer", "text": "x"})], INTERACTION))
+    assert e.memory_search("lost").collect() == [] and e.repair_memory() == 1 and e.repair_memory() == 0
+    assert [r.id for r in e.memory_search("lost").collect()] == ["9"]
+
+
 def test_ignored_files_are_not_indexed(spark, tmp_path):
     root = tmp_path / "p"
     (root / "src/gen").mkdir(parents=True)
