@@ -101,7 +101,9 @@ def record_id(path: str, offset: int) -> str:
 
 
 def warc_date(arc_date: str) -> str:
-    d = arc_date[:14].ljust(14, "0")
+    """A date of up to 14 digits; what is missing is the first month, day or hour."""
+    d = arc_date[:14]
+    d += "00000101000000"[len(d) :]
     return f"{d[:4]}-{d[4:6]}-{d[6:8]}T{d[8:10]}:{d[10:12]}:{d[12:14]}Z"
 
 

@@ -129,7 +129,8 @@ def mix_sources(docs: DataFrame, memberships: str | None = None, carry: tuple[st
     sources = F.coalesce(F.col(memberships), F.array()) if memberships else F.array(F.col("source"))
     sources = F.when(F.size(sources) == 0, F.array(F.lit(None).cast("string"))).otherwise(F.array_sort(F.array_distinct(sources)))
     size = F.coalesce(F.regexp_count("text", F.lit(WORDS)), F.lit(0)).cast("long")
-    rank = F.xxhash64(F.lit(SEED), F.col("doc_id"), sources)
+    # With the text, so that rows without a doc_id, or with one and the same, do not all have one rank.
+    rank = F.xxhash64(F.lit(SEED), F.col("doc_id"), sources, F.col("text"))
     pattern = F.to_json(sources, {"ignoreNullFields": "false"})
     with Scratch(spark) as scratch:
         sized = docs.select(size.alias("size"), pattern.alias("_p"), sources.alias("_s"), rank.alias("_u"))

@@ -13,8 +13,10 @@ from __future__ import annotations
 
 import html
 import re
+from collections import defaultdict
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
@@ -25,7 +27,7 @@ from scoutline.llm.shared import Scratch, parts
 # HTML element names by the part that they play.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript iframe noembed noframes xmp template".split())
-DROPPED = RAW | frozenset("head nav footer aside form button select option dialog object svg math canvas audio video map menu".split())
+DROPPED = RAW | frozenset("head nav footer aside form button select option dialog object svg canvas audio video map menu".split())
 BLOCKS = frozenset(
     "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
     "header hgroup hr html legend li main menu nav ol p pre search section summary table tbody td tfoot th thead tr ul caption".split()
@@ -48,6 +50,12 @@ NAMED = frozenset(
     "newsletter subscribe signup login sidebar sidenav nav navbar navigation menu breadcrumb breadcrumbs footer masthead comment comments respond disqus "
     "replies share sharing social related recommended widget skiplink pagination pager".split()
 )
+# Names of lists of links, which name prose as well, and words that say no more than where or what kind of box something is.
+LINKED = frozenset("menu nav navbar navigation breadcrumb breadcrumbs pagination pager related recommended share sharing social widget promo promotion notice sidebar".split())
+PLAIN = frozenset(
+    "site page main top bottom left right primary secondary global inner outer upper lower header title body content wrap wrapper container box bar block area section region zone slot unit "
+    "list item items link links button buttons icon icons form panel row col column group holder placeholder text message label thread post posts article articles story stories entry read reading".split()
+)
 TAG = re.compile(r"""<(/?)([A-Za-z][^\s/>\x00]*)((?:[^'">]|"[^"]*"|'[^']*')*+)>""")
 #: One attribute after the other: the name, and the value if there is one.
 ATTRIBUTE = re.compile(r"""([^\s/=>"'][^\s/=>]*)(?:\s*+=\s*+(?:"([^"]*)"|'([^']*)'|([^\s"'>][^\s>]*)))?""")
@@ -60,18 +68,18 @@ HEADINGS = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
 PAGES, SHARE, LEAST = 8, 0.01, 3
 #: So many texts beside a subtree stand for the content that it recurs with.
 BESIDE = 3
-#: Up to so many templates are broadcast, in a row a host; more meet the pages in a join.
+#: Up to so many templates are broadcast, 16 bytes each; more meet the pages in a join.
 BROADCAST = 2_000_000
 
 
 class Element:
-    __slots__ = ("tag", "dropped", "main", "parts", "hash", "holds_main", "named", "rank")
+    __slots__ = ("tag", "dropped", "main", "parts", "hash", "holds_main", "named", "linked_name", "rank", "text", "linked")
 
     def __init__(self, tag: str, dropped: bool, main: bool):
         self.tag, self.dropped, self.main, self.holds_main = tag, dropped, main, main
         self.parts: list[Element | str] = []
         self.hash = 0
-        self.named, self.rank = False, 0
+        self.named, self.linked_name, self.rank, self.text, self.linked = False, False, 0, 0, 0
 
 
 def attributes(tag: str) -> dict[str, str]:
@@ -88,13 +96,21 @@ def hidden(of: dict[str, str]) -> bool:
     return "hidden" in of or of.get("aria-hidden") == "true" or bool(re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", of.get("style", "")))
 
 
-def named(of: dict[str, str]) -> bool:
-    """Whether class or id say that the element is no part of the article."""
-    return any(not NAMED.isdisjoint(re.split(r"[^a-z]+", of.get(k, ""))) for k in ("class", "id"))
+def names(of: dict[str, str]) -> set[str]:
+    """The words of NAMED that class and id say of an element. A compound counts if all of its words are of NAMED or say only what kind of box it is: share-buttons, but not share-price."""
+    out: set[str] = set()
+    for token in (of.get("class", "") + " " + of.get("id", "")).split():
+        words = {w for w in re.split(r"[^a-z]+", token) if w}
+        if words <= NAMED | PLAIN:
+            out |= words & NAMED
+    return out
 
 
 def settle(root: Element) -> None:
-    """Drops what is named by class or id, but not what holds the main part: a main element, or articles of which none is outside of what is named."""
+    """Drops what is named by class or id, but not what holds the main part: a main element, or articles of which none is outside of what is named.
+
+    Inside a main part what has only names of lists of links goes if half of its text or more is in links.
+    """
     order, todo = [], [root]
     while todo:
         e = todo.pop()
@@ -103,36 +119,52 @@ def settle(root: Element) -> None:
     for e in reversed(order):
         own = 0 if not e.main else 1 if e.tag == "article" else 2
         e.rank = max([own, *(x.rank for x in e.parts if isinstance(x, Element))])
-    todo, found = [root], False
+        e.text = sum(len("".join(x.split())) if isinstance(x, str) else x.text for x in e.parts)
+        e.linked = e.text if e.tag == "a" else sum(x.linked for x in e.parts if isinstance(x, Element))
+    todo, found = [(root, False)], False
     while todo:
         holders = []
         while todo:
-            for x in todo.pop().parts:
+            top, inside = todo.pop()
+            inside |= top.main
+            for x in top.parts:
                 if not isinstance(x, Element) or x.dropped:
                     continue
-                if x.named and x.rank < 2:
+                if x.named and x.rank < 2 and not (inside and x.linked_name and 2 * x.linked < x.text):
                     x.dropped = True
                     if x.rank:
-                        holders.append(x)
+                        holders.append((x, inside))
                     continue
                 found |= x.main
-                todo.append(x)
+                todo.append((x, inside))
         if not found:
-            for x in holders:
+            for x, _ in holders:
                 x.dropped = False
             todo = holders
 
 
 def parse(page: str) -> Element:
     """The element tree. What a browser would repair is repaired simply: unknown end tags are
-    skipped, an end tag closes what is open within it, an unfinished tag or comment ends the page."""
+    skipped, an end tag closes what is open within it, an unfinished tag or comment ends the page.
+    Where open tags lie in the stack is kept by tag, so that no step looks through the stack."""
     root = Element("html", False, False)
-    stack, at, end, any_named = [root], 0, len(page), False
+    stack, at, end, any_named, mains = [root], 0, len(page), False, 0
+    places: dict[str, list[int]] = defaultdict(list)
+    blocks: list[int] = []
 
     def close(n: int) -> None:
+        nonlocal mains
         while len(stack) > n:
             e = stack.pop()
             stack[-1].holds_main |= e.holds_main
+            places[e.tag].pop()
+            mains -= e.main
+            if e.tag in BLOCKS:
+                blocks.pop()
+
+    def last(tags: frozenset[str]) -> int:
+        """Where the innermost open one of these is; 0 if none is open."""
+        return max(places[t][-1] if places[t] else 0 for t in tags)
 
     while at < end:
         lt = page.find("<", at)
@@ -159,10 +191,8 @@ def parse(page: str) -> Element:
             break
         at, tag = m.end(), m[2].lower()
         if m[1]:
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].tag == tag:
-                    close(i)
-                    break
+            if places[tag]:
+                close(places[tag][-1])
             continue
         of = attributes(m[3])
         role = (of.get("role", "").split() or [""])[0]
@@ -171,24 +201,17 @@ def parse(page: str) -> Element:
             continue
         if tag in CLOSES:
             own, scope = CLOSES[tag]
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].tag in scope:
-                    break
-                if stack[i].tag in own:
-                    close(i)
-                    if tag != "tr":
-                        break
-        elif tag in BLOCKS:
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].tag == "p":
-                    close(i)
+            while (i := last(own)) > last(scope):
+                close(i)
+                if tag != "tr":
                     break
-                if stack[i].tag in BLOCKS:
-                    break
-        inside = any(e.main for e in stack)
+        elif tag in BLOCKS and blocks and stack[blocks[-1]].tag == "p":
+            close(blocks[-1])
+        inside = mains > 0
         dropped = tag in DROPPED or hidden(of) or role in ROLES or (tag == "header" and not inside)
         e = Element(tag, dropped, not dropped and (tag in MAIN or role == "main"))
-        e.named = not dropped and not e.main and tag not in HOLDERS | HEADINGS and named(of)
+        found = names(of) if not dropped and not e.main and tag not in HOLDERS | HEADINGS else set()
+        e.named, e.linked_name = bool(found), found <= LINKED
         any_named |= e.named
         stack[-1].parts.append(e)
         if tag in RAW:
@@ -197,6 +220,10 @@ def parse(page: str) -> Element:
             at = at or end
             continue
         if tag not in VOID and not m[3].endswith("/") or tag in BLOCKS - VOID:
+            places[tag].append(len(stack))
+            if tag in BLOCKS:
+                blocks.append(len(stack))
+            mains += e.main
             stack.append(e)
     close(1)
     if any_named:
@@ -313,6 +340,21 @@ def marked(root: Element) -> bool:
     return False
 
 
+def recurring(root: Element, site: int, sites: np.ndarray, hashes: np.ndarray) -> frozenset[int]:
+    """Which of the page's subtrees are templates of its host; templates are sorted by host and hash."""
+    first, last = np.searchsorted(sites, [site, site + 1]) if site < 2**63 - 1 else (np.searchsorted(sites, site), len(sites))
+    if first == last:
+        return frozenset()
+    hashed(root)
+    own, todo = [], [root]
+    while todo:
+        e = todo.pop()
+        own.append(signed(e.hash))
+        todo += [x for x in e.parts if isinstance(x, Element)]
+    own, there = np.array(own, np.int64), hashes[first:last]
+    return frozenset(own[there[np.minimum(np.searchsorted(there, own), len(there) - 1)] == own].tolist())
+
+
 def host(url: Column) -> Column:
     """Lower-case host of a URL; empty if there is none."""
     return F.lower(F.regexp_extract(F.coalesce(url.cast("string"), F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1))
@@ -360,25 +402,28 @@ def main_text(pages: DataFrame, broadcast: int = BROADCAST) -> DataFrame:
     with Scratch(pages.sparkSession) as scratch:
         seen = scratch.save(site_subtrees(keyed))
         found = scratch.keep(templates(seen))
+        held = None
         if found.count() <= broadcast:
-            cut = F.broadcast(found.groupBy("site").agg(F.collect_list("hash").alias("cut")))
-            met = keyed.join(cut, "site", "left")
+            rows = found.toArrow().sort_by([("site", "ascending"), ("hash", "ascending")])
+            held = pages.sparkSession.sparkContext.broadcast((rows.column("site").to_numpy(), rows.column("hash").to_numpy()))
+            met = keyed.withColumn("cut", F.lit(None).cast("array<long>"))
         else:
             # Bounded by the elements of one page: rows of one key are equal pages.
-            held = seen.select("key", "site", F.explode("found.hash").alias("hash"))
-            cut = scratch.keep(held.join(found, ["site", "hash"]).groupBy("key").agg(F.collect_set("hash").alias("cut")))
+            own = seen.select("key", "site", F.explode("found.hash").alias("hash"))
+            cut = scratch.keep(own.join(found, ["site", "hash"]).groupBy("key").agg(F.collect_set("hash").alias("cut")))
             met = keyed.join(cut, "key", "left")
     schema = "page_id long, url string, text string, n_chars long"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in parts(batches):
             texts = []
-            for x, gone in zip(b.column("html"), b.column("cut"), strict=True):
+            for x, site, gone in zip(b.column("html"), b.column("site").to_pylist(), b.column("cut"), strict=True):
                 root = parse(x.as_py() or "")
-                if gone.is_valid:
+                template = frozenset(gone.as_py() or ()) if held is None else recurring(root, site, *held.value)
+                if template and held is None:
                     hashed(root)
-                texts.append(text_of(root, frozenset(gone.as_py() or ())))
+                texts.append(text_of(root, template))
             lengths = pa.array([len(t) for t in texts], pa.int64())
             yield pa.RecordBatch.from_arrays([b.column("page_id"), b.column("url"), pa.array(texts, pa.string()), lengths], ["page_id", "url", "text", "n_chars"])
 
-    return met.select("page_id", "url", "html", "cut").mapInArrow(run, schema)
+    return met.select("page_id", "url", "html", "site", "cut").mapInArrow(run, schema)

@@ -22,13 +22,16 @@ HOT = 100_000
 STRINGS = 100_000
 
 
+ADDRESS = r"^[0-9]+(\.[0-9]+){3}$"
+
+
 def keys(url: Column) -> Column:
-    """Keys of a URL: the host, its parents of two labels or more, and the host with the first path segment."""
+    """Keys of a URL: the host, its parents of two labels or more (an address has none), and the host with the first path segment."""
     m = r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)(?::[0-9]*)?(?:/([^/?#]*))?"
     host, first = F.lower(F.regexp_extract(url, m, 1)), F.regexp_extract(url, m, 2)
     labels = F.split(host, r"\.")
     parents = F.transform(
-        F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(labels) - 1)),
+        F.sequence(F.lit(1), F.when(host.rlike(ADDRESS), 1).otherwise(F.greatest(F.lit(1), F.size(labels) - 1))),
         lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."),
     )
     return F.when(host == "", F.array().cast("array<string>")).otherwise(F.array_distinct(F.concat(parents, F.when(first != "", F.array(F.concat_ws("/", host, first))).otherwise(F.array().cast("array<string>")))))
@@ -97,7 +100,7 @@ URL_SQL = r"""
 WITH u AS (SELECT page_id, url, page_id * 37 % 366 AS fetch_day, lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)', 1)) h,
                   regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?[^/?#:]*(?::[0-9]*)?/([^/?#]*)', 1) s FROM pages),
 l AS (SELECT *, string_split(h, '.') p FROM u WHERE h <> ''),
-k AS (SELECT DISTINCT url, fetch_day, array_to_string(p[i:], '.') AS key FROM (SELECT *, unnest(range(1, greatest(2, len(p)))) i FROM l)
+k AS (SELECT DISTINCT url, fetch_day, array_to_string(p[i:], '.') AS key FROM (SELECT *, unnest(range(1, CASE WHEN regexp_matches(h, '^[0-9]+(\.[0-9]+){3}$') THEN 2 ELSE greatest(2, len(p)) END)) i FROM l)
       UNION SELECT DISTINCT url, fetch_day, h || '/' || s FROM l WHERE s <> ''),
 x AS (SELECT key, ('0x' || substr(md5(key), 1, 6))::BIGINT x FROM (SELECT DISTINCT key FROM k)),
 e AS (SELECT key, x % 200 AS since, true AS listed FROM x WHERE NOT contains(key, '/') AND x % 3 = 0

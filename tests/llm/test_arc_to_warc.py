@@ -28,6 +28,7 @@ def test_cut_and_foreign_archives():
         with pytest.raises(ValueError, match="ARC"):
             list(parse_arc(bad))
     assert warc_date("20200102") == "2020-01-02T00:00:00Z"
+    assert warc_date("2020") == "2020-01-01T00:00:00Z" and warc_date("202007") == "2020-07-01T00:00:00Z" and warc_date("2020070809") == "2020-07-08T09:00:00Z"
 
 
 def test_files_hold_standard_records(spark, tmp_path):

@@ -1,3 +1,5 @@
+import time
+
 from scoutline.llm.site_template import main_text, marked, parse, text_of
 
 
@@ -126,3 +128,28 @@ def test_same_as_a_recount_of_each_host(spark):
 def test_rows_without_ids_and_clashing_names(spark):
     df = spark.createDataFrame([(None, None, f"<p>own {i}</p>", 1, "s", []) for i in range(30)] + [(1, None, "", 2, "t", [])], "page_id long, url string, html string, key long, site string, cut array<long>")
     assert sorted(x.text for x in main_text(df, broadcast=-1).collect()) == sorted([f"own {i}" for i in range(30)] + [""])
+
+
+def test_only_whole_names_and_plain_compounds_name_an_element():
+    kept = '<div class="share-price"><p>Shares fell 4 %.</p></div><table class="ad-spend"><tr><td>Spend</td></tr></table><section id="related-work"><p>Work</p></section>'
+    kept += '<ul class="menu"><li>Soup</li></ul><p class="widget-intro">Intro</p><p>x <math><mi>y</mi></math></p>'
+    gone = '<ul class="menu main-menu"><li><a href="/">Home</a></li></ul><div class="related-posts"><a href=x>Other</a> by us</div><div class="ad">Buy</div><div id="comment-list"><p>First</p></div>'
+    assert text_of(parse(f"<article><p>t</p>{kept}{gone}</article>")) == "t\nShares fell 4 %.\nSpend\nWork\nSoup\nIntro\nx y"
+    assert text_of(parse('<ul class="menu"><li>Soup</li></ul><p>t</p>')) == "t"
+
+
+def test_time_does_not_grow_with_depth_times_length():
+    pages = ["<div>" * 200_000, "<div>" * 20_000 + "</x>" * 100_000, "<b>" * 30_000 + "<div>" * 30_000, "<table><tr><table>" + "<b>" * 20_000 + "<td></td>" * 30_000, "<ul>" + "<b>" * 20_000 + "<li>x" * 30_000]
+    for page in pages:
+        began = time.process_time()
+        text_of(parse(page))
+        assert time.process_time() - began < 20
+
+
+def test_nested_templates_as_a_recount(spark):
+    page = lambda i: f"<article><div><section><p>Own text number {i} of this page</p><div><div><p>By our staff</p></div><p>Follow</p></div></section></div></article>"
+    rows = [(i, f"http://h{i % 2}.org/{i}", page(i) if i % 2 == 0 else f"<article><p>Own {i}</p></article>") for i in range(80)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    want = {i: f"Own text number {i} of this page" if i % 2 == 0 else f"Own {i}" for i in range(80)}
+    for broadcast in (10**6, 0):
+        assert {r.page_id: r.text for r in main_text(df, broadcast).collect()} == want

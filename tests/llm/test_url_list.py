@@ -7,6 +7,8 @@ from scoutline.llm.url_list import intervals, keys, listed_captures
 
 def test_keys(spark):
     k = lambda u: sorted(spark.range(1).select(keys(F.lit(u)).alias("k")).first().k)
+    assert k("http://1.2.3.4/a/b") == ["1.2.3.4", "1.2.3.4/a"] and k("https://1.2.3.4:80") == ["1.2.3.4"]
+    assert k("http://10.1.2.3.org") == ["1.2.3.org", "10.1.2.3.org", "2.3.org", "3.org"]
     assert k("https://me@A.b.example.com:8080/x/y?z") == ["a.b.example.com", "a.b.example.com/x", "b.example.com", "example.com"]
     assert k("http://localhost") == ["localhost"]
     assert k("nonsense") == []
