@@ -5,11 +5,26 @@ from __future__ import annotations
 import argparse
 import sys
 
+from pyspark.sql import DataFrame
+
 from scoutline.plans.engine import Engine
 from scoutline.plans.tools import Tools
 from scoutline.session import local_session
 
 
+def printed(df: DataFrame, wanted: bool = False) -> int:
+    """Prints all rows, tab-separated below their names, as they come; 1 if rows are wanted and there are none."""
+    n = 0
+    for n, r in enumerate(df.toLocalIterator(), 1):
+        if n == 1:
+            print("\t".join(df.columns))
+        print("\t".join("" if x is None else str(x).replace("\t", " ").replace("\n", "\\n") for x in r))
+    if wanted and not n:
+        print("nothing found", file=sys.stderr)
+        return 1
+    return 0
+
+
 def main(args: list[str] | None = None) -> int:
     p = argparse.ArgumentParser(prog="scoutline", description=__doc__)
     p.add_argument("--root", default=".")
@@ -56,7 +71,7 @@ def main(args: list[str] | None = None) -> int:
         asked = {x for x in ("code", "callers", "callees", "refs") if getattr(a, x) or a.all} or {"callers", "callees", "refs"}
         for part, df in e.info(a.name, asked).items():
             print(part)
-            df.show(50, truncate=80)
+            printed(df)
         return 0
     if a.command == "memory" and a.what == "add":
         e.add(a.query, a.answer, a.session)
@@ -69,12 +84,7 @@ def main(args: list[str] | None = None) -> int:
         "symbols": lambda: e.list_symbols(a.file, a.kind),
         "memory": lambda: {"show": lambda: e.memory_recent(a.limit, a.session), "stats": e.memory_stats, "search": lambda: e.memory_search(a.query, a.limit)}[a.what](),
     }[a.command]()
-    rows = df.collect() if a.command in ("goto", "refs") else None
-    if rows == []:
-        print("nothing found", file=sys.stderr)
-        return 1
-    df.show(200, truncate=80)
-    return 0
+    return printed(df, a.command in ("goto", "refs"))
 
 
 if __name__ == "__main__":

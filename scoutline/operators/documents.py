@@ -87,6 +87,25 @@ def full_snippet(content: Column, target: Column) -> Column:
     return F.array_join(F.slice(F.split(content, "\n"), first + 1, target + 195 - first), "\n")
 
 
+# Lines of a body that are looked through for its end, and lines of one that has no braces.
+BODY, PLAIN = 51, 10
+
+
+def symbol_body(content: Column, line: Column) -> Column:
+    """The lines of a symbol from its own (from 1) to the one that closes its braces; BODY lines if that is further, PLAIN lines if nothing is closed before the text ends. Empty beyond the text."""
+    lines = F.slice(F.split(content, "\n"), F.greatest(line, F.lit(1)), F.lit(BODY + 1))
+    count = lambda x, c: F.char_length(x) - F.char_length(F.replace(x, F.lit(c)))
+    braces = F.transform(lines, lambda x: F.struct(count(x, "{").alias("up"), count(x, "}").alias("down")))
+    start = F.struct(F.lit(0).alias("depth"), F.lit(False).alias("open"), F.lit(0).alias("n"), F.lit(None).cast("int").alias("end"))
+
+    def step(a: Column, x: Column) -> Column:
+        depth, open_, n = a["depth"] + x["up"] - x["down"], a["open"] | (x["up"] > 0), a["n"] + 1
+        return F.struct(depth.alias("depth"), open_.alias("open"), n.alias("n"), F.coalesce(a["end"], F.when(open_ & (depth == 0), n)).alias("end"))
+
+    end = F.aggregate(braces, start, step, lambda a: F.coalesce(a["end"], F.when(a["n"] > BODY, BODY).otherwise(PLAIN)))
+    return F.array_join(F.slice(lines, F.lit(1), end), "\n")
+
+
 def agent_sections(files: DataFrame, marker: str) -> DataFrame:
     """(path, title, start, stop): byte ranges from each line that begins with marker to the next such line or the end."""
     w = Window.partitionBy("path").orderBy("line")

@@ -117,6 +117,14 @@ def _(symbols, documents_):
     return N.context_lines(places, documents_.select(path.alias("path"), F.col("text").alias("content")))
 
 
+@query("F14_symbol_body", "braced", sql="""WITH l AS (SELECT doc_id, (string_split(content, chr(10)))[line : line + 51] AS t FROM braced),
+b AS (SELECT doc_id, t, [length(x) - length(replace(x, '{', '')) FOR x IN t] AS up, [length(x) - length(replace(x, '}', '')) FOR x IN t] AS down FROM l),
+e AS (SELECT doc_id, t, list_min([i FOR i IN range(1, len(t) + 1) IF list_sum(up[1:i]) > 0 AND list_sum(up[1:i]) = list_sum(down[1:i])]) AS stop FROM b)
+SELECT doc_id, array_to_string(t[1 : coalesce(stop, CASE WHEN len(t) > 51 THEN 51 ELSE 10 END)], chr(10)) AS body FROM e""")
+def _(braced):
+    return braced.select("doc_id", documents.symbol_body(F.col("content"), F.col("line")).alias("body"))
+
+
 @query("A8_by_support", "files", sql="WITH c AS (SELECT CASE regexp_extract(lower(path), '\\.([^.]*)$', 1) WHEN 'rs' THEN 'Rust' WHEN 'md' THEN 'Markdown' WHEN 'txt' THEN 'Markdown' WHEN 'ts' THEN 'TypeScript' WHEN 'py' THEN 'Python' END AS language FROM files WHERE NOT contains(path, '/target/')), n AS (SELECT language, count(*) AS n FROM c WHERE language IS NOT NULL GROUP BY language) SELECT language IN ('Rust', 'Markdown') AS supported, row_number() OVER (PARTITION BY language IN ('Rust', 'Markdown') ORDER BY n DESC, language)::INT AS pos, language, n FROM n")
 def _(files):
     return C.by_support(C.census(files, None))

@@ -12,7 +12,7 @@ from scoutline.operators import classify as C
 from scoutline.operators import documents, memory, navigation, query_language, query_syntax, rust_source, state, text_search
 from scoutline.session import ship
 from scoutline.sources import project, sinks, versions
-from scoutline.streaming import watch
+from scoutline.streaming import events
 
 #: Text fields of the index, of which name and content are asked where a query names none.
 FIELDS = ["name", "signature", "fqn", "content"]
@@ -98,10 +98,23 @@ class Engine:
         tokens = store.staged(add["postings"], POSTINGS).select(at, "part", "field", F.size("at").alias("n")).groupBy("bucket", "part", "field").agg(F.sum("n").alias("total"))
         return docs.unionByName(tokens)
 
-    def watch(self, on_change, checkpoint: str, every: str = "2 seconds"):
-        """Keeps the index up to date with the project; on_change(events, result of index) is called after every change."""
-        known = lambda: self.state().select("path", "mtime", "size")
-        return watch.watch_snapshots(self.spark, self.snapshot, known, lambda events, _: on_change(events.collect(), self.index()), checkpoint, every)
+    def watch(self, on_change, folder: str, every: str = "2 seconds"):
+        """Keeps the index up to date with the project; on_change(events, result of index) is called after every change, events a DataFrame (path, kind).
+
+        The listing that the stream starts from is made before the index is brought up to date, so nothing falls in between; a further start
+        with the same folder goes on where the last one stopped.
+        """
+        log = events.EventLog(f"{folder}/log")
+        if not any(log.folder.glob("*.json")):
+            log.write(0, {"files": events.listing(self.root), "events": []})
+        self.index()
+
+        def handed(rows: DataFrame, _: int) -> None:
+            if not rows.isEmpty():
+                on_change(rows.select("path", "kind"), self.index())
+
+        found = events.project_events(self.spark, self.root, f"{folder}/log")
+        return found.writeStream.foreachBatch(handed).option("checkpointLocation", f"{folder}/checkpoint").trigger(processingTime=every).start()
 
     def clear(self) -> None:
         self.store.clear()

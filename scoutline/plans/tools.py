@@ -15,7 +15,7 @@ from scoutline.operators import tickets as T
 from scoutline.plans.engine import Engine
 from scoutline.sources import project
 
-#: Rows of an answer, at most, where the request says nothing.
+#: Rows of an answer, at most, where the request does not say rows; more in the answer tells that there were others.
 ROWS = 200
 
 
@@ -24,6 +24,7 @@ class Tools:
 
     def __init__(self, engine: Engine, tickets: DataFrame | None = None, issues: DataFrame | None = None, captured: dict[str, DataFrame] | None = None):
         e = engine
+        # Names of the code and memory tools; below, error codes of JSON-RPC.
         self.tools: dict[str, Callable[..., DataFrame]] = {
             "code_search": lambda query, limit=10, fuzzy=False, kind=None: e.search(query, limit, fuzzy, kind),
             "code_goto": lambda name: e.goto(name),
@@ -75,8 +76,9 @@ class Tools:
                 return out | {"result": {"tools": [{"name": n} for n in sorted(self.tools)]}}
             if method != "tools/call":
                 return out | {"error": {"code": -32601, "message": f"unknown method {method}"}}
-            rows = self.call(params.get("name", ""), **(params.get("arguments") or {})).limit(ROWS).toJSON().collect()
-            return out | {"result": {"content": [{"type": "text", "text": x} for x in rows]}}
+            most = int(params.get("rows", ROWS))
+            rows = self.call(params.get("name", ""), **(params.get("arguments") or {})).limit(most + 1).toJSON().collect()
+            return out | {"result": {"content": [{"type": "text", "text": x} for x in rows[:most]], "more": len(rows) > most}}
         except (ValueError, TypeError) as wrong:
             return out | {"error": {"code": -32602, "message": str(wrong)}}
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Events 500 ms apart or more are of different bursts; session windows join those exactly at their gap.
@@ -33,26 +33,11 @@ def flush(stream: DataFrame, on_change: Callable[[DataFrame, int], None], checkp
 
 
 def file_events(changed: DataFrame) -> DataFrame:
-    """(path, kind) of a change set: created, modified or deleted; what did not change gives nothing. Spark's file source sees new files only, hence snapshots."""
+    """(path, kind) of a change set: created, modified or deleted; what did not change gives nothing. events.py has them as a stream."""
     kind = F.when(F.col("change") == "added", "created").otherwise(F.col("change"))
     return changed.where("change <> 'unchanged'").select("path", kind.alias("kind"))
 
 
-def watch_snapshots(spark: SparkSession, snapshot: Callable[[], DataFrame], known: Callable[[], DataFrame], on_events: Callable[[DataFrame, int], None], checkpoint: str, every: str = "2 seconds"):
-    """Starts a stream that compares a project's snapshot with the known one at every tick, and hands supported changes to on_events.
-
-    on_events brings the known snapshot up to date; ticks without a supported change call nothing.
-    """
-    from scoutline.operators.state import changes
-
-    def tick(_: DataFrame, n: int) -> None:
-        found = file_events(changes(known(), snapshot())).where(F.col("path").rlike(SUPPORTED))
-        if not found.isEmpty():
-            on_events(found, n)
-
-    return spark.readStream.format("rate").option("rowsPerSecond", 1).load().writeStream.foreachBatch(tick).option("checkpointLocation", checkpoint).trigger(processingTime=every).start()
-
-
 class Dirty:
     """A result kept until something changed: the stream marks it, the next read makes it anew."""
 

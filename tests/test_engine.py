@@ -184,7 +184,7 @@ def test_changes_reach_the_index(spark, tmp_path):
     e = Engine(spark, str(root), str(tmp_path / "index"))
     e.index()
     seen = []
-    q = e.watch(lambda events, counts: seen.append((sorted((r.path, r.kind) for r in events), counts)), f"{tmp_path}/c", "1 second")
+    q = e.watch(lambda events, counts: seen.append((sorted((r.path, r.kind) for r in events.collect()), counts)), f"{tmp_path}/c", "1 second")
     try:
         (root / "src/new.rs").write_text("fn fresh() {}\n")
         (root / "src/x.lock").write_text("x")
