@@ -1,4 +1,4 @@
-"""All queries: those of queries.py, and here the ones on query syntax, parsers, state and hybrid retrieval."""
+"""All queries: those of queries.py and texts.py, and here the ones on query syntax, parsers, state and hybrid retrieval."""
 
 from __future__ import annotations
 
@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from scoutline.operators import classify as C
 from scoutline.operators import commits, documents, hybrid, query_syntax, rust_source, state, text_search
 from scoutline.operators import navigation as N
+from scoutline.plans import texts  # noqa: F401  registers its queries
 from scoutline.plans.queries import ORACLES, QUERIES, commit_log, query
 from scoutline.sources import project
 from scoutline.streaming import watch

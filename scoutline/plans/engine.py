@@ -41,7 +41,8 @@ class Engine:
         files = project.read_files(self.spark, self.root).withColumn("path", F.replace("path", F.lit(self.root), F.lit("")))
         return project.not_ignored(project.discover(files), project.ignore_rules(project.read_ignores(self.spark, self.root)))
 
-    def parsed(self, files: DataFrame) -> tuple[DataFrame, DataFrame]:
+    @staticmethod
+    def parsed(files: DataFrame) -> tuple[DataFrame, DataFrame]:
         """Symbols and references of files, by language."""
         code, prose = files.where(C.language(F.col("path")) == "Rust"), files.where(C.language(F.col("path")) == "Markdown")
         names = [c.split()[0] for c in SYMBOLS.split(", ")]

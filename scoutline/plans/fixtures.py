@@ -59,7 +59,7 @@ DEFS = {
         FROM {{rust_bodies}}""",
     # Texts with braces over many lines, and a line in each.
     "braced": """
-        SELECT doc_id, cast(doc_id % 9 + 1 as int) AS line, replace(replace(text, CASE WHEN doc_id % 3 = 0 THEN ' of ' WHEN doc_id % 3 = 1 THEN 'e ' ELSE ', ' END, concat(' {', chr(10))), CASE WHEN doc_id % 2 = 0 THEN '. ' ELSE 'n ' END, concat(chr(10), '}')) AS content
+        SELECT doc_id, cast(doc_id % 9 + 1 as int) AS line, replace(replace(text, CASE WHEN doc_id % 3 = 0 THEN ' of ' WHEN doc_id % 3 = 1 THEN 'e ' ELSE ', ' END, concat(' ', chr(123), chr(10))), CASE WHEN doc_id % 2 = 0 THEN '. ' ELSE 'n ' END, concat(chr(10), chr(125))) AS content
         FROM {documents}""",
     "rust_bodies": "SELECT doc_id, " + ", ".join(
         f"concat('pub fn f{i}_', cast(doc_id as string), '(x: T', cast(doc_id % 3 as string), ') -> u32 ', chr(123), ' g{i}(x.a); let s = \"', repeat('é ', cast(doc_id % 7 * {60 * i} as int)), '\"; 7 ', chr(125)) AS body{i}" for i in range(1, 5)) + " FROM {documents}",
