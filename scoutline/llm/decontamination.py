@@ -25,7 +25,7 @@ SPAN, WINDOW, SUBSTITUTIONS = 9, 13, 2
 REACH = WINDOW - SPAN
 #: Characters of Thai, Japanese and Chinese; plain ranges, as looking scripts up is slow.
 UNSPACED = r"[\x{E00}-\x{E7F}\x{3040}-\x{30FF}\x{3400}-\x{4DBF}\x{4E00}-\x{9FFF}\x{F900}-\x{FAFF}\x{20000}-\x{3FFFF}]"
-#: Shorter items are not looked for: phrases of a few words occur in clean documents.
+#: Shorter items are not looked for unless asked: phrases of a few words occur in clean documents.
 SHORTEST = 5
 #: Benchmark seeds, and keys of contaminated documents, that are broadcast, at most; above it Spark joins by its own choice.
 BROADCAST_SEEDS = 2_000_000
@@ -61,12 +61,12 @@ def seeds(df: DataFrame, keys: list[str], text: str, lengths: tuple[int, ...]) -
     return both.select(*keys, F.col("x.h").alias("h"), F.col("x.seeds").alias("seeds")).select(*keys, "h", F.posexplode_outer("seeds").alias("p", "seed"))
 
 
-def overlaps(docs: DataFrame, keys: list[str], benchmark: DataFrame) -> DataFrame:
+def overlaps(docs: DataFrame, keys: list[str], benchmark: DataFrame, shortest: int = SHORTEST) -> DataFrame:
     """(keys, item_id, shift, first, best), a row for each alignment that counts: the first token of its windows that count, and the most equal tokens."""
     n = F.size(tokens("text"))
     items = benchmark.where("item_id is not null and text is not null").select(F.col("item_id").cast("long").alias("item_id"), "text")
-    items = items.withColumn("n", n).where(f"n >= {SHORTEST}")
-    lengths = tuple(sorted(r.n for r in items.where(f"n < {SPAN}").select("n").distinct().collect()))  # SPAN - SHORTEST at most
+    items = items.withColumn("n", n).where(f"n >= {max(shortest, 1)}")
+    lengths = tuple(sorted(r.n for r in items.where(f"n < {SPAN}").select("n").distinct().collect()))  # SPAN - 1 at most
     each = len(MASKS) + len(lengths)
     at = F.expr(f"cast(p div {each} as int)")
     own = F.array(*[F.lit(0)] * len(MASKS), *[F.lit(k) for k in lengths])
@@ -76,8 +76,14 @@ def overlaps(docs: DataFrame, keys: list[str], benchmark: DataFrame) -> DataFram
     few = test.limit(BROADCAST_SEEDS + 1).count() <= BROADCAST_SEEDS
     whole = test.select("item_id", "n", "it").distinct()
     slim = test.select("item_id", "n", "from", "seed").distinct()
-    hits = seeds(docs, keys, "text", lengths).join(F.broadcast(slim) if few else slim, "seed")
-    hits = hits.withColumn("at", at).join(F.broadcast(whole) if few else whole, ["item_id", "n"])
+    left = seeds(docs, keys, "text", lengths)
+    if few:
+        base = F.col("at")
+        hits = left.join(F.broadcast(slim), "seed").withColumn("at", at).join(F.broadcast(whole), ["item_id", "n"])
+    else:  # a seed takes the tokens around it into the join, not those of its whole text
+        base = F.lit(REACH)
+        around = F.transform(F.sequence(F.lit(-REACH), F.lit(WINDOW - 1)), lambda o: F.get("h", F.col("at") + o)).alias("h")
+        hits = left.withColumn("at", at).select(*keys, "seed", "at", around).join(slim, "seed").join(whole, ["item_id", "n"])
 
     def scores(same: Column) -> Column:
         """Equal tokens of each window that holds the hit's span; a short item is one window, for which tokens beyond its ends are unequal."""
@@ -87,7 +93,7 @@ def overlaps(docs: DataFrame, keys: list[str], benchmark: DataFrame) -> DataFram
         return F.when(F.col("n") < WINDOW, F.array(total(same))).otherwise(windows)
 
     # In lambdas, which Spark interprets, so that the compiled code that makes the seeds stays small.
-    same = F.transform(F.sequence(F.lit(-REACH), F.lit(WINDOW - 1)), lambda o: F.coalesce(F.get("h", F.col("at") + o) == F.get("it", F.col("from") + o), F.lit(False)).cast("int"))
+    same = F.transform(F.sequence(F.lit(-REACH), F.lit(WINDOW - 1)), lambda o: F.coalesce(F.get("h", base + o) == F.get("it", F.col("from") + o), F.lit(False)).cast("int"))
     need = F.when(F.col("n") < WINDOW, F.col("n")).otherwise(WINDOW - SUBSTITUTIONS)
     found = F.transform(F.array(F.transform(F.array(same), scores)[0]), lambda x: F.struct(F.array_max(x).alias("best"), F.array_position(F.transform(x, lambda y: y >= need), True).alias("i")))[0]
     start = F.when(F.col("n") < WINDOW, 0).otherwise(F.col("from") - REACH)
@@ -98,23 +104,23 @@ def overlaps(docs: DataFrame, keys: list[str], benchmark: DataFrame) -> DataFram
     return best.where("first is not null")
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, shortest: int = SHORTEST) -> DataFrame:
     """doc_id, item_id, doc_pos (first token of the first such window), best_matches (equal tokens of
     the best window), n_alignments, one row per document and item that overlap.
 
-    Items of SHORTEST to WINDOW - 1 tokens must occur whole and unchanged; shorter ones are never
-    found. Null texts overlap nothing; rows without doc_id or item_id are not reported. Rows that
+    Items of ``shortest`` (1 at least) to WINDOW - 1 tokens must occur whole and unchanged; shorter ones are not
+    looked for. Texts of any length are read whole; all alignments count, so there are no ties. Null texts overlap nothing; rows without doc_id or item_id are not reported. Rows that
     share an id stand for one document or item. Other columns are ignored. Either table may be empty.
     """
     docs = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     return (
-        overlaps(docs, ["doc_id"], benchmark)
+        overlaps(docs, ["doc_id"], benchmark, shortest)
         .groupBy("doc_id", "item_id")
         .agg(F.min("first").alias("doc_pos"), F.max("best").alias("best_matches"), F.count("*").alias("n_alignments"))
     )
 
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, shortest: int = SHORTEST) -> DataFrame:
     """The rows of docs whose text overlaps no benchmark item.
 
     Each row is judged by its own text, also where doc_ids are null or repeated. Null and empty texts stay.
@@ -122,7 +128,7 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """
     keyed = docs.where("text is not null").select(F.col("doc_id").alias("d"), F.xxhash64("text", F.length("text")).alias("t"), "text")
     with Scratch(docs.sparkSession) as scratch:
-        gone = scratch.keep(overlaps(keyed, ["d", "t"], benchmark).select("d", "t").distinct())
+        gone = scratch.keep(overlaps(keyed, ["d", "t"], benchmark, shortest).select("d", "t").distinct())
     few = gone.count() <= BROADCAST_SEEDS
     same = docs["doc_id"].eqNullSafe(gone["d"]) & (F.xxhash64(docs["text"], F.length(docs["text"])) == gone["t"])
     return docs.join(F.broadcast(gone) if few else gone, same, "left_anti")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import warnings
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
@@ -12,6 +13,8 @@ from pyspark.sql import functions as F
 
 #: Rows that a Python worker holds as Python objects at once.
 PART = 256
+#: The setting by which Spark removes checkpoints that nothing refers to any more.
+CLEANED = "spark.cleaner.referenceTracking.cleanCheckpoints"
 #: Rows of a table of a few numbers each that is broadcast, at most; Spark joins larger ones by its own choice.
 BROADCAST_ROWS = 1_000_000
 
@@ -88,7 +91,9 @@ class Scratch:
             self._delete(self.held.pop(table))
 
     def keep(self, df: DataFrame) -> DataFrame:
-        """A reliable checkpoint, which Spark removes when nothing refers to it."""
+        """A reliable checkpoint, which Spark removes when nothing refers to it where CLEANED is set; where it is not the files stay, and a warning says so."""
+        if self.spark.conf.get(CLEANED, "false") != "true":
+            warnings.warn(f"{CLEANED} is not true: checkpoints stay in {shared_dir(self.spark)}", stacklevel=3)
         return df.checkpoint()
 
     def __exit__(self, *_: object) -> None:

@@ -2,6 +2,9 @@ import random
 import re
 from itertools import combinations
 
+import pytest
+
+from scoutline.llm import decontamination
 from scoutline.llm.decontamination import MASKS, SHORTEST, SPAN, SUBSTITUTIONS, WINDOW, contaminated, drop_contaminated
 
 
@@ -10,7 +13,7 @@ def test_masks_hit_every_window_with_two_substitutions():
         assert any(all(p + o not in bad for o, c in enumerate(m) if c == "1") for m in MASKS for p in range(WINDOW - SPAN + 1))
 
 
-def brute(docs, items):
+def brute(docs, items, shortest=SHORTEST):
     found = {}
     split = lambda t: [w for w in re.split(r"[^a-z0-9é]+", t.lower()) if w]
     for d, text in docs:
@@ -18,7 +21,7 @@ def brute(docs, items):
             w, it = split(text or ""), split(item or "")
             n = min(WINDOW, len(it))
             need = WINDOW - SUBSTITUTIONS if len(it) >= WINDOW else n
-            if d is None or len(it) < SHORTEST:
+            if d is None or len(it) < shortest:
                 continue
             for shift in range(-len(it), len(w)):
                 score = [sum(0 <= shift + t < len(w) and w[shift + t] == it[t] for t in range(s, s + n)) for s in range(len(it) - n + 1)]
@@ -61,6 +64,19 @@ def test_rows_without_or_with_repeated_ids_are_judged_by_their_text(spark):
     assert left.columns == df.columns and sorted(r.d for r in left.collect()) == [2, 3, 5, 6]
 
 
+@pytest.mark.parametrize("most", [decontamination.BROADCAST_SEEDS, 0])
+def test_short_items_where_asked_and_large_benchmarks(spark, monkeypatch, most):
+    monkeypatch.setattr(decontamination, "BROADCAST_SEEDS", most)
+    r = random.Random(9)
+    words = [f"w{i}" for i in range(12)]
+    items = [(1, "w1"), (2, "w2 w3"), (3, "to be or not"), (4, " ".join(r.choice(words) for _ in range(7))), (5, " ".join(r.choice(words) for _ in range(16))), (6, "w9 w9 w9"), (7, "")]
+    docs = [(i, " ".join(r.choice(words) for _ in range(r.choice([0, 1, 3, 40])))) for i in range(30)] + [(90, "whether to be or not to be"), (91, "x " + items[3][1]), (92, items[4][1] + " w1"), (93, "w " * 5000 + items[4][1].replace("w1 ", "y ", 1))]
+    df, bench = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    for shortest in (0, 1, 3, SHORTEST):
+        got = {(x.doc_id, x.item_id): (x.doc_pos, x.best_matches, x.n_alignments) for x in contaminated(df, bench, shortest).collect()}
+        assert got == brute(docs, items, max(shortest, 1))
+
+
 def test_scripts_without_spaces(spark):
     item = "今天天气很好我们一起去公园散步吧"
     changed = item[:5] + "坏" + item[6:]

@@ -1,3 +1,6 @@
+import gc
+import time
+
 import pyarrow as pa
 import pytest
 
@@ -27,6 +30,27 @@ def test_scratch_tables_go_when_dropped_and_at_the_end(spark):
         b.count()
 
 
+def test_checkpoints_go_with_what_refers_to_them(spark):
+    def files():
+        root = spark._jvm.org.apache.hadoop.fs.Path(spark.sparkContext.getCheckpointDir())
+        return {s.getPath().getName() for s in root.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(root) if s.getPath().getName().startswith("rdd-")}
+
+    with Scratch(spark) as scratch:
+        scratch.keep(spark.range(3)).count()
+        before = files()
+        kept = scratch.keep(spark.range(5))
+        new = files() - before
+    assert new and kept.count() == 5
+    del kept
+    for _ in range(60):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        if not new & files():
+            break
+        time.sleep(0.5)
+    assert not new & files()
+
+
 def test_only_tables_of_checked_size_are_broadcast(spark, monkeypatch):
     with Scratch(spark) as scratch:
         t, big = scratch.save(spark.range(5)), spark.range(100)
