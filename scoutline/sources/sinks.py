@@ -98,6 +98,21 @@ def read_trigrams(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.parquet(folder).select("path", "tri")
 
 
+def write_bitmaps(files: DataFrame, folder: str) -> None:
+    """The trigrams of files (path, content) as bitmaps, with a number for each file; numbers of a partition follow each other, so that bitmaps are few."""
+    spark = files.sparkSession
+    files.select("path", F.monotonically_increasing_id().alias("id")).write.mode("overwrite").parquet(f"{folder}/files")
+    numbered = spark.read.schema("path string, id long").parquet(f"{folder}/files").join(files.select("path", "content"), "path")
+    trigrams.bitmaps(numbered, "id").repartitionByRange("tri").sortWithinPartitions("tri", "bucket").write.mode("overwrite").parquet(f"{folder}/bitmaps")
+
+
+def search_bitmaps(spark: SparkSession, folder: str, queries: DataFrame) -> DataFrame:
+    """(qid, path) of saved files that hold all trigrams of the query; a query below three bytes has one row, of null path: all files."""
+    index = spark.read.schema("tri string, bucket long, bits binary, n long").parquet(f"{folder}/bitmaps")
+    files = spark.read.schema("path string, id long").parquet(f"{folder}/files")
+    return trigrams.matching(index, queries).join(files, "id", "left").select("qid", "path")
+
+
 def save_cached(rows: DataFrame, folder: str) -> None:
     """A small result that is asked again: statistics, project keys, repositories. It has no expiry."""
     rows.write.mode("overwrite").json(folder)

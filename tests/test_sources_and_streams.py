@@ -114,3 +114,12 @@ def test_a_dirty_result_is_made_anew(spark):
     assert d.get().count() == 1 == d.get().count()
     d.mark()
     assert d.get().count() == 2 and len(n) == 2
+
+
+def test_saved_bitmaps(spark, tmp_path):
+    files = spark.createDataFrame([(f"/f{i}", f"text number {i} of many") for i in range(50)] + [("/n", None)], "path string, content string").repartition(5)
+    sinks.write_bitmaps(files, f"{tmp_path}/t")
+    asked = spark.createDataFrame([(1, "number 7 "), (2, "er 4"), (3, "x"), (4, "absent")], "qid long, query string")
+    got = sorted((r.qid, r.path) for r in sinks.search_bitmaps(spark, f"{tmp_path}/t", asked).collect())
+    want = [(1, "/f7")] + [(2, f"/f{i}") for i in range(50) if f"er {i} ".startswith("er 4")] + [(3, None)]
+    assert got == sorted(want)
