@@ -292,8 +292,9 @@ def identify(docs: DataFrame, path: str = VOCABULARY) -> DataFrame:
     """doc_id, held_out, lang_pred, score, one row per input row; learned from the rows that are not held out.
 
     Null text and text without a letter: und, score 0. Without any row to learn from every
-    prediction is und. Null and repeated doc_ids are rows like any other. Other columns are
-    ignored; an empty table gives an empty result.
+    prediction is und. Of languages with equal posteriors the first by code point is predicted. Texts of any length
+    are read whole; a word of more than LONGEST letters is scored as pieces of so many. Null and repeated doc_ids are rows
+    like any other. Other columns are ignored; an empty table gives an empty result.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
     model = docs.sparkSession.sparkContext.broadcast(learn(docs.where(~held_out()), path))

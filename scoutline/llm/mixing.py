@@ -123,7 +123,8 @@ def mix_sources(docs: DataFrame, memberships: str | None = None, carry: tuple[st
     target: sums over the document's sources. taken is at most 2 * size. A null source, like an empty
     or null membership, is a source of its own, the last. Documents without words take nothing.
     Rows with one doc_id, or none, are separate rows; of equal rows, which of them takes what is arbitrary.
-    An empty table gives an empty result.
+    An empty table gives an empty result. Texts of any length are counted whole. Other columns are ignored but for
+    ``carry``, whose names must not be those of the result.
     """
     spark = docs.sparkSession
     sources = F.coalesce(F.col(memberships), F.array()) if memberships else F.array(F.col("source"))

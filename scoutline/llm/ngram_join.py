@@ -267,7 +267,8 @@ def ngram_jaccard_join(docs: DataFrame, n: int = 3, num: int = 90, den: int = 10
     Returns doc_id, n_shingles, component_id (smallest doc_id reachable), representative (smallest
     doc_id with an equal set), one row per input row. Rows that share a doc_id are one document. Null text, or text without words: n_shingles
     0 and a component of its own. Null doc_id: linked with nothing, component_id null. Other
-    columns are ignored; an empty table gives an empty result.
+    columns are ignored; an empty table gives an empty result. Texts of any length are read whole. A similarity of exactly
+    num/den links.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     with Scratch(docs.sparkSession) as scratch:

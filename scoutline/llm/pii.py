@@ -225,7 +225,8 @@ def pii_spans(docs: DataFrame) -> DataFrame:
     """doc_id, n_email, n_ip, n_card, n_phone (base spans), base_sha256, spans (all), n_added; one row per input row.
 
     Null text counts as empty: no spans, and the digest of the empty string. Null and repeated
-    doc_ids are rows like any other; other columns are ignored; an empty table gives an empty result.
+    doc_ids are rows like any other; other columns are ignored; an empty table gives an empty result. Texts of any length
+    are read whole. Spans of a kind are in order of start, then of end.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -262,7 +263,10 @@ def masked(text: str) -> str:
 
 
 def mask_pii(docs: DataFrame) -> DataFrame:
-    """docs with personal data in text masked and n_chars, where it is there, counted anew; null texts stay null."""
+    """docs with personal data in text masked and n_chars, where it is there, counted anew; null texts stay null.
+
+    Each row by its own text, whatever its doc_id; other columns stay as they are, whatever their names.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in parts(batches):

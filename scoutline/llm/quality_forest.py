@@ -223,7 +223,8 @@ def quality_rules(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_
 
     Null and empty texts have no words and fail the base rules. Null and repeated doc_ids are
     rows like any other. Other columns are ignored. Empty documents give an empty result; empty
-    labels leave the verdict to the base rules.
+    labels leave the verdict to the base rules. Texts of any length are read whole. Of labelled rows with equal hashes
+    the sample takes those of smaller doc_id, then of smaller statistics; a score at the limit is kept.
     """
     model = fit_quality(docs, labels, sample_rows)
 
@@ -244,7 +245,10 @@ def quality_rules(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
-    """The rows of docs that the quality rules keep, with all their columns, in one pass without a shuffle."""
+    """The rows of docs that the quality rules keep, with all their columns, whatever their names, in one pass without a shuffle.
+
+    Each row is judged by its own text: null and repeated doc_ids are rows like any other, null and empty texts go, equal rows stay or go together.
+    """
     model = fit_quality(docs, labels, sample_rows)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

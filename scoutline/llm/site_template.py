@@ -395,7 +395,7 @@ def main_text(pages: DataFrame, broadcast: int = BROADCAST) -> DataFrame:
 
     Null html counts as empty, with an empty text. Pages without a URL share the empty host.
     Null and repeated page_ids are rows like any other; other columns are ignored; an empty table
-    gives an empty result.
+    gives an empty result. Pages of any length and depth are parsed whole, in time that grows with their length.
     """
     pages = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
     keyed = pages.withColumn("key", F.xxhash64("page_id", "url", "html")).withColumn("site", F.xxhash64(host(F.col("url"))))
