@@ -159,8 +159,10 @@ def lookup(asked: DataFrame, symbols: DataFrame) -> DataFrame:
     """(qid, seq, name, file, line): the first symbol of the last part of a path (qid, path), under the part before it or under none."""
     parts = F.split("path", "::")
     q = asked.select("qid", F.element_at(parts, -1).alias("name"), F.when(F.size(parts) > 1, F.get(parts, F.size(parts) - 2)).alias("under"))
-    met = q.join(symbols, "name").where(F.col("parent").eqNullSafe(F.col("under")))
-    return met.groupBy("qid").agg(F.min_by(F.struct("seq", "name", "file", "line"), "seq").alias("x")).select("qid", "x.*")
+    # One symbol a name and parent meets the paths, however many share these.
+    first = symbols.groupBy("name", F.col("parent").alias("above")).agg(F.min_by(F.struct("seq", "name", "file", "line"), "seq").alias("x")).select(F.col("name").alias("last"), "above", "x")
+    met = q.join(first, (q["name"] == first["last"]) & F.col("above").eqNullSafe(F.col("under")))
+    return met.groupBy("qid").agg(F.min_by("x", F.col("x.seq")).alias("x")).select("qid", "x.*")
 
 
 def dependents(symbols: DataFrame, refs: DataFrame) -> DataFrame:

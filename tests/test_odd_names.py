@@ -3,6 +3,7 @@
 import duckdb
 import pytest
 
+from scoutline.operators import navigation
 from scoutline.operators.query_parser import parse
 from scoutline.plans.catalog import ORACLES, QUERIES
 from tests.test_oracles import rows
@@ -31,3 +32,36 @@ def test_odd_names(spark, tables, name):
 
 def test_a_sign_before_a_closing_parenthesis_leaves_it():
     assert shown(parse("name:(+a +) b", FIELDS)) == "((+name:text:a) :text:b)"
+
+
+def most_rows(found, kind):
+    """The rows that the largest of a plan's nodes of a kind made."""
+    found.collect()
+
+    def walk(plan):
+        name = plan.nodeName()
+        if name == "AdaptiveSparkPlan":
+            yield from walk(plan.executedPlan())
+        elif name.endswith("QueryStage"):
+            yield from walk(plan.plan())
+        else:
+            rows_ = plan.metrics().get("numOutputRows")
+            if kind in name and rows_.isDefined():
+                yield rows_.get().value()
+            inner = plan.children()
+            for i in range(inner.size()):
+                yield from walk(inner.apply(i))
+
+    return max(walk(found._jdf.queryExecution().executedPlan()))
+
+
+@pytest.fixture(scope="module")
+def alike(spark):
+    """300 symbols of one name."""
+    return spark.range(300).selectExpr("id as seq", "'small_ring_7' as name", "cast(null as string) as parent", "'f' as file", "cast(id as int) as line", "'small ring of brass' as content").coalesce(1).localCheckpoint()
+
+
+def test_lookup_makes_no_pairs(alike):
+    found = navigation.lookup(alike.selectExpr("seq as qid", "name as path"), alike)
+    assert {(x.qid, x.seq) for x in found.collect()} == {(i, 0) for i in range(300)}
+    assert most_rows(found, "Join") <= 300
