@@ -1,9 +1,10 @@
 """Queries over names of odd shapes, and many equal ones, beside their SQL."""
 
 import duckdb
+import numpy as np
 import pytest
 
-from scoutline.operators import navigation
+from scoutline.operators import navigation, text_search, top_k
 from scoutline.operators.query_parser import parse
 from scoutline.plans.catalog import ORACLES, QUERIES
 from tests.test_oracles import rows
@@ -65,3 +66,19 @@ def test_lookup_makes_no_pairs(alike):
     found = navigation.lookup(alike.selectExpr("seq as qid", "name as path"), alike)
     assert {(x.qid, x.seq) for x in found.collect()} == {(i, 0) for i in range(300)}
     assert most_rows(found, "Join") <= 300
+
+
+def test_equal_queries_are_scored_in_blocks_once(spark, alike, monkeypatch):
+    monkeypatch.setattr(top_k, "MOST_TERMS", 6)
+    asked = spark.range(50).selectExpr("id as qid", "'small ring 7' as query")
+    found = top_k.best(alike, "seq", ["name", "content"], asked, 2)
+    assert "MapInArrow" in found._jdf.queryExecution().toString()
+    got = text_search.top_k(found, 2).collect()
+    assert sorted((x.qid, x["rank"], x.doc) for x in got) == sorted((q, i + 1, i) for q in range(50) for i in range(2))
+
+
+def test_light_terms_are_looked_up_only_beside_heavy_ones():
+    best = top_k._Best(top_k.Asked([7], [(0, 0, 1), (0, 1, 1)]), 2, None)
+    best.add(np.array([1, 2]), np.array([1, 1]), np.array([5.0, 4.0]))
+    best.add(np.array([3, 4, 4, 4, 5]), np.array([0, 0, 0, 1, 1]), np.array([1.5, 1.0, 0.5, 4.25, 4.5]))
+    assert best.doc.tolist() == [[4, 1]] and best.score.tolist() == [[5.75, 5.0]]
