@@ -40,7 +40,7 @@ def _numbers(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             at = np.flatnonzero(np.unpackbits(np.frombuffer(bits.as_buffer(), np.uint8), bitorder="little"))
             # Buckets and numbers are counted from 1, each bucket of 8 bits for every byte of a bitmap.
             ids = (bucket.as_py() - 1) * len(bits.as_buffer()) * 8 + at
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(ids), qid.as_py()), pa.int64()), pa.array(ids, pa.int64())], names=["qid", "id"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(ids), qid.as_py()), pa.int64()), pa.array(ids, pa.int64())], names=["text", "id"])
 
 
 def matching(index: DataFrame, queries: DataFrame, most_terms: int = 1_000_000) -> DataFrame:
@@ -50,12 +50,17 @@ def matching(index: DataFrame, queries: DataFrame, most_terms: int = 1_000_000)
     """
     asked = queries.select(F.col("qid").cast("long").alias("qid"), trigrams(F.col("query")).alias("t"))
     short = asked.where(F.size("t") == 0).select("qid", F.lit(None).cast("long").alias("id"))
-    terms = asked.select("qid", F.size("t").alias("k"), F.explode("t").alias("tri"))
+    # Queries of equal trigrams are answered once, as the first of them.
+    alike = asked.where(F.size("t") > 0).withColumn("t", F.array_sort("t")).distinct()
+    texts = alike.groupBy("t").agg(F.min("qid").alias("text"))
+    terms = texts.select(F.col("text").alias("qid"), F.size("t").alias("k"), F.explode("t").alias("tri"))
     near = F.broadcast if terms.limit(most_terms + 1).count() <= most_terms else (lambda x: x)
     counted = index.select("tri", "bucket").join(near(terms), "tri").groupBy("qid", "bucket", "k").agg(F.count("*").alias("has")).where("has = k").select("qid", "bucket")
     alive = terms.join(counted, "qid").select("tri", "bucket", "qid", "k")
     met = alive.join(index.select("tri", "bucket", "bits"), ["tri", "bucket"]).groupBy("qid", "bucket").agg(F.bitmap_and_agg("bits").alias("bits"))
-    return met.where(F.bitmap_count("bits") > 0).mapInArrow(_numbers, "qid long, id long").unionByName(short)
+    numbers = met.where(F.bitmap_count("bits") > 0).mapInArrow(_numbers, "text long, id long")
+    who = alike.join(texts, "t").select("text", "qid")
+    return numbers.join(F.broadcast(who) if who.limit(most_terms + 1).count() <= most_terms else who, "text").select("qid", "id").unionByName(short)
 
 
 def candidates(postings: DataFrame, queries: DataFrame) -> DataFrame:

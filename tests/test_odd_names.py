@@ -4,7 +4,7 @@ import duckdb
 import numpy as np
 import pytest
 
-from scoutline.operators import navigation, text_search, top_k
+from scoutline.operators import navigation, query_syntax, text_search, top_k, trigrams
 from scoutline.operators.query_parser import parse
 from scoutline.plans.catalog import ORACLES, QUERIES
 from tests.test_oracles import rows
@@ -82,3 +82,19 @@ def test_light_terms_are_looked_up_only_beside_heavy_ones():
     best.add(np.array([1, 2]), np.array([1, 1]), np.array([5.0, 4.0]))
     best.add(np.array([3, 4, 4, 4, 5]), np.array([0, 0, 0, 1, 1]), np.array([1.5, 1.0, 0.5, 4.25, 4.5]))
     assert best.doc.tolist() == [[4, 1]] and best.score.tolist() == [[5.75, 5.0]]
+
+
+@pytest.mark.parametrize("what", ["trigrams", "fuzzy", "syntax"])
+def test_equal_queries_are_answered_once(spark, alike, what):
+    asked = spark.range(50).selectExpr("id as qid", "'rings' as query" if what == "fuzzy" else "'ring' as query")
+    if what == "trigrams":
+        found = trigrams.matching(trigrams.bitmaps(alike), asked)
+    elif what == "fuzzy":
+        found = text_search.fuzzy(alike, asked)
+    else:
+        index = query_syntax.positions(alike, "seq", ["name", "content"])
+        found = query_syntax.search(index, query_syntax.totals(index, alike), asked, ["name", "content"]).select("qid", "doc")
+    pairs = {(x[0], x[1]) for x in found.collect()}
+    assert pairs == {(q, i) for q in range(50) for i in range(300)}
+    # Before the qids are dealt a row a document and token, or a bitmap.
+    assert most_rows(found, "Aggregate") <= (40 if what == "trigrams" else 300 * 8)
