@@ -31,6 +31,19 @@ def test_odd_names(spark, tables, name):
     assert want and rows(found.columns, [tuple(r) for r in found.collect()]) == want
 
 
+def test_shifted_copies(spark, tmp_path):
+    """Names of two words and types of one, as in the given tables, so that no content has a sixth word; each row stands three times, its number in the name being equal."""
+    names = ["large ring", "hot bolt", "blue ring", "old plate"]
+    part = [(i + 1940 * n, names[i % 4], f"Brand#{i % 25}", ("ECONOMY", "SMALL")[i % 2], i % 50) for n in range(3) for i in range(400)]
+    spark.createDataFrame(part, "p_partkey long, p_name string, p_brand string, p_type string, p_size int").coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
+    duck = duckdb.connect()
+    duck.execute(f"CREATE VIEW part AS SELECT * FROM '{tmp_path}/part.parquet/*.parquet'")
+    found = QUERIES["R3_groups_and_boosts"](spark, str(tmp_path))
+    want = duck.execute(ORACLES["R3_groups_and_boosts"])
+    want = rows([d[0] for d in want.description], want.fetchall())
+    assert want and rows(found.columns, [tuple(r) for r in found.collect()]) == want
+
+
 def test_a_sign_before_a_closing_parenthesis_leaves_it():
     assert shown(parse("name:(+a +) b", FIELDS)) == "((+name:text:a) :text:b)"
 
