@@ -13,6 +13,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from scoutline.operators.equal_queries import RUN, dealt, tasks
+
+#: Numbers of a bucket, as Spark's bitmaps have them, and of a piece of one that a task reads at once.
+BUCKET, PIECE = 32_768, 2_048
+
 
 def trigrams(text: Column) -> Column:
     """Distinct trigrams of the UTF-8 bytes, as hex; none below three bytes."""
@@ -34,13 +39,13 @@ def bitmaps(files: DataFrame, number: str = "seq") -> DataFrame:
 
 
 def _numbers(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The numbers of the set bits."""
+    """The numbers of the set bits, in runs."""
     for b in batches:
-        for qid, bucket, bits in zip(*(b.column(c) for c in ("qid", "bucket", "bits")), strict=True):
+        for text, start, bits in zip(*(b.column(c) for c in ("text", "start", "bits")), strict=True):
             at = np.flatnonzero(np.unpackbits(np.frombuffer(bits.as_buffer(), np.uint8), bitorder="little"))
-            # Buckets and numbers are counted from 1, each bucket of 8 bits for every byte of a bitmap.
-            ids = (bucket.as_py() - 1) * len(bits.as_buffer()) * 8 + at
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(ids), qid.as_py()), pa.int64()), pa.array(ids, pa.int64())], names=["text", "id"])
+            ends = np.append(np.arange(0, len(at), RUN), len(at))
+            each = pa.StructArray.from_arrays([pa.array(start.as_py() + at, pa.int64())], names=["id"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(ends) - 1, text.as_py()), pa.int64()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), each)], names=["text", "rows"])
 
 
 def matching(index: DataFrame, queries: DataFrame, most_terms: int = 1_000_000) -> DataFrame:
@@ -58,9 +63,11 @@ def matching(index: DataFrame, queries: DataFrame, most_terms: int = 1_000_000)
     counted = index.select("tri", "bucket").join(near(terms), "tri").groupBy("qid", "bucket", "k").agg(F.count("*").alias("has")).where("has = k").select("qid", "bucket")
     alive = terms.join(counted, "qid").select("tri", "bucket", "qid", "k")
     met = alive.join(index.select("tri", "bucket", "bits"), ["tri", "bucket"]).groupBy("qid", "bucket").agg(F.bitmap_and_agg("bits").alias("bits"))
-    numbers = met.where(F.bitmap_count("bits") > 0).mapInArrow(_numbers, "text long, id long")
-    who = alike.join(texts, "t").select("text", "qid")
-    return numbers.join(F.broadcast(who) if who.limit(most_terms + 1).count() <= most_terms else who, "text").select("qid", "id").unionByName(short)
+    # Buckets and numbers are counted from 1. Bitmaps are cut into pieces and dealt out, as a few of them stand for most of the result.
+    cut = met.select(F.col("qid").alias("text"), "bits", ((F.col("bucket") - 1) * BUCKET).alias("first"), F.explode(F.sequence(F.lit(0), F.lit(BUCKET // PIECE - 1))).alias("piece"))
+    pieces = cut.select("text", (F.col("first") + F.col("piece") * PIECE).alias("start"), F.substr("bits", F.col("piece") * (PIECE // 8) + 1, F.lit(PIECE // 8)).alias("bits")).where(F.bitmap_count("bits") > 0)
+    numbers = pieces.repartition(tasks(pieces), "text", "start").mapInArrow(_numbers, "text long, rows array<struct<id: long>>")
+    return dealt(numbers, alike.join(texts, "t").select("text", "qid"), most_terms).unionByName(short)
 
 
 def candidates(postings: DataFrame, queries: DataFrame) -> DataFrame:
