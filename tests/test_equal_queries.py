@@ -1,9 +1,10 @@
 """Equal queries by many qids: the whole result, spread over the tasks and in an order that takes little room."""
 
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
-from scoutline.operators import equal_queries, trigrams
+from scoutline.operators import equal_queries, query_syntax, text_search, trigrams
 
 
 def test_numbers_of_one_bucket_are_dealt_over_the_tasks(spark):
@@ -24,3 +25,21 @@ def test_lists_and_runs_lose_and_repeat_nothing(spark, monkeypatch, most):
     want = answers.join(who, "text").select("qid", "doc", "score", "part")
     assert found.columns == want.columns and found.count() == want.count() == 602_000
     assert not found.exceptAll(want).take(1)
+
+
+@pytest.mark.parametrize("what", ["syntax"])
+def test_rows_of_the_result_take_a_fraction_of_a_byte(spark, tmp_path, what):
+    """Four queries by 2,400 qids find a quarter to all of 2,400 symbols; in the order of a hash a row took 0.39 and 0.49 bytes."""
+    word = "element_at(array('blue', 'cold', 'hot', 'old'), cast(pmod(xxhash64(id), 4) + 1 as int))"
+    rows = spark.range(2400).selectExpr("id as seq", f"concat({word}, ' ring') as name", f"concat({word}, ' of brass') as content")
+    asked = rows
+    if what == "fuzzy":
+        found = text_search.fuzzy(rows, asked.selectExpr("seq as qid", "concat('x', substring(split_part(name, ' ', 1), 2)) as query"))
+    else:
+        index = query_syntax.positions(rows, "seq", ["name", "content"])
+        found = query_syntax.search(index, query_syntax.totals(index, rows), asked.selectExpr("seq as qid", "concat('name:', split_part(name, ' ', 1), ' content:', name) as query"), ["name", "content"])
+    found.write.parquet(f"{tmp_path}/found")
+    files = [pq.read_metadata(f) for f in tmp_path.glob("found/*.parquet")]
+    n, size = sum(f.num_rows for f in files), sum(f.row_group(g).column(c).total_compressed_size for f in files for g in range(f.num_row_groups) for c in range(f.num_columns))
+    assert n == spark.read.parquet(f"{tmp_path}/found").select("qid", "seq" if what == "fuzzy" else "doc").distinct().count() > 900_000
+    assert size < 0.25 * n
