@@ -27,7 +27,7 @@ def test_lists_and_runs_lose_and_repeat_nothing(spark, monkeypatch, most):
     assert not found.exceptAll(want).take(1)
 
 
-@pytest.mark.parametrize("what", ["syntax"])
+@pytest.mark.parametrize("what", ["syntax", "fuzzy"])
 def test_rows_of_the_result_take_a_fraction_of_a_byte(spark, tmp_path, what):
     """Four queries by 2,400 qids find a quarter to all of 2,400 symbols; in the order of a hash a row took 0.39 and 0.49 bytes."""
     word = "element_at(array('blue', 'cold', 'hot', 'old'), cast(pmod(xxhash64(id), 4) + 1 as int))"
