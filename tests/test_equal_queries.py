@@ -43,3 +43,16 @@ def test_rows_of_the_result_take_a_fraction_of_a_byte(spark, tmp_path, what):
     n, size = sum(f.num_rows for f in files), sum(f.row_group(g).column(c).total_compressed_size for f in files for g in range(f.num_row_groups) for c in range(f.num_columns))
     assert n == spark.read.parquet(f"{tmp_path}/found").select("qid", "seq" if what == "fuzzy" else "doc").distinct().count() > 900_000
     assert size < 0.25 * n
+
+
+def test_documents_stay_dealt_over_the_stated_tasks(spark, alike_):
+    """A part that is the same everywhere made each level shuffle anew, and few rows that stand for many ended in one task."""
+    index = query_syntax.positions(alike_, "seq", ["name", "content"])
+    found = query_syntax.search(index, query_syntax.totals(index, alike_), spark.range(50).selectExpr("id as qid", "'name:ring brass' as query"), ["name", "content"])
+    each = [r["count"] for r in found.groupBy(F.spark_partition_id().alias("task")).count().collect()]
+    assert sum(each) == 50 * 3000 and len(each) > 1 and max(each) < 0.6 * sum(each)
+
+
+@pytest.fixture
+def alike_(spark):
+    return spark.range(3000).selectExpr("id as seq", "'small ring' as name", "'ring of brass' as content")
